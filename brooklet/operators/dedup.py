@@ -1,0 +1,187 @@
+"""Deduplication with an anchored time-to-live.
+
+Per key, in time order: a row is kept when there is no anchor yet, or when it is
+strictly later than anchor + ttl; a kept row becomes the anchor.  Suppressed rows
+do not move the anchor, so this is neither ``dropDuplicates`` nor a session gap.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brooklet.operators.fields import require_present
+from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
+
+
+def dedup(
+    df: DataFrame,
+    key: str,
+    ttl: float,
+    ts: str = "ts",
+    tiebreak: Sequence[str] = (),
+    group_rows: int | None = GROUP_ROWS,
+    lateness: str | None = None,
+) -> DataFrame:
+    """Rows of ``df`` that survive a time-to-live of ``ttl`` seconds per ``key``.
+
+    ``tiebreak`` orders rows with equal key and time; with it the result is
+    deterministic.  Batch input is first checked for keys above ``group_rows``
+    rows (one small job; ``None`` skips it).  Streaming input keeps one anchor
+    per key as state; ``lateness`` is the watermark delay after which anchors
+    may expire (see ``dedup_stream``).
+    """
+    require_present(df, key, ts, *tiebreak)
+    require_seconds(ttl)
+    require_timestamp(df, ts)
+    if df.isStreaming:
+        from brooklet.streaming.dedup import dedup_stream
+
+        return dedup_stream(df, key, ttl, ts, tiebreak, lateness)
+    hot = find_hot_keys(df.select(key), group_rows)
+    if hot is None:
+        return _scan_keys(df, key, ttl, ts, tiebreak)
+    ordinary = _scan_keys(hot.without(df, key), key, ttl, ts, tiebreak)
+    return ordinary.unionByName(_follow_chains(hot, hot.only(df, key), key, ttl, ts, tiebreak))
+
+
+def require_seconds(ttl: float) -> None:
+    if ttl <= 0:
+        raise ValueError("the time-to-live must be greater than 0 seconds")
+
+
+def require_timestamp(df: DataFrame, ts: str) -> None:
+    if not isinstance(df.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)):
+        raise ValueError(f"time field {ts!r} must be a timestamp, not {df.schema[ts].dataType.simpleString()}")
+
+
+# --- keys that fit one task: one shuffle, one sort, one pass in constant memory
+
+
+def _scan_keys(df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str]) -> DataFrame:
+    ordered = df.repartition(F.col(key)).sortWithinPartitions(key, ts, *tiebreak)
+    key_at, ts_at, micros = df.columns.index(key), df.columns.index(ts), round(ttl * 1_000_000)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None  # (key, time of the last row, anchor) where the previous batch ended
+        for batch in batches:
+            if batch.num_rows:
+                keep, state = keep_rows(batch.column(key_at), batch.column(ts_at), micros, state)
+                yield batch.filter(pa.array(keep))
+
+    return ordered.mapInArrow(scan, df.schema)
+
+
+def keep_rows(keys: pa.Array, times: pa.Array, ttl: int, state: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows of a batch sorted by (key, time) are kept; ``state`` links it to the batch before."""
+    if times.null_count:
+        raise ValueError("deduplication needs a time on every row")
+    t = times.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    size = len(t)
+    # A stretch starts with a new key or after a silence longer than the ttl; its first row is always kept.
+    start = np.empty(size, dtype=bool)
+    same_key = state is not None and state[0] == keys[0].as_py()
+    start[0] = not same_key or t[0] - state[1] > ttl
+    if size > 1:
+        here, before = keys.slice(1), keys.slice(0, size - 1)
+        changed = pc.fill_null(pc.not_equal(here, before), pc.xor(pc.is_null(here), pc.is_null(before)))
+        start[1:] = changed.to_numpy(zero_copy_only=False) | (np.diff(t) > ttl)
+    keep = start.copy()
+    begins = np.flatnonzero(start)
+    ends = np.append(begins[1:], size)
+    # Stretches no longer than the ttl hold one kept row; only the others are walked.
+    long = t[ends - 1] - t[begins] > ttl
+    walk = [(begin, end, t[begin]) for begin, end in zip(begins[long].tolist(), ends[long].tolist())]
+    if not start[0]:
+        walk.insert(0, (-1, int(begins[0]) if len(begins) else size, state[2]))
+    anchor = t[begins[-1]] if len(begins) else state[2]
+    if walk:
+        values = t.tolist()
+        for begin, end, anchor_here in walk:
+            row = bisect_right(values, anchor_here + ttl, begin + 1, end)
+            while row < end:
+                keep[row] = True
+                anchor_here = values[row]
+                row = bisect_right(values, anchor_here + ttl, row + 1, end)
+            if end == size:
+                anchor = anchor_here
+    return keep, (keys[size - 1].as_py(), int(t[-1]), int(anchor))
+
+
+# --- hot keys: the order is found on narrow (key, time) ranges, the rows are fetched at the end
+
+
+def _follow_chains(
+    hot: HotKeys, df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str]
+) -> DataFrame:
+    kept = _anchors(hot, df.select(F.col(key).alias("k"), F.col(ts).alias("t")).distinct(), ttl)
+    rows = df.join(kept, df[key].eqNullSafe(kept["k"]) & (df[ts] == kept["t"]), "left_semi")
+    # One row per kept (key, time): the first by tiebreak, combined map-side before the shuffle.
+    whole = F.struct(*[F.col(name) for name in df.columns])
+    first = F.min_by(whole, F.struct(*[F.col(name) for name in tiebreak])) if tiebreak else F.first(whole)
+    return rows.groupBy(F.col(key).alias("k"), F.col(ts).alias("t")).agg(first.alias("row")).select("row.*")
+
+
+def _anchors(hot: HotKeys, times: DataFrame, ttl: float) -> DataFrame:
+    """Anchor times (k, t) of the distinct ``times`` (k, t)."""
+    span = F.make_dt_interval(secs=F.lit(float(ttl)))
+    # Each time appears twice: as a row, and as the question "which row comes first after t + ttl?".
+    # A row exactly at t + ttl sorts before the question, since it is still suppressed.
+    entries = times.select("k", F.col("t").alias("at"), F.lit(0).alias("ask"), "t").unionByName(
+        times.select("k", (F.col("t") + span).alias("at"), F.lit(1).alias("ask"), "t")
+    )
+    blocks = in_ranges(entries, hot.ranges(2), "k", "at", "ask")
+
+    # Borders: the nearest row before and after each (key, block); one small row per block and key.
+    is_row = F.col("ask") == 0
+    borders = blocks.groupBy("k", "block").agg(
+        F.min(F.when(is_row, F.col("at"))).alias("head"), F.max(F.when(is_row, F.col("at"))).alias("tail")
+    )
+    earlier = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("k").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select(
+        F.col("k").alias("border_k"),
+        F.col("block").alias("border_block"),
+        F.last("tail", ignorenulls=True).over(earlier).alias("tail_before"),
+        F.last("head", ignorenulls=True).over(later).alias("head_after"),
+    )
+    linked = blocks.join(
+        F.broadcast(borders),  # at most ranges + hot keys rows
+        blocks["k"].eqNullSafe(borders["border_k"]) & (blocks["block"] == borders["border_block"]),
+    )
+    over = "over (partition by block, k order by at, ask)"
+    linked = linked.withColumn(
+        "before", F.coalesce(F.expr(f"lag(if(ask = 0, at, null)) ignore nulls {over}"), F.col("tail_before"))
+    ).withColumn(
+        "after", F.coalesce(F.expr(f"lead(if(ask = 0, at, null)) ignore nulls {over}"), F.col("head_after"))
+    )
+    # A row after a silence longer than the ttl is an anchor whatever came before it.
+    known = linked.filter(is_row & (F.col("before").isNull() | (F.col("at") > F.col("before") + span)))
+    anchors = known.select("k", "t")
+    # Every time points to its successor, unless that one is such a known anchor ("before" is the row
+    # just ahead of it).
+    hops = (
+        linked.filter((F.col("ask") == 1) & F.col("after").isNotNull())
+        .filter(F.col("after") <= F.col("before") + span)
+        .select("k", F.col("t").alias("src"), F.col("after").alias("dst"))
+    )
+    # Pointer doubling: after round i the anchors reach 2^i steps from the known ones, and each hop
+    # spans 2^i steps.  The rounds grow with the logarithm of the longest chain.
+    anchors, hops = anchors.checkpoint(), hops.checkpoint()
+    while not hops.isEmpty():
+        step = anchors.alias("a").join(
+            hops.alias("h"), F.col("a.k").eqNullSafe(F.col("h.k")) & (F.col("a.t") == F.col("h.src"))
+        )
+        anchors = anchors.unionByName(step.select("a.k", F.col("h.dst").alias("t"))).checkpoint()
+        pair = hops.alias("a").join(
+            hops.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.dst") == F.col("b.src"))
+        )
+        hops = pair.select("a.k", "a.src", "b.dst").checkpoint()
+    return anchors

@@ -1,0 +1,40 @@
+"""Enrichment of records from a key/value table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from brooklet.functions import Expression, as_text
+from brooklet.operators.fields import require_absent
+
+
+def enrich(df: DataFrame, lookup: DataFrame, name: str, search_key: Expression) -> DataFrame:
+    """Add text field ``name``: the value stored under ``str(search_key)``, or ``''`` where there is none.
+
+    ``lookup`` has text columns ``key`` and ``value`` with unique keys (see
+    ``sources.lookup_table``).  A streaming ``df`` makes this a stateless
+    stream-static join.
+
+    No broadcast is forced.  Spark broadcasts the lookup when its measured size
+    is below ``spark.sql.autoBroadcastJoinThreshold``; a larger one is
+    shuffled, and adaptive execution splits the record side of a hot key.
+    """
+    return with_lookup(df, lookup, name, search_key).drop(hit_column(name))
+
+
+def hit_column(name: str) -> str:
+    return f"{name}__hit"
+
+
+def with_lookup(df: DataFrame, lookup: DataFrame, name: str, search_key: Expression) -> DataFrame:
+    """``enrich`` plus a boolean column that tells hits from misses."""
+    require_absent(df, name)
+    key = as_text(df, search_key)
+    table = lookup.select(F.col("key").alias("__key"), F.col("value").alias("__value"), F.lit(True).alias("__hit"))
+    joined = df.withColumn("__search", key).join(table, F.col("__search") == F.col("__key"), "left")
+    return joined.select(
+        *df.columns,
+        F.coalesce(F.col("__value"), F.lit("")).alias(name),
+        F.coalesce(F.col("__hit"), F.lit(False)).alias(hit_column(name)),
+    )
