@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from brooklet.types import record_schema
 
 # Columns a topic adds to each record; they carry its time and its order.
-TOPIC_TIME = "ts"
-TOPIC_ORDER = ("partition", "offset")
+TOPIC_TIME = "_time"
+TOPIC_ORDER = ("_partition", "_offset")
 
 
 def decode_json(
@@ -38,8 +38,10 @@ def kafka_options(address: str, topic: str) -> dict[str, str]:
 
 
 def topic_records(raw: DataFrame, fields: Mapping[str, str], malformed: str = "fail") -> DataFrame:
-    """Declared fields of raw topic rows, with record time ``ts`` and the order columns ahead of them."""
-    envelope = raw.select(F.col("timestamp").alias(TOPIC_TIME), *TOPIC_ORDER, F.col("value"))
+    """Declared fields of raw topic rows, after the record's time and order columns."""
+    envelope = raw.select(
+        F.col("timestamp").alias(TOPIC_TIME), *[F.col(name[1:]).alias(name) for name in TOPIC_ORDER], "value"
+    )
     return decode_json(envelope, fields, "value", malformed)
 
 
