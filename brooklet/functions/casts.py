@@ -57,10 +57,21 @@ def _checked_number(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _shortest(value: Column, text: Column) -> Column:
+    """The fewest digits that give ``value`` back; older JVMs print up to two digits too many."""
+
+    def digits(count: int) -> Column:
+        return F.format_string(f"%.{count - 1}e", value)
+
+    few = F.when(digits(15).cast("double") == value, digits(15)).when(digits(16).cast("double") == value, digits(16))
+    plain = F.regexp_replace(few.otherwise(digits(17)), r"^(-?\d\.)(\d*?)0*e([+-])0*(\d+)$", "$1$2E$3$4")
+    return F.when(F.length(text) >= 18, plain).otherwise(text)
+
+
 def _float_text(value: Column) -> Column:
     """Shortest decimal text, positional for exponents from -4 to 15 and scientific outside."""
-    text = value.cast("string")
-    pattern = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
+    text = _shortest(value, value.cast("string"))
+    pattern = r"^(-?)(\d)\.(\d*)E\+?(-?\d+)$"
     sign, lead, tail = (F.regexp_extract(text, pattern, group) for group in (1, 2, 3))
     tail = F.when(tail == "0", F.lit("")).otherwise(tail)
     # try_cast: the group is empty on rows that take the plain branch below

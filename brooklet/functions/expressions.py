@@ -89,7 +89,8 @@ def modulo(left: Expression, right: Expression) -> Column:
     """``%`` whose result takes the sign of the divisor."""
     a, b = to_column(left), to_column(right)
     rest = a % b
-    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+    zero = F.when(b < 0, -F.abs(rest)).otherwise(F.abs(rest))  # a float zero takes the divisor's sign, too
+    return F.when(rest == 0, zero).when((rest < 0) != (b < 0), rest + b).otherwise(rest)
 
 
 def floor_div(df: DataFrame, left: Expression, right: Expression) -> Column:
