@@ -1,0 +1,25 @@
+"""Brute-force models of the two keyed operators, row by row."""
+
+
+def dedup_model(rows, ttl):
+    """rows: (key, time, id) -> ids kept, in time order with ids as tiebreak."""
+    anchors, kept = {}, []
+    for key, time, row in sorted(rows, key=lambda r: (r[1], r[2])):
+        if key not in anchors or time > anchors[key] + ttl:
+            anchors[key] = time
+            kept.append(row)
+    return sorted(kept)
+
+
+def pair_model(first, second, ttl):
+    """(key, time, id) of both sides -> pairs of ids; two slots per key, each with its expiry."""
+    slots, pairs = {}, []
+    merged = [(t, 0, i, k) for k, t, i in first] + [(t, 1, i, k) for k, t, i in second]
+    for time, side, row, key in sorted(merged, key=lambda r: r[:3]):
+        waiting = slots.get((key, 1 - side))
+        if waiting is None or waiting[1] < time:
+            slots[(key, side)] = (row, time + ttl)
+        else:
+            del slots[(key, 1 - side)]
+            pairs.append((row, waiting[0]) if side == 0 else (waiting[0], row))
+    return sorted(pairs)
