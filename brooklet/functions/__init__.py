@@ -3,6 +3,7 @@ from brooklet.functions.expressions import (
     Expression,
     all_truthy,
     any_truthy,
+    condition,
     contains,
     equals,
     first_truthy,
@@ -23,7 +24,7 @@ from brooklet.functions.expressions import (
 
 __all__ = [
     "Expression",
-    "all_truthy", "any_truthy", "as_text", "cast_as", "contains", "equals", "first_truthy", "floor_div",
+    "all_truthy", "any_truthy", "as_text", "cast_as", "condition", "contains", "equals", "first_truthy", "floor_div",
     "from_python", "last_truthy", "modulo", "not_truthy", "replace", "resolved_type", "round_half_even",
     "slice_text", "split_get", "strip", "to_column", "truthy",
 ]

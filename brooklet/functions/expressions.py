@@ -30,23 +30,27 @@ def resolved_type(df: DataFrame, expression: Expression) -> T.DataType:
     return df.select(to_column(expression).alias("v")).schema["v"].dataType
 
 
-def truthy(df: DataFrame, expression: Expression) -> Column:
-    """Non-null boolean column: would Python take the value as true?"""
+def condition(df: DataFrame, expression: Expression) -> Column:
+    """Truth test for a filter: null counts as false there, so a plain comparison stays one.
+
+    That lets simple conditions reach the scan.
+    """
     column = to_column(expression)
     kind = resolved_type(df, expression)
     if isinstance(kind, T.BooleanType):
-        test = column
-    elif is_numeric(kind):
-        test = column != F.lit(0)
-    elif isinstance(kind, (T.StringType, T.BinaryType)):
-        test = F.length(column) > 0
-    elif isinstance(kind, (T.ArrayType, T.MapType)):
-        test = F.size(column) > 0
-    elif isinstance(kind, T.NullType):
-        return F.lit(False)
-    else:
-        return column.isNotNull()
-    return F.coalesce(test, F.lit(False))
+        return column
+    if is_numeric(kind):
+        return column != F.lit(0)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.length(column) > 0
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.size(column) > 0
+    return column.isNotNull()
+
+
+def truthy(df: DataFrame, expression: Expression) -> Column:
+    """Non-null boolean column: would Python take the value as true?"""
+    return F.coalesce(condition(df, expression), F.lit(False))
 
 
 def all_truthy(df: DataFrame, *expressions: Expression) -> Column:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from brooklet.functions import Expression, cast_as, truthy
+from brooklet.functions import Expression, cast_as, condition
 
 
 def filter_rows(df: DataFrame, expression: Expression) -> DataFrame:
     """Keep the rows on which ``expression`` is truthy."""
-    return df.filter(truthy(df, expression))
+    return df.filter(condition(df, expression))
 
 
 def create_field(df: DataFrame, name: str, value: Expression, field_type: str) -> DataFrame:
