@@ -57,6 +57,24 @@ def _checked_number(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _float_text(value: Column) -> Column:
+    """Shortest decimal text: positional from 1e-4 up to 1e16, scientific outside."""
+    text, size = value.cast("string"), F.abs(value)
+    digits = _shortest(value, text)
+    # 38 digits hold every positional value exactly; its trailing zeros go, but for one after the point.
+    positional = F.regexp_replace(digits.cast("decimal(38,21)").cast("string"), r"^(.*\.\d+?)0*$", "$1")
+    scientific = F.regexp_replace(digits, r"^(-?\d(?:\.\d*[1-9])?)\.?0*[eE]\+?(-?)0*(\d+)$", "$1e$2$3")
+    scientific = F.regexp_replace(scientific, r"e(\d)", "e+$1")
+    scientific = F.regexp_replace(scientific, r"e([+-])(\d)$", "e$10$2")  # group 1, then a zero
+    return (
+        F.when(((size >= 1e-3) & (size < 1e7) & (F.length(text) < 18)) | (value == 0), text)
+        .when(F.isnan(value), F.lit("nan"))
+        .when(size == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+        .when((size >= 1e-4) & (size < 1e16), positional)
+        .otherwise(scientific)
+    )
+
+
 def _shortest(value: Column, text: Column) -> Column:
     """The fewest digits that give ``value`` back; older JVMs print up to two digits too many."""
 
@@ -64,36 +82,4 @@ def _shortest(value: Column, text: Column) -> Column:
         return F.format_string(f"%.{count - 1}e", value)
 
     few = F.when(digits(15).cast("double") == value, digits(15)).when(digits(16).cast("double") == value, digits(16))
-    plain = F.regexp_replace(few.otherwise(digits(17)), r"^(-?\d\.)(\d*?)0*e([+-])0*(\d+)$", "$1$2E$3$4")
-    return F.when(F.length(text) >= 18, plain).otherwise(text)
-
-
-def _float_text(value: Column) -> Column:
-    """Shortest decimal text, positional for exponents from -4 to 15 and scientific outside."""
-    text = _shortest(value, value.cast("string"))
-    pattern = r"^(-?)(\d)\.(\d*)E\+?(-?\d+)$"
-    sign, lead, tail = (F.regexp_extract(text, pattern, group) for group in (1, 2, 3))
-    tail = F.when(tail == "0", F.lit("")).otherwise(tail)
-    # try_cast: the group is empty on rows that take the plain branch below
-    power = F.regexp_extract(text, pattern, 4).try_cast("int")
-    digits = F.concat(lead, tail)
-    size = F.length(digits)
-    large = F.when(size <= power + 1, F.concat(F.rpad(digits, power + 1, F.lit("0")), F.lit(".0"))).otherwise(
-        F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size))
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    scientific = F.concat(
-        lead,
-        F.when(F.length(tail) > 0, F.concat(F.lit("."), tail)).otherwise(F.lit("")),
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(power).cast("string"),
-    )
-    shifted = F.when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(scientific)
-    return (
-        F.when(F.isnan(value), F.lit("nan"))
-        .when(text == "Infinity", F.lit("inf"))
-        .when(text == "-Infinity", F.lit("-inf"))
-        .when(F.contains(text, F.lit("E")), F.concat(sign, shifted))
-        .otherwise(text)
-    )
+    return F.when(F.length(text) >= 18, few.otherwise(digits(17))).otherwise(text)

@@ -17,14 +17,17 @@ def lookup_table(df: DataFrame, key: Expression, value: Expression, version: Exp
     """
     pairs = df.select(
         as_text(df, key).alias("key"),
-        as_text(df, value).alias("value"),
+        to_column(value).alias("value"),
         (F.lit(0) if version is None else to_column(version)).alias("version"),
     )
+    # Values become text after the grouping: plain numbers are cheaper to aggregate.
     if version is not None:
-        return pairs.groupBy("key").agg(F.max_by("value", "version").alias("value"))
+        found = pairs.groupBy("key").agg(F.max_by("value", "version").alias("value"))
+        return found.select("key", as_text(found, "value").alias("value"))
     # The grouping also leaves a large table partitioned by key, as the join needs it.
-    counted = pairs.groupBy("key").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    return counted.select("key", F.when(F.col("n") == 1, F.col("value")).otherwise(_repeated()).alias("value"))
+    found = pairs.groupBy("key").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    text = as_text(found, "value")
+    return found.select("key", F.when(F.col("n") == 1, text).otherwise(_repeated()).alias("value"))
 
 
 def _repeated() -> Column:

@@ -55,6 +55,14 @@ def test_large_lookup_without_broadcast(spark, events):
         joined = enrich(events, names, "customer", "user_id")
         assert "SortMergeJoin" in joined._jdf.queryExecution().toString()
         assert sorted(joined.collect()) == sorted(small)
+        # users with more than 60 events are joined apart, with their own entries broadcast
+        split = enrich(events, names, "customer", "user_id", group_rows=60)
+        text = split._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" in text
+        assert sorted(split.collect()) == sorted(small)
+        # a hot key without an entry stays a miss
+        none = enrich(events, names.filter("key = '-1'"), "customer", "user_id", group_rows=60)
+        assert none.filter("customer = ''").count() == events.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

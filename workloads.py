@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brooklet import functions as bf
 from brooklet.operators import change_field, create_field, dedup, delete_field, enrich, filter_rows, pair_join
+from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.plans import Records, build_job
 from brooklet.session import shared_dir, work_path
 from brooklet.sinks import bucket_stream, json_value, read_buckets, table_columns, write_buckets
@@ -24,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+HOUR = 3_600
 DAY = 86_400
 MONTH = 30 * DAY
 
@@ -57,6 +59,11 @@ def finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
+def share(df: DataFrame, part: int) -> int:
+    """Rows that make a key hot: one ``part``-th of the table, but never more than one task should sort."""
+    return min(GROUP_ROWS, max(1, df.count() // part))
+
+
 def customer_names(spark: SparkSession, folder: str, segment: str | None = None) -> DataFrame:
     """Lookup from customer number to name, optionally of one market segment only."""
     customers = table(spark, folder, "customer")
@@ -300,8 +307,25 @@ def dedup_events(spark, folder):
 
 @register(DEDUP_EVENTS)
 def dedup_events_in_ranges(spark, folder):
-    """The way taken by hot keys, here for every key above 50 rows."""
-    return dedup(table(spark, folder, "events"), "user_id", DAY, "ts", ["event_id"], group_rows=50)
+    """The way taken by hot keys, here for users with more than half a percent of the events."""
+    events = table(spark, folder, "events")
+    return dedup(events, "user_id", DAY, "ts", ["event_id"], group_rows=share(events, 200))
+
+
+@register(
+    """
+    WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+    a AS (SELECT * FROM f WHERE rn = 1
+          UNION ALL
+          SELECT n.* FROM a, LATERAL (
+              SELECT f.* FROM f WHERE f.event_type = a.event_type AND f.ts > a.ts + INTERVAL 3600 SECOND
+              ORDER BY rn LIMIT 1) n)
+    SELECT * EXCLUDE (rn) FROM a"""
+)
+def dedup_hot_keys(spark, folder):
+    """Five keys, each with about a fifth of all rows, split into ranges of time."""
+    events = table(spark, folder, "events")
+    return dedup(events, "event_type", HOUR, "ts", ["event_id"], group_rows=share(events, 20))
 
 
 @register(DEDUP_EVENTS)
@@ -346,6 +370,33 @@ def pair_sql(select: str, where: str = "event_type IN ('view', 'purchase')", ttl
     SELECT {select} FROM pairs JOIN events v ON v.event_id = first_id JOIN events b ON b.event_id = second_id"""
 
 
+def pair_shipments_sql(key: str) -> str:
+    """Returned (main side) with unreturned shipments, as rows k, a, b of ``pairs``."""
+    return f"""
+    WITH m AS (SELECT {key} AS k, l_shipdate AS t, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS side,
+                      l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem WHERE l_returnflag IN ('R', 'N')),
+    l AS (SELECT *, lag(side) OVER w AS ps, lag(t) OVER w AS pt, lag(o) OVER w AS po, lag(n) OVER w AS pn, lag(p) OVER w AS pp
+          FROM m WINDOW w AS (PARTITION BY k ORDER BY t, side, o, n, p)),
+    j AS (SELECT *, coalesce(side <> ps AND t <= pt + INTERVAL 2 DAY, false) AS link FROM l),
+    i AS (SELECT *, sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (
+              PARTITION BY k ORDER BY t, side, o, n, p ROWS UNBOUNDED PRECEDING) AS isl FROM j),
+    q AS (SELECT *, row_number() OVER (PARTITION BY k, isl ORDER BY t, side, o, n, p) - 1 AS pos FROM i),
+    pairs AS (SELECT k, CASE side WHEN 0 THEN {{r: t, o: o, n: n, p: p}} ELSE {{r: pt, o: po, n: pn, p: pp}} END AS a,
+                     CASE side WHEN 0 THEN {{r: pt, o: po, n: pn, p: pp}} ELSE {{r: t, o: o, n: n, p: p}} END AS b
+              FROM q WHERE link AND pos % 2 = 1)"""
+
+
+SHIPMENT = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def shipments(items: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    returned = items.filter("l_returnflag = 'R'").select(key, "l_shipdate", *SHIPMENT)
+    kept = items.filter("l_returnflag = 'N'").select(
+        key, "l_shipdate", *SHIPMENT, F.col("l_orderkey").alias("other_order"), F.col("l_partkey").alias("other_part")
+    )
+    return returned, kept
+
+
 PAIR_EVENTS = pair_sql("v.*, b.user_id AS buyer, b.value AS paid")
 
 
@@ -364,8 +415,25 @@ def pair_events(spark, folder):
 
 @register(PAIR_EVENTS)
 def pair_events_in_ranges(spark, folder):
-    """The way taken by hot keys, here for every key above 20 rows."""
-    return pair_join(*sides(table(spark, folder, "events")), "user_id", "buyer", DAY, "ts", ["event_id"], group_rows=20)
+    """The way taken by hot keys, here for users with more than half a percent of the views and purchases."""
+    views, purchases = sides(table(spark, folder, "events"))
+    rows = share(views, 100)
+    return pair_join(views, purchases, "user_id", "buyer", DAY, "ts", ["event_id"], group_rows=rows)
+
+
+@register(
+    pair_shipments_sql("l_linestatus")
+    + """
+    SELECT k AS l_linestatus, a.r AS l_shipdate, a.o AS l_orderkey, a.n AS l_linenumber, a.p AS l_partkey,
+           b.o AS other_order, b.p AS other_part FROM pairs"""
+)
+def pair_hot_keys(spark, folder):
+    """Two keys, each with about a third of all rows, split into ranges of time."""
+    returned, kept = shipments(table(spark, folder, "lineitem"), "l_linestatus")
+    rows = share(returned, 20)
+    return pair_join(
+        returned, kept, "l_linestatus", "l_linestatus", 2 * DAY, "l_shipdate", SHIPMENT, group_rows=rows
+    )
 
 
 @register(PAIR_EVENTS)
@@ -385,30 +453,15 @@ def pair_events_same_names(spark, folder):
 
 
 @register(
-    """
-    WITH m AS (SELECT l_suppkey AS k, l_shipdate AS t, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS side,
-                      l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem WHERE l_returnflag IN ('R', 'N')),
-    l AS (SELECT *, lag(side) OVER w AS ps, lag(t) OVER w AS pt, lag(o) OVER w AS po, lag(n) OVER w AS pn, lag(p) OVER w AS pp
-          FROM m WINDOW w AS (PARTITION BY k ORDER BY t, side, o, n, p)),
-    j AS (SELECT *, coalesce(side <> ps AND t <= pt + INTERVAL 2 DAY, false) AS link FROM l),
-    i AS (SELECT *, sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (
-              PARTITION BY k ORDER BY t, side, o, n, p ROWS UNBOUNDED PRECEDING) AS isl FROM j),
-    q AS (SELECT *, row_number() OVER (PARTITION BY k, isl ORDER BY t, side, o, n, p) - 1 AS pos FROM i),
-    pairs AS (SELECT k AS l_suppkey, CASE side WHEN 0 THEN {r: t, o: o, n: n, p: p} ELSE {r: pt, o: po, n: pn, p: pp} END AS a,
-                     CASE side WHEN 0 THEN {r: pt, o: po, n: pn, p: pp} ELSE {r: t, o: o, n: n, p: p} END AS b
-              FROM q WHERE link AND pos % 2 = 1)
-    SELECT l_suppkey, a.r AS l_shipdate, a.o AS l_orderkey, a.n AS l_linenumber, a.p AS l_partkey,
+    pair_shipments_sql("l_suppkey")
+    + """
+    SELECT k AS l_suppkey, a.r AS l_shipdate, a.o AS l_orderkey, a.n AS l_linenumber, a.p AS l_partkey,
            b.o AS other_order, b.p AS other_part FROM pairs"""
 )
 def pair_shipments(spark, folder):
     """Returned with unreturned shipments of a supplier; many rows at the same instant."""
-    columns = ["l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
-    items = table(spark, folder, "lineitem")
-    returned = items.filter("l_returnflag = 'R'").select(*columns)
-    kept = items.filter("l_returnflag = 'N'").select(
-        *columns, F.col("l_orderkey").alias("other_order"), F.col("l_partkey").alias("other_part")
-    )
-    return pair_join(returned, kept, "l_suppkey", "l_suppkey", 2 * DAY, "l_shipdate", columns[2:])
+    returned, kept = shipments(table(spark, folder, "lineitem"), "l_suppkey")
+    return pair_join(returned, kept, "l_suppkey", "l_suppkey", 2 * DAY, "l_shipdate", SHIPMENT)
 
 
 # --- sources and sinks
