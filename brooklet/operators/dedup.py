@@ -29,6 +29,7 @@ def dedup(
     tiebreak: Sequence[str] = (),
     group_rows: int | None = GROUP_ROWS,
     lateness: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Rows of ``df`` that survive a time-to-live of ``ttl`` seconds per ``key``.
 
@@ -36,7 +37,8 @@ def dedup(
     deterministic.  Batch input is first checked for keys above ``group_rows``
     rows (one small job; ``None`` skips it).  Streaming input keeps one anchor
     per key as state; ``lateness`` is the watermark delay after which anchors
-    may expire (see ``dedup_stream``).
+    may expire, and ``ordered`` waits that long to undo disorder (see
+    ``dedup_stream``).
     """
     require_present(df, key, ts, *tiebreak)
     require_seconds(ttl)
@@ -44,7 +46,7 @@ def dedup(
     if df.isStreaming:
         from brooklet.streaming.dedup import dedup_stream
 
-        return dedup_stream(df, key, ttl, ts, tiebreak, lateness)
+        return dedup_stream(df, key, ttl, ts, tiebreak, lateness, ordered)
     hot = find_hot_keys(df.select(key), group_rows)
     if hot is None:
         return _scan_keys(df, key, ttl, ts, tiebreak)

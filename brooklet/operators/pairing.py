@@ -35,6 +35,7 @@ def pair_join(
     tiebreak: Sequence[str] = (),
     group_rows: int | None = GROUP_ROWS,
     lateness: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Pairs of ``first`` (the main side) and ``second`` rows with equal keys.
 
@@ -43,7 +44,7 @@ def pair_join(
     order of time, then main side first, then ``tiebreak``, which must tell the
     rows of one side with equal key and time apart.
     """
-    pairs = pair_rows(first, second, first_key, second_key, ttl, ts, tiebreak, group_rows, lateness)
+    pairs = pair_rows(first, second, first_key, second_key, ttl, ts, tiebreak, group_rows, lateness, ordered)
     return pairs.select("first.*", *[f"second.{name}" for name in second.columns if name not in first.columns])
 
 
@@ -57,6 +58,7 @@ def pair_rows(
     tiebreak: Sequence[str] = (),
     group_rows: int | None = GROUP_ROWS,
     lateness: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Like ``pair_join``, with the two rows as structs ``first`` and ``second``.
 
@@ -69,7 +71,7 @@ def pair_rows(
     if first.isStreaming or second.isStreaming:
         from brooklet.streaming.pairing import pair_rows_stream
 
-        return pair_rows_stream(first, second, first_key, second_key, ttl, ts, tiebreak, lateness)
+        return pair_rows_stream(first, second, first_key, second_key, ttl, ts, tiebreak, lateness, ordered)
     keys = first.select(F.col(first_key).alias("k")).unionAll(second.select(F.col(second_key).alias("k")))
     hot = find_hot_keys(keys, group_rows)
     if hot is None:

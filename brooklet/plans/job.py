@@ -118,6 +118,7 @@ def build_job(
     lookup: Callable[[], DataFrame] | DataFrame | None = None,
     land: Callable[[DataFrame, str], DataFrame] | None = None,
     lateness: str | None = None,
+    ordered: bool = False,
     group_rows: int | None = GROUP_ROWS,
     streaming: bool = True,
 ) -> BuiltJob:
@@ -127,15 +128,16 @@ def build_job(
     key/value table of the enrichers; a function is called again for every
     micro-batch that is written through ``foreachBatch``.  ``land`` stores the
     result of a stateful operator and gives a stream of it (streaming only: one
-    streaming query holds one such operator).
+    streaming query holds one such operator); ``lateness`` and ``ordered`` are
+    its watermark delay and whether it undoes disorder.
     """
-    return _Builder(spark, check_job(job), inputs or {}, lookup, land, lateness, group_rows, streaming).build()
+    return _Builder(spark, check_job(job), inputs or {}, lookup, land, lateness, ordered, group_rows, streaming).build()
 
 
 class _Builder:
-    def __init__(self, spark, job, inputs, lookup, land, lateness, group_rows, streaming):
+    def __init__(self, spark, job, inputs, lookup, land, lateness, ordered, group_rows, streaming):
         self.spark, self.job, self.inputs, self.lookup, self.land = spark, job, inputs, lookup, land
-        self.lateness, self.group_rows, self.streaming = lateness, group_rows, streaming
+        self.lateness, self.ordered, self.group_rows, self.streaming = lateness, ordered, group_rows, streaming
         self.built = BuiltJob()
         self.clones: dict[str, Stream] = {}
         self.open: set[str] = set()
@@ -197,12 +199,12 @@ class _Builder:
     def field_enricher(self, name, index, operator, stream):
         if self.lookup is None:
             raise ValueError(f"operator {name}:{index} needs a lookup table")
-        new = operator["field_name"]
+        new, key = operator["field_name"], operator["search_key"]
 
         def step(df):
             table = self.lookup() if callable(self.lookup) else self.lookup
             counted = self.built.counters.count(df, name, index, "enricher_in")
-            found = _with_record(counted, lambda rows: with_lookup(rows, table, new, operator["search_key"]))
+            found = _with_record(counted, lambda rows: with_lookup(rows, table, new, key, self.group_rows))
             hit = hit_column(new)
             return self.built.counters.count(found, name, index, "enrichment_count", F.col(hit)).drop(hit)
 
@@ -213,7 +215,9 @@ class _Builder:
     def deduplicator(self, name, index, operator, stream):
         counters = self.built.counters
         rows = counters.count(stream.df, name, index, "deduplicator_in")
-        kept = dedup(rows, operator["key"], operator["time"], TIME, stream.order, self.group_rows, self.lateness)
+        kept = dedup(
+            rows, operator["key"], operator["time"], TIME, stream.order, self.group_rows, self.lateness, self.ordered
+        )
         kept = counters.count(kept, name, index, "deduplicator_out")
         return Stream.start(self.landed(kept, name, index), stream.orders)
 
@@ -225,7 +229,7 @@ class _Builder:
         order = [f"_order{place}" for place in range(orders)]
         pairs = pair_rows(
             ours, theirs, operator["first_key"], operator["second_key"], operator["time"],
-            TIME, order, self.group_rows, self.lateness,
+            TIME, order, self.group_rows, self.lateness, self.ordered,
         )
         # A pair happens when its later row arrives; the side completes the order.
         later = F.when(F.col("arrived") == 0, F.struct(*[f"first.{column}" for column in (TIME, *order)])).otherwise(

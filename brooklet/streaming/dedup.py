@@ -3,52 +3,50 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from brooklet.streaming.rows import expiry, keep_until, order_columns, pack, unpack
+from brooklet.streaming.rows import check_order, keyed_state, pack, unpack
 
 
 def dedup_stream(
-    df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str], lateness: str | None
+    df: DataFrame,
+    key: str,
+    ttl: float,
+    ts: str,
+    tiebreak: Sequence[str],
+    lateness: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
     """Streaming form of ``operators.dedup``; rows are put in order within each micro-batch.
 
-    With ``lateness`` an anchor is dropped once the watermark is past anchor +
-    ttl.  That changes no result: a row accepted after that is later than the
-    anchor allows anyway.  Rows behind the watermark are dropped by Spark, so
-    ``lateness`` must cover the disorder of the source.  Without it no row is
-    ever late and one time per key is kept for good; this form may also be
-    followed by a further stateful operator.
+    Without ``lateness`` no row is ever late, and one time per key is kept for
+    good.  With it, an anchor is dropped once the watermark is past anchor + ttl.
+    That changes no result: a row accepted after that is later than the anchor
+    allows anyway.  Rows behind the watermark are dropped by Spark, so
+    ``lateness`` must cover the disorder of the source.  ``ordered`` also holds
+    rows back until the watermark has passed them: the result is then that of
+    the batch form, whatever the order of arrival within ``lateness``.
     """
-    span, order, timed = round(ttl * 1_000_000), order_columns(tiebreak), lateness is not None
-
-    def keep(_key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor = state.get[0] if state.exists else None
-        # Rows the stored anchor suppresses are let go chunk by chunk, before anything is gathered.
-        open_rows = [frame if anchor is None else frame[frame["t"] > anchor + span] for frame in frames]
-        rows = pd.concat(open_rows).sort_values(order, kind="stable")
-        times = rows["t"].tolist()
-        kept, place = [], 0
+    span = round(ttl * 1_000_000)
+
+    def keep(rows: pd.DataFrame, anchor: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        times, kept = rows["t"].tolist(), []
+        place = 0 if anchor is None else bisect_right(times, anchor[0] + span)
         while place < len(times):
             kept.append(place)
-            anchor = times[place]
-            place = bisect_right(times, anchor + span, place + 1)
-        if kept:
-            state.update((anchor,))
-            yield rows.iloc[kept][["payload"]]
-        if timed:
-            keep_until(state, anchor + span)
-
-    packed = pack(df, key, ts, tiebreak, 0)
-    if timed:
-        packed = packed.withWatermark("event_time", lateness)
-    kept = packed.groupBy("k").applyInPandasWithState(
-        keep, "payload string", "anchor bigint", "append", expiry(lateness)
+            anchor = (times[place],)
+            place = bisect_right(times, anchor[0] + span, place + 1)
+        return rows.iloc[kept][["payload"]], anchor
+
+    def still_open(rows: pd.DataFrame, anchor: tuple) -> pd.DataFrame:
+        return rows[rows["t"] > anchor[0] + span]
+
+    check_order(df, tiebreak, lateness, ordered)
+    kept = keyed_state(
+        pack(df, key, ts, tiebreak, 0), keep, "anchor bigint", "payload string",
+        lambda anchor: anchor[0] + span, lateness, ordered, still_open,
     )
     return kept.select(unpack("payload", df.schema).alias("row")).select("row.*")

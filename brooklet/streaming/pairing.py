@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.streaming.rows import expiry, keep_until, order_columns, pack, unpack
+from brooklet.streaming.rows import check_order, keyed_state, pack, unpack
 
 
 def pair_rows_stream(
@@ -19,39 +19,27 @@ def pair_rows_stream(
     ttl: float,
     ts: str,
     tiebreak: Sequence[str],
-    lateness: str | None,
+    lateness: str | None = None,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Streaming form of ``operators.pairing.pair_rows``; see ``dedup_stream`` on order and ``lateness``."""
-    span, order, timed = round(ttl * 1_000_000), order_columns(tiebreak), lateness is not None
-
-    def pair(_key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        waiting = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+    """Streaming form of ``operators.pairing.pair_rows``; see ``dedup_stream`` on ``lateness`` and ``ordered``."""
+    span = round(ttl * 1_000_000)
+
+    def pair(rows: pd.DataFrame, waiting: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
         found = []
         for side, t, payload in zip(rows["side"].tolist(), rows["t"].tolist(), rows["payload"].tolist()):
             if waiting is not None and waiting[0] != side and t <= waiting[1] + span:
-                pair = (payload, waiting[2]) if side == 0 else (waiting[2], payload)
-                found.append((*pair, side))
+                found.append((payload, waiting[2], side) if side == 0 else (waiting[2], payload, side))
                 waiting = None
             else:
                 waiting = (side, t, payload)
-        if waiting is not None:
-            state.update(waiting)
-            if timed:
-                keep_until(state, waiting[1] + span)
-        elif state.exists:
-            state.remove()
-        if found:
-            yield pd.DataFrame(found, columns=["first", "second", "arrived"])
+        return pd.DataFrame(found, columns=["first", "second", "arrived"]), waiting
 
+    check_order(first, tiebreak, lateness, ordered)
     packed = pack(first, first_key, ts, tiebreak, 0).unionByName(pack(second, second_key, ts, tiebreak, 1))
-    if timed:
-        packed = packed.withWatermark("event_time", lateness)
-    pairs = packed.groupBy("k").applyInPandasWithState(
-        pair, "first string, second string, arrived int", "side int, t bigint, payload string", "append", expiry(lateness)
+    pairs = keyed_state(
+        packed, pair, "side int, t bigint, payload string", "first string, second string, arrived int",
+        lambda waiting: waiting[1] + span, lateness, ordered,
     )
     return pairs.select(
         unpack("first", first.schema).alias("first"), unpack("second", second.schema).alias("second"), F.col("arrived")

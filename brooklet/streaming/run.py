@@ -79,6 +79,7 @@ def start_job(
     lookup: Callable[[], DataFrame] | DataFrame | None = None,
     targets: Targets = Targets(),
     lateness: str | None = None,
+    ordered: bool = False,
     available_now: bool = False,
     shared_reads: bool = False,
 ) -> list[StreamingQuery]:
@@ -104,7 +105,7 @@ def start_job(
         writers.append((f"landed-{label}", df.writeStream.format("parquet").option("path", path)))
         return spark.readStream.schema(df.schema).parquet(path)
 
-    built = build_job(spark, job, inputs, lookup, land, lateness)
+    built = build_job(spark, job, inputs, lookup, land, lateness, ordered)
     targets.prepare(job)
     together = [output for output in built.outputs if shared_reads and not targets.exactly_once(output)]
     for output in built.outputs:

@@ -98,3 +98,36 @@ def test_time_zone_does_not_matter(spark, events, parts):
         assert rows.count() == 313
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def shuffled(spark, events, seed):
+    """Seven files, each with rows from up to six days around its own: every row is at most six days late."""
+    path = work_path(spark, "disorder")
+    days = F.datediff("ts", F.lit("2024-01-01")) + F.pmod(F.hash("event_id", F.lit(seed)), F.lit(6))
+    for part in range(7):
+        rows = events.filter(F.floor(days / 5) == part)
+        rows.coalesce(1).write.mode("append").parquet(path)
+    # a last row far ahead moves the watermark past all others
+    last = events.limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "ts": F.lit("2025-01-01").cast("timestamp_ntz")})
+    for kind in ("view", "purchase"):
+        last.withColumn("event_type", F.lit(kind)).withColumn("user_id", F.lit(-1).cast("bigint")).coalesce(1).write.mode(
+            "append"
+        ).parquet(path)
+    return path
+
+
+def test_disorder_is_undone_by_waiting(spark, events):
+    source = one_by_one(spark, shuffled(spark, events, 1), events)
+    kept = dedup(source, "user_id", DAY, "ts", ["event_id"], lateness="12 days", ordered=True)
+    rows, query = run(spark, kept, work_path(spark, "ordered"))
+    assert same_rows(rows.filter("user_id >= 0"), dedup(events, "user_id", DAY, "ts", ["event_id"]))
+    pairs = pair_join(*sides(source), "user_id", "buyer", DAY, "ts", ["event_id"], lateness="12 days", ordered=True)
+    rows, _ = run(spark, pairs, work_path(spark, "ordered"))
+    assert same_rows(rows.filter("user_id >= 0"), pair_join(*sides(events), "user_id", "buyer", DAY, "ts", ["event_id"]))
+
+
+def test_waiting_needs_a_bound(spark, events, parts):
+    with pytest.raises(ValueError, match="lateness"):
+        dedup(one_by_one(spark, parts, events), "user_id", DAY, "ts", ["event_id"], ordered=True)
+    with pytest.raises(ValueError, match="numbers or text"):
+        dedup(one_by_one(spark, parts, events), "user_id", DAY, "ts", ["ts"], lateness="1 day", ordered=True)
