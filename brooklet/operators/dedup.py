@@ -159,24 +159,30 @@ def _anchors(hot: HotKeys, times: DataFrame, ttl: float) -> DataFrame:
         blocks["k"].eqNullSafe(borders["border_k"]) & (blocks["block"] == borders["border_block"]),
     )
     over = "over (partition by block, k order by at, ask)"
-    linked = linked.withColumn(
-        "before", F.coalesce(F.expr(f"lag(if(ask = 0, at, null)) ignore nulls {over}"), F.col("tail_before"))
-    ).withColumn(
-        "after", F.coalesce(F.expr(f"lead(if(ask = 0, at, null)) ignore nulls {over}"), F.col("head_after"))
-    )
-    # A row after a silence longer than the ttl is an anchor whatever came before it.
-    known = linked.filter(is_row & (F.col("before").isNull() | (F.col("at") > F.col("before") + span)))
-    anchors = known.select("k", "t")
-    # Every time points to its successor, unless that one is such a known anchor ("before" is the row
-    # just ahead of it).
-    hops = (
-        linked.filter((F.col("ask") == 1) & F.col("after").isNotNull())
-        .filter(F.col("after") <= F.col("before") + span)
-        .select("k", F.col("t").alias("src"), F.col("after").alias("dst"))
+    linked = linked.withColumns(
+        {
+            "before": F.coalesce(F.expr(f"lag(if(ask = 0, at, null)) ignore nulls {over}"), F.col("tail_before")),
+            "after": F.coalesce(F.expr(f"lead(if(ask = 0, at, null)) ignore nulls {over}"), F.col("head_after")),
+            "asked": F.coalesce(F.expr(f"lag(ask) {over}"), F.lit(1)) == 1,
+        }
     )
+    # Rows: one after a silence longer than the ttl is an anchor whatever came before it ("known"), and one
+    # that no question points to is never reached ("asked" is false).  Questions: the answer is where the
+    # time hops to, unless that is such a known anchor ("before" is the row just ahead of it).
+    linked = linked.select(
+        "k",
+        "t",
+        (is_row & (F.col("before").isNull() | (F.col("at") > F.col("before") + span))).alias("known"),
+        (is_row & F.col("asked")).alias("reached"),
+        F.when(~is_row & (F.col("after") <= F.col("before") + span), F.col("after")).alias("dst"),
+    ).checkpoint()
+    anchors = linked.filter("known").select("k", "t")
+    reached = linked.filter("reached").select("k", "t").alias("r")
+    hops = linked.filter("dst is not null").select("k", F.col("t").alias("src"), "dst").alias("h")
+    hops = hops.join(reached, F.col("h.k").eqNullSafe(F.col("r.k")) & (F.col("h.src") == F.col("r.t")), "left_semi")
     # Pointer doubling: after round i the anchors reach 2^i steps from the known ones, and each hop
     # spans 2^i steps.  The rounds grow with the logarithm of the longest chain.
-    anchors, hops = anchors.checkpoint(), hops.checkpoint()
+    hops = hops.checkpoint()
     while not hops.isEmpty():
         step = anchors.alias("a").join(
             hops.alias("h"), F.col("a.k").eqNullSafe(F.col("h.k")) & (F.col("a.t") == F.col("h.src"))

@@ -127,9 +127,10 @@ def build_job(
     ``inputs`` replaces the Kafka topics of the named sources.  ``lookup`` is the
     key/value table of the enrichers; a function is called again for every
     micro-batch that is written through ``foreachBatch``.  ``land`` stores the
-    result of a stateful operator and gives a stream of it (streaming only: one
-    streaming query holds one such operator); ``lateness`` and ``ordered`` are
-    its watermark delay and whether it undoes disorder.
+    result of a stateful operator and reads it back: always in a streaming job,
+    where one query holds one such operator, and in a batch job where the result
+    is read more than once.  ``lateness`` and ``ordered`` are the watermark delay
+    of such operators and whether they undo disorder.
     """
     return _Builder(spark, check_job(job), inputs or {}, lookup, land, lateness, ordered, group_rows, streaming).build()
 
@@ -245,11 +246,17 @@ class _Builder:
         return Stream.start(self.landed(joined, name, index), orders + 1)
 
     def landed(self, df: DataFrame, name: str, index: int) -> DataFrame:
-        if not df.isStreaming:
-            return df
         if self.land is None:
-            raise ValueError("a streaming job with a stateful operator needs a place to land its result")
-        return self.land(df, f"{name}-{index}")
+            if df.isStreaming:
+                raise ValueError("a streaming job with a stateful operator needs a place to land its result")
+            return df
+        return self.land(df, f"{name}-{index}") if df.isStreaming or self.reused(name, index) else df
+
+    def reused(self, name: str, index: int) -> bool:
+        """Is the result of this operator read more than once?  A stateful operator looks for hot keys first."""
+        later = [operator["operator_type"] for operator in self.job["operators"][name][index + 1 :]]
+        stateful = {"deduplicator", "stream_joiner", "stream_joiner_plug", "clone"} & set(later)
+        return bool(stateful) or later.count("output") > 1
 
     # --- routing
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.plans.job import BuiltJob, Output, Records, build_job
 from brooklet.plans.spec import CHECKPOINT_INTERVAL_MS, Job
-from brooklet.session import shared_dir
+from brooklet.session import shared_dir, work_path
 from brooklet.sinks.buckets import bucket_stream, write_buckets
 from brooklet.sinks.topics import topic_writer
 from brooklet.sinks.warehouse import Warehouse, append_rows, run_init
@@ -135,18 +134,21 @@ def run_batch(
     targets: Targets = Targets(),
     group_rows: int | None = GROUP_ROWS,
 ) -> BuiltJob:
-    """Run a job once over what its inputs hold now."""
-    built = build_job(spark, job, inputs, lookup, group_rows=group_rows, streaming=False)
+    """Run a job once over what its inputs hold now.
+
+    A stateful result that is read several times is written to the shared folder
+    first, so that it is shuffled once and survives lost executors.
+    """
+
+    def land(df: DataFrame, label: str) -> DataFrame:
+        path = work_path(spark, f"landed-{label}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    built = build_job(spark, job, inputs, lookup, land, group_rows=group_rows, streaming=False)
     targets.prepare(job)
-    for group in _by_trunk(built.outputs):
-        # A stretch with several outputs is computed once; lost blocks are computed again.
-        several = len(group) > 1
-        if several:
-            group[0].stream.trunk.persist(StorageLevel.DISK_ONLY)
-        for output in group:
-            targets.batch_writer(output)(output.rows, 0)
-        if several:
-            group[0].stream.trunk.unpersist()
+    for output in built.outputs:
+        targets.batch_writer(output)(output.rows, 0)
     return built
 
 

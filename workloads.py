@@ -355,13 +355,14 @@ def dedup_shipments(spark, folder):
 # --- pairing
 
 
-def pair_sql(select: str, where: str = "event_type IN ('view', 'purchase')", ttl: int = DAY) -> str:
+def pair_sql(select: str, source: str = "events", head: str = "WITH") -> str:
     """Views (main side, sorted first) with purchases of the same user."""
-    return f"""
-    WITH m AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS side FROM events WHERE {where}),
+    return f"""{head}
+    m AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 0 ELSE 1 END AS side FROM {source}
+          WHERE event_type IN ('view', 'purchase')),
     l AS (SELECT *, lag(side) OVER w AS ps, lag(ts) OVER w AS pt, lag(event_id) OVER w AS pid
           FROM m WINDOW w AS (PARTITION BY user_id ORDER BY ts, side, event_id)),
-    k AS (SELECT *, coalesce(side <> ps AND ts <= pt + INTERVAL {ttl} SECOND, false) AS link FROM l),
+    k AS (SELECT *, coalesce(side <> ps AND ts <= pt + INTERVAL 1 DAY, false) AS link FROM l),
     i AS (SELECT *, sum(CASE WHEN link THEN 0 ELSE 1 END) OVER (
               PARTITION BY user_id ORDER BY ts, side, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM k),
     p AS (SELECT *, row_number() OVER (PARTITION BY user_id, isl ORDER BY ts, side, event_id) - 1 AS pos FROM i),
@@ -665,6 +666,41 @@ def job_join(spark, folder):
     return build_job(spark, JOIN_JOB, inputs, streaming=False).outputs[0].rows
 
 
+STATEFUL_JOB = {
+    **JOIN_JOB,
+    "sinks": {"out": topic_target("pairs"), "kept": topic_target("kept")},
+    "operators": {
+        **JOIN_JOB["operators"],
+        "events": [
+            {"operator_type": "filter", "expression": "value > 20"},
+            {"operator_type": "deduplicator", "key": "user_id", "time": HOUR},
+            {"operator_type": "output", "sink": "kept"},
+            *JOIN_JOB["operators"]["events"],
+        ],
+    },
+}
+
+
+@register(
+    pair_sql(
+        "v.event_id::INTEGER AS event_id, v.event_type, v.user_id::INTEGER AS user_id, v.value,"
+        " b.user_id::INTEGER AS buyer, b.value AS paid",
+        source="a",
+        head=CHAIN_ANCHORS.replace("86400", "3600") + ",",
+    )
+)
+def job_two_stateful_steps(spark, folder):
+    """Deduplicated, stored, then joined with a clone of itself."""
+    path = work_path(spark, "pairs")
+    inputs = {"events": event_records(table(spark, folder, "events"))}
+    writers = {
+        "out": lambda df, _: df.write.parquet(path),
+        "kept": lambda df, _: df.write.format("noop").mode("overwrite").save(),
+    }
+    run_batch(spark, STATEFUL_JOB, inputs, targets=Targets(writers))
+    return spark.read.parquet(path)
+
+
 @register(
     CHAIN_ANCHORS
     + """,
