@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 # The counter names.
 COUNTERS = (
@@ -64,3 +65,28 @@ def query_totals(query) -> dict[str, int]:
         for name, value in progress_values(progress).items():
             totals[name] = totals.get(name, 0) + value
     return totals
+
+
+class CounterListener(StreamingQueryListener):
+    """Hands the counters of every micro-batch to ``publish(query name, values)``.
+
+    Register it with ``spark.streams.addListener``; ``publish`` forwards the
+    values to whatever collects metrics.
+    """
+
+    def __init__(self, publish: Callable[[str, dict[str, int]], None]) -> None:
+        self._publish = publish
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        values = progress_values(event.progress)
+        if values:
+            self._publish(event.progress.name, values)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

@@ -13,6 +13,10 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.enabled": "true",       # runtime broadcast choice, skew split, partition coalescing
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Keyed state outgrows the heap; this provider keeps it on local disk and writes only changes to the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -34,18 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the setting is missing, a local session gets a fresh temporary folder
     (one process, one machine); a cluster session must name the folder itself.
-    The folder is also made the session's checkpoint folder.
+    The folder is also the session's checkpoint folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="brooklet-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="brooklet-"))
+    return configured or context.getCheckpointDir()
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -4,6 +4,8 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 import pytest
 from conftest import same_rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from models import dedup_model
 from pyspark.sql import functions as F
 
@@ -86,6 +88,23 @@ def test_state_crosses_batch_borders():
         assert sorted(kept) == expected
 
 
+@given(
+    st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.integers(0, 60)), min_size=1, max_size=80),
+    st.integers(1, 20),
+    st.integers(1, 30),
+)
+@settings(max_examples=300, deadline=None)
+def test_any_rows_any_batch_size(rows, ttl, size):
+    ordered = sorted(((key, t, i) for i, (key, t) in enumerate(rows)), key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    state, kept = None, []
+    for at in range(0, len(ordered), size):
+        part = ordered[at : at + size]
+        keys = pa.array([r[0] for r in part], pa.string())
+        keep, state = keep_rows(keys, pa.array([r[1] for r in part], pa.timestamp("us")), ttl, state)
+        kept += [row[2] for row, wanted in zip(part, keep) if wanted]
+    assert sorted(kept) == dedup_model(ordered, ttl)
+
+
 def test_rows_without_time_fail(spark):
     df = spark.createDataFrame([(1, None, 1, "x")], SCHEMA)
     with pytest.raises(Exception, match="needs a time"):

@@ -1,4 +1,5 @@
 import copy
+import time
 
 import pytest
 from conftest import same_rows
@@ -6,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import workloads
-from brooklet.metrics import counter_name, query_totals
+from brooklet.metrics import CounterListener, counter_name, query_totals
 from brooklet.operators import dedup, enrich, filter_rows, pair_join
 from brooklet.plans import Records, build_job
 from brooklet.session import work_path
@@ -228,3 +229,25 @@ def test_setup_statement_needs_an_executor(spark, events):
     seen = []
     run_batch(spark, job, {"events": records(events)}, targets=Targets(execute_sql=lambda sink: seen.append(sink["init_sql"])))
     assert seen == ["create"]
+
+
+def test_counters_are_published_per_micro_batch(spark, events, feed):
+    add, source = feed
+    add(1)
+    seen, listener = [], None
+    path, writer = collector(spark, "published")
+    listener = CounterListener(lambda name, values: seen.append((name, values)))
+    spark.streams.addListener(listener)
+    try:
+        job = simple_job({"operator_type": "filter", "expression": "value > 20"}, {"operator_type": "output", "sink": "out"})
+        start_job(
+            spark, job, path.rsplit("/", 1)[1], {"events": records(source)}, targets=Targets({"out": writer}), available_now=True
+        )
+        for _ in range(100):
+            if len(seen) >= 2:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [values[counter_name("events", 0, "filter_in")] for _, values in seen][:2] == [200, 200]
+    assert seen[0][0].endswith("events-1-out")
