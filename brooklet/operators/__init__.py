@@ -1,5 +1,5 @@
-from brooklet.operators.dedup import dedup
-from brooklet.operators.enrich import enrich
+from brooklet.operators.deduplication import dedup
+from brooklet.operators.enrichment import enrich
 from brooklet.operators.fields import change_field, create_field, delete_field, filter_rows
 from brooklet.operators.pairing import pair_join
 

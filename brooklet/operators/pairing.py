@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brooklet.operators.dedup import require_seconds, require_timestamp
+from brooklet.operators.deduplication import require_seconds, require_timestamp
 from brooklet.operators.fields import require_present
 from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
 

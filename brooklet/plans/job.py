@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.metrics import Counters
-from brooklet.operators.dedup import dedup
-from brooklet.operators.enrich import hit_column, with_lookup
+from brooklet.operators.deduplication import dedup
+from brooklet.operators.enrichment import hit_column, with_lookup
 from brooklet.operators.fields import change_field, create_field, delete_field, filter_rows
 from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.operators.pairing import pair_rows

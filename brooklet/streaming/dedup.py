@@ -20,7 +20,7 @@ def dedup_stream(
     lateness: str | None = None,
     ordered: bool = False,
 ) -> DataFrame:
-    """Streaming form of ``operators.dedup``; rows are put in order within each micro-batch.
+    """Streaming form of ``operators.dedup`` (batch); rows are put in order within each micro-batch.
 
     Without ``lateness`` no row is ever late, and one time per key is kept for
     good.  With it, an anchor is dropped once the watermark is past anchor + ttl.

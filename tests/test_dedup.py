@@ -10,7 +10,7 @@ from models import dedup_model
 from pyspark.sql import functions as F
 
 from brooklet.operators import dedup
-from brooklet.operators.dedup import keep_rows
+from brooklet.operators.deduplication import keep_rows
 
 EPOCH = datetime(2024, 1, 1)
 SCHEMA = "k int, ts timestamp_ntz, id int, note string"
