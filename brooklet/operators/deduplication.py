@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brooklet.operators.fields import require_present
 from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
+from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp
 
 
 def dedup(
@@ -54,16 +54,6 @@ def dedup(
     return ordinary.unionByName(_follow_chains(hot, hot.only(df, key), key, ttl, ts, tiebreak))
 
 
-def require_seconds(ttl: float) -> None:
-    if ttl <= 0:
-        raise ValueError("the time-to-live must be greater than 0 seconds")
-
-
-def require_timestamp(df: DataFrame, ts: str) -> None:
-    if not isinstance(df.schema[ts].dataType, (T.TimestampType, T.TimestampNTZType)):
-        raise ValueError(f"time field {ts!r} must be a timestamp, not {df.schema[ts].dataType.simpleString()}")
-
-
 # --- keys that fit one task: one shuffle, one sort, one pass in constant memory
 
 
@@ -133,11 +123,11 @@ def _follow_chains(
 
 def _anchors(hot: HotKeys, times: DataFrame, ttl: float) -> DataFrame:
     """Anchor times (k, t) of the distinct ``times`` (k, t)."""
-    span = F.make_dt_interval(secs=F.lit(float(ttl)))
+    kind = times.schema["t"].dataType
     # Each time appears twice: as a row, and as the question "which row comes first after t + ttl?".
     # A row exactly at t + ttl sorts before the question, since it is still suppressed.
     entries = times.select("k", F.col("t").alias("at"), F.lit(0).alias("ask"), "t").unionByName(
-        times.select("k", (F.col("t") + span).alias("at"), F.lit(1).alias("ask"), "t")
+        times.select("k", plus_seconds(F.col("t"), kind, ttl).alias("at"), F.lit(1).alias("ask"), "t")
     )
     blocks = in_ranges(entries, hot.ranges(2), "k", "at", "ask")
 
@@ -166,15 +156,16 @@ def _anchors(hot: HotKeys, times: DataFrame, ttl: float) -> DataFrame:
             "asked": F.coalesce(F.expr(f"lag(ask) {over}"), F.lit(1)) == 1,
         }
     )
+    silence_end = plus_seconds(F.col("before"), kind, ttl)
     # Rows: one after a silence longer than the ttl is an anchor whatever came before it ("known"), and one
     # that no question points to is never reached ("asked" is false).  Questions: the answer is where the
     # time hops to, unless that is such a known anchor ("before" is the row just ahead of it).
     linked = linked.select(
         "k",
         "t",
-        (is_row & (F.col("before").isNull() | (F.col("at") > F.col("before") + span))).alias("known"),
+        (is_row & (F.col("before").isNull() | (F.col("at") > silence_end))).alias("known"),
         (is_row & F.col("asked")).alias("reached"),
-        F.when(~is_row & (F.col("after") <= F.col("before") + span), F.col("after")).alias("dst"),
+        F.when(~is_row & (F.col("after") <= silence_end), F.col("after")).alias("dst"),
     ).checkpoint()
     anchors = linked.filter("known").select("k", "t")
     reached = linked.filter("reached").select("k", "t").alias("r")

@@ -17,10 +17,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from brooklet.operators.deduplication import require_seconds, require_timestamp
 from brooklet.operators.fields import require_present
 from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
+from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp
 
 FIRST, SECOND = 0, 1
 
@@ -107,9 +108,9 @@ def _order(key: str, ts: str, tiebreak: Sequence[str], side: int) -> list[Column
     return [F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(side).alias("side"), tie.alias("tie")]
 
 
-def _linked(t_before: Column, side_before: Column, ttl: float) -> Column:
+def _linked(t_before: Column, side_before: Column, kind: T.DataType, ttl: float) -> Column:
     """Is the row before from the other side and recent enough?"""
-    limit = t_before + F.make_dt_interval(secs=F.lit(float(ttl)))
+    limit = plus_seconds(t_before, kind, ttl)
     return F.coalesce((side_before != F.col("side")) & (F.col("t") <= limit), F.lit(False))
 
 
@@ -135,7 +136,7 @@ def _pair_by_key(
     placed = (
         rows.withColumns(before)
         .withColumn("position", F.row_number().over(by_key))
-        .withColumn("linked", _linked(F.col("t_before"), F.col("side_before"), ttl))
+        .withColumn("linked", _linked(F.col("t_before"), F.col("side_before"), first.schema[ts].dataType, ttl))
         .withColumn("run_start", F.max(F.when(~F.col("linked"), F.col("position"))).over(so_far))
     )
     return placed.filter(F.col("linked") & ((F.col("position") - F.col("run_start")) % 2 == 1)).select(
@@ -186,7 +187,7 @@ def _pair_in_ranges(
     placed = (
         placed.withColumn("before", F.coalesce("before", "tail_before"))
         .withColumn("position", F.col("position") + F.col("ahead"))
-        .withColumn("linked", _linked(F.col("before.t"), F.col("before.side"), ttl))
+        .withColumn("linked", _linked(F.col("before.t"), F.col("before.side"), first.schema[ts].dataType, ttl))
         .drop("tail_before", "ahead")
     )
     # A run of linked rows may have begun in an earlier block.

@@ -15,16 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brooklet.operators.times import micros
 from brooklet.sinks.topics import JSON_OPTIONS
 
 
-def micros(df: DataFrame, ts: str) -> Column:
-    """Time as whole microseconds; times without zone count from 1970 on their own clock."""
-    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts))
-    return F.unix_micros(F.col(ts))
-
-
 def pack(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], side: int) -> DataFrame:
     """Columns k, t, side, tie0.., payload and event_time of a record stream."""
     return df.select(

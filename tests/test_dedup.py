@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from models import dedup_model
 from pyspark.sql import functions as F
 
-from brooklet.operators import dedup
+from brooklet.operators import dedup, pair_join
 from brooklet.operators.deduplication import keep_rows
+from brooklet.session import work_path
 
 EPOCH = datetime(2024, 1, 1)
 SCHEMA = "k int, ts timestamp_ntz, id int, note string"
@@ -74,6 +75,34 @@ def test_text_keys_and_both_time_types(spark, kind):
         assert ids(dedup(df, "k", 10, "ts", ["id"], group_rows=group_rows)) == dedup_model(rows, 10)
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_a_day_is_86400_seconds_where_clocks_change(spark, kind):
+    """Times around the night of 10 March 2024 in New York, one of them in the skipped hour."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        step = 1800
+        rows = [(1, i * step, i) for i in range(200)]
+        start = "timestamp_ntz '2024-03-08 00:00:00'" if kind == "timestamp_ntz" else "timestamp '2024-03-08 00:00:00Z'"
+        df = spark.createDataFrame(rows, "k int, s int, id int").selectExpr("k", f"{start} as start", "s", "id")
+        at = F.col("start") + F.make_dt_interval(secs="s") if kind == "timestamp_ntz" else F.timestamp_micros(
+            F.unix_micros("start") + F.col("s").cast("bigint") * 1_000_000
+        )
+        df = df.select("k", at.alias("ts"), "id")
+        expected = dedup_model(rows, 86_400)
+        for group_rows in (None, 20):
+            assert ids(dedup(df, "k", 86_400, "ts", ["id"], group_rows=group_rows)) == expected
+        path = work_path(spark, "clocks")
+        df.coalesce(1).write.parquet(path)
+        stream = dedup(spark.readStream.schema(df.schema).parquet(path), "k", 86_400, "ts", ["id"], lateness="1 day")
+        writer = stream.writeStream.option("path", f"{path}-out").option("checkpointLocation", f"{path}-progress")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        assert ids(spark.read.parquet(f"{path}-out")) == expected
+        pair = pair_join(df, df.withColumn("other", F.col("id")), "k", "k", 86_400, "ts", ["id"])
+        assert pair.count() == 200
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_state_crosses_batch_borders():
     rng = random.Random(5)
     rows = sorted((rng.choice("abc"), rng.randrange(2000), i) for i in range(500))
