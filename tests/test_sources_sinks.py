@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from brooklet.session import work_path
 from brooklet.sinks import (
     Warehouse,
+    append_rows,
     bucket_stream,
     check_title,
     check_warehouse_fields,
+    count_rows,
     json_value,
+    read_back_topic,
     read_buckets,
     run_init,
     table_columns,
+    topic_writer,
     write_buckets,
 )
-from brooklet.sources import decode_json, file_records, kafka_options, topic_records
+from brooklet.sources import decode_json, file_records, kafka_options, kafka_records, topic_records
 
 FIELDS = {"number": "int", "name": "string", "ok": "bool", "amount": "double"}
 
@@ -157,3 +161,18 @@ def test_table_folder_and_single_file_as_stream(spark):
     import workloads
 
     assert workloads.stream(spark, DATA, "events").isStreaming
+
+
+def test_connectors_are_asked_for_by_name(spark, events):
+    """Without the connector jars the failure names what is missing."""
+    with pytest.raises(Exception, match="(?i)kafka"):
+        kafka_records(spark, "broker:9092", "calls", FIELDS)
+    with pytest.raises(Exception, match="(?i)kafka"):
+        read_back_topic(spark, "broker:9092", "calls", FIELDS)
+    with pytest.raises(Exception, match="(?i)kafka"):
+        topic_writer(events, "broker:9092", "calls").save()
+    warehouse = Warehouse("host:5432", "db", "calls")
+    with pytest.raises(Exception, match="postgresql"):
+        append_rows(events, warehouse, {"event_id": "number"})
+    with pytest.raises(Exception, match="postgresql"):
+        count_rows(spark, warehouse)
