@@ -4,6 +4,7 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
+import workloads
 from check import connect, difference
 
 
@@ -13,10 +14,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(workloads.QUERIES) == set(workloads.SQL)
+    assert set(workloads.QUERIES) <= set(entry.queries())
+    assert set(workloads.SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", workloads.QUERIES)
 def test_query(spark, db, name):
     assert difference(spark, db, entry.queries()[name], entry.oracle_sql()[name], DATA) is None
 
