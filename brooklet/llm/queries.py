@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brooklet.llm.decontamination import decontaminate
 from brooklet.llm.exact_dedup import exact_dedup
 from brooklet.llm.line_dedup import dedup_lines
 from brooklet.llm.mixing import mix
+from brooklet.llm.simhash import simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +50,12 @@ def op5_dedup_exact(spark, folder):
     return exact_dedup(table(spark, folder, "documents")).drop("tag")
 
 
+@register()
+def op8_dedup_simhash(spark, folder):
+    """No SQL: DuckDB has no XXH64; tested against all pairs."""
+    return simhash_dedup(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
+
+
 LINE_KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -65,3 +73,31 @@ def op9_dedup_lines(spark, folder):
     return dedup_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+BENCHMARK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register(
+    f"""
+    WITH d AS (SELECT doc_id, {BENCHMARK_WORDS} AS w FROM documents),
+    i AS (SELECT item_id::VARCHAR AS item, {BENCHMARK_WORDS} AS w FROM benchmark),
+    iw AS (SELECT item, w, least(13, len(w)) AS size FROM i WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item, size, array_to_string(list_slice(w, p + 1, p + size), ' ') AS win
+                FROM (SELECT *, unnest(range(len(w) - size + 1)) AS p FROM iw)),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    places AS (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS p FROM d, sizes WHERE len(w) >= size),
+    found AS (SELECT doc_id, places.size, p, item FROM places
+              JOIN windows ON windows.size = places.size AND win = array_to_string(list_slice(w, p + 1, p + places.size), ' ')),
+    hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM found) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+)
+def op10_decontaminate(spark, folder):
+    found = decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
