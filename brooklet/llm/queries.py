@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brooklet.llm.decontamination import decontaminate
 from brooklet.llm.exact_dedup import exact_dedup
+from brooklet.llm.langid import identify_language
 from brooklet.llm.line_dedup import dedup_lines
 from brooklet.llm.mixing import mix
 from brooklet.llm.simhash import simhash_dedup
@@ -50,6 +51,12 @@ def op5_dedup_exact(spark, folder):
     return exact_dedup(table(spark, folder, "documents")).drop("tag")
 
 
+@register()
+def op7_identify_language(spark, folder):
+    """No SQL: trained; tested by held-out accuracy and against a plain context tree."""
+    return identify_language(table(spark, folder, "documents")).drop("tag")
+
+
 @register()
 def op8_dedup_simhash(spark, folder):
     """No SQL: DuckDB has no XXH64; tested against all pairs."""
