@@ -11,8 +11,11 @@ from brooklet.llm.decontamination import decontaminate
 from brooklet.llm.exact_dedup import exact_dedup
 from brooklet.llm.langid import identify_language
 from brooklet.llm.line_dedup import dedup_lines
+from brooklet.llm.common import scratch
 from brooklet.llm.mixing import mix
+from brooklet.llm.paragraph_dedup import dedup_units
 from brooklet.llm.simhash import simhash_dedup
+from brooklet.llm.warc import page_of, read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +43,36 @@ def op1_mix_sources(spark, folder):
     )
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(
+    rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos, len(lines) AS n FROM d),
+    p AS (SELECT *, length(line) + (pos < n - 1)::INTEGER AS size,
+                 regexp_extract_all({LOWER.format("line")}, '[^\x20\x09-\x0D]+') AS words FROM l),
+    o AS (SELECT *, (sum(size) OVER (PARTITION BY doc_id ORDER BY pos) - size)::BIGINT AS place FROM p),
+    r AS (SELECT *, row_number() OVER w AS rank, first_value(doc_id) OVER w AS first_doc FROM o
+          WHERE len(words) >= 8 WINDOW w AS (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, place)),
+    a AS (SELECT o.*, coalesce(rank > 1, false) AS gone, first_doc FROM o LEFT JOIN r USING (doc_id, pos))
+    SELECT doc_id, sum(size)::BIGINT AS n_chars, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+           coalesce(sum(size) FILTER (gone), 0)::BIGINT AS n_removed_chars,
+           coalesce(string_agg(place || '-' || (place + size) || ':' || first_doc, ',' ORDER BY pos) FILTER (gone), '') AS spans,
+           sha256(coalesce(string_agg(line || CASE WHEN pos < n - 1 THEN chr(10) ELSE '' END, '' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM a GROUP BY doc_id"""
+)
+def op3_dedup_paragraphs(spark, folder):
+    """Repeated lines of at least 8 words; removed places as start-end:document that keeps the line."""
+    found = dedup_units(table(spark, folder, "documents"))
+    spans = F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(":"), s["first_doc_id"].cast("string")))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_chars", "n_units", F.size("spans").cast("long").alias("n_removed"), removed.alias("n_removed_chars"),
+        F.array_join(spans, ",").alias("spans"), F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 @register(
     r"""
     WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -51,6 +84,30 @@ def op5_dedup_exact(spark, folder):
     return exact_dedup(table(spark, folder, "documents")).drop("tag")
 
 
+@register(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+                      min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+    v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || hex[i * 5 + 1 : i * 5 + 5])::BIGINT) AS parts FROM p)
+    SELECT page_id, strlen(html) AS payload_bytes,
+           array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+               lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> b) & 31) + 1]), '')), '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM v"""
+)
+def op6_warc_archive(spark, folder):
+    """Every page written to archives and read back."""
+    files = write_warc(table(spark, folder, "pages"), scratch(spark, "warc"))
+    found = read_warc(files).withColumn("sound", F.coalesce("verified", F.lit(True)))
+    damaged = F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id")))
+    return found.select(
+        page_of("record_id").alias("page_id"), "payload_bytes",
+        F.when(F.col("sound"), F.col("payload_digest")).otherwise(damaged).alias("payload_digest"),
+        "record_type", page_of("refers_to").alias("refers_to"),
+    )
+
+
 @register()
 def op7_identify_language(spark, folder):
     """No SQL: trained; tested by held-out accuracy and against a plain context tree."""
