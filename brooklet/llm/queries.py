@@ -12,6 +12,7 @@ from brooklet.llm.exact_dedup import exact_dedup
 from brooklet.llm.langid import identify_language
 from brooklet.llm.line_dedup import dedup_lines
 from brooklet.llm.common import scratch
+from brooklet.llm.lm_scoring import score_texts
 from brooklet.llm.mixing import mix
 from brooklet.llm.paragraph_dedup import dedup_units
 from brooklet.llm.simhash import simhash_dedup
@@ -43,6 +44,12 @@ def op1_mix_sources(spark, folder):
     )
 
 
+@register()
+def op2_score_lm(spark, folder):
+    """No SQL: trained; tested against plain counts and the plain forward recursion."""
+    return score_texts(table(spark, folder, "documents")).drop("tag")
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
