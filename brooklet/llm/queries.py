@@ -16,6 +16,7 @@ from brooklet.llm.lm_scoring import score_texts
 from brooklet.llm.mixing import mix
 from brooklet.llm.paragraph_dedup import dedup_units
 from brooklet.llm.simhash import simhash_dedup
+from brooklet.llm.suffix_dedup import repeated_spans
 from brooklet.llm.warc import page_of, read_warc, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,17 @@ def op3_dedup_paragraphs(spark, folder):
     )
 
 
+@register()
+def op4_dedup_suffixes(spark, folder):
+    """No SQL: it would compare every string of 400 bytes; tested against a plain table of all strings."""
+    found = repeated_spans(table(spark, folder, "documents"))
+    removed = F.aggregate(
+        F.sequence(F.lit(0), F.size("spans")), F.lit(0).cast("long"),
+        lambda total, at: total + F.when(at % 2 == 1, F.get("spans", at) - F.get("spans", at - 1)).otherwise(0),
+    )
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), "kept_sha256")
+
+
 @register(
     r"""
     WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
