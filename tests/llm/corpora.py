@@ -1,0 +1,45 @@
+"""Small tables for the corpus operators, and plain versions of the text rules."""
+
+import re
+
+# Columns beside the wanted ones; some are called like results, or like wanted columns but for case.
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, tag string, size int, TEXT string, row long"
+PASSAGE = "the quick brown fox jumps over the lazy dog while nobody looks and then it runs home again before night falls"
+
+
+def table(spark, rows):
+    """Documents from (doc_id, text), (doc_id, text, lang) or (doc_id, text, lang, source)."""
+    full = [(*row, *(None,) * (4 - len(row)), None, True, "t", 7, "other", 5) for row in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def edge_rows():
+    long_text = " ".join(f"word{n % 977} x{n % 31}" for n in range(30_000))
+    return [
+        (1, f"{PASSAGE}\nA line of its own that is long enough to count here", "en", "a"),
+        (2, None, None, None),
+        (3, "", "en", "a"),
+        (4, f"{PASSAGE.upper()}  \n\n{PASSAGE}", "en", None),
+        (4, f"{PASSAGE.upper()}  \n\n{PASSAGE}", "en", None),
+        (5, long_text, "de", "b"),
+        (6, long_text + " tail", "de", "b"),
+        (None, PASSAGE, "en", "b"),
+        (None, None, None, "c"),
+        (7, " \t\n\x0b\f\r ", "fr", "c"),
+        (8, "É ñandú \U0001f600 ÀÉ", "es", "é"),
+        (9, "12 34 !!", None, "Z"),
+        (10, f"{PASSAGE}\nA line of its own that is long enough to count here", "en", "a"),
+        (4, "another text under the same id", "en", "a"),
+    ]
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda found: found[0].lower(), text or "")
+
+
+def order(doc_id):
+    return (doc_id is None, doc_id or 0)

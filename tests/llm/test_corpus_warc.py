@@ -1,0 +1,103 @@
+"""Archives: framing, digests, damage, and a round trip through files."""
+
+import base64
+import gzip
+import hashlib
+import io
+from collections import defaultdict
+
+import pytest
+
+from brooklet.llm.common import scratch
+from brooklet.llm.warc import page_of, page_record, payload_digest, read_warc, record_bytes, records, write_warc
+
+PAGES = "page_id bigint, url string, html string, digest string, HTML string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*row, "d", "h") for row in rows], PAGES)
+
+
+ROWS = [
+    (3, "http://a/3", "<p>same é</p>"),
+    (1, "http://a/1\r\nX: y", "<p>same é</p>"),
+    (2, None, ""),
+    (4, "http://a/4", None),
+    (None, "http://a/n", "<p>same é</p>"),
+    (5, "http://a/5", "\r\n\r\nWARC/1.1\r\n" * 3),
+    (6, "http://a/6", "long " * 300_000),
+    (7, "http://a/7", "<b>alone</b>"),
+    (7, "http://a/7", "<b>alone</b>"),
+]
+
+
+def plain(rows, min_bytes):
+    groups = defaultdict(list)
+    for page_id, _, html in rows:
+        groups[html or ""].append(page_id)
+    found = []
+    for html, ids in groups.items():
+        data = html.encode()
+        first = min((x for x in ids if x is not None), default=None) if len(data) >= min_bytes else None
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        found += [(x, len(data), digest, "revisit", first) if first is not None and x != first else (x, len(data), digest, "response", None) for x in ids]
+    return sorted(found, key=str)
+
+
+@pytest.mark.parametrize("min_bytes, file_bytes", [(0, 64 << 20), (5, 300)])
+@pytest.mark.parametrize("rows", [ROWS, [], [(None, None, None), (None, None, None)]])
+def test_round_trip(spark, rows, min_bytes, file_bytes):
+    files = write_warc(pages(spark, rows), scratch(spark, "warc"), min_bytes=min_bytes, file_bytes=file_bytes)
+    found = read_warc(files).withColumn("page", page_of("record_id")).withColumn("first", page_of("refers_to")).collect()
+    mine = [(row["page"], row["payload_bytes"], row["payload_digest"], row["record_type"], row["first"]) for row in found]
+    assert sorted(mine, key=str) == plain(rows, min_bytes)
+    text = {page_id: html or "" for page_id, _, html in rows}
+    for row in found:
+        if row["record_type"] == "response":
+            assert row["verified"] and bytes(row["payload"]).decode() == text[row["page"]]
+        else:
+            assert row["verified"] is None and row["payload"] is None
+    assert sum(row["n_records"] for row in files.collect()) == len(rows)
+
+
+def test_files_are_plain_gzip_with_one_member_per_record(spark):
+    files = write_warc(pages(spark, ROWS).coalesce(1), scratch(spark, "warc")).collect()
+    assert files
+    for row in files:
+        with open(row["path"].removeprefix("file:"), "rb") as file:
+            data = file.read()
+        assert len(data) == row["size"]
+        assert gzip.decompress(data).count(b"WARC-Record-ID") == row["n_records"]
+        offsets = [record["record_offset"] for record in records(io.BytesIO(data))]
+        assert all(data[offset : offset + 2] == b"\x1f\x8b" for offset in offsets)
+
+
+class Trickle(io.BytesIO):
+    def read(self, size=-1):
+        return super().read(min(size, 7))
+
+
+def test_reading_bit_by_bit():
+    data = b"".join(page_record(f"urn:page:{n}", "http://x", b"<p>%d</p>" % n * n, payload_digest(b"<p>%d</p>" % n * n), None) for n in range(20))
+    assert list(records(Trickle(data))) == list(records(io.BytesIO(data)))
+    assert [len(record["payload"]) for record in records(Trickle(data))] == [len(b"<p>%d</p>" % n * n) for n in range(20)]
+
+
+def test_damage():
+    good = page_record("urn:page:1", "http://x", b"text", payload_digest(b"text"), None)
+    with pytest.raises(ValueError, match="breaks off"):
+        list(records(io.BytesIO(good + good[:-20])))
+    assert [record["verified"] for record in records(io.BytesIO(page_record("urn:page:1", None, b"text", payload_digest(b"other"), None)))] == [False]
+    with pytest.raises(ValueError, match="no record"):
+        list(records(io.BytesIO(gzip.compress(b"something else\r\n"))))
+    short = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nabc")
+    with pytest.raises(ValueError, match="shorter"):
+        list(records(io.BytesIO(short)))
+    long = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 1\r\n\r\nabcdefgh")
+    with pytest.raises(ValueError, match="longer"):
+        list(records(io.BytesIO(long)))
+
+
+def test_other_records():
+    info = record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<a>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n")
+    assert [(record["record_type"], record["payload"], record["payload_digest"]) for record in records(io.BytesIO(info))] == [("warcinfo", b"software: x\r\n", None)]
