@@ -332,7 +332,9 @@ def repeated_spans(
     kind = rows.schema["doc_id"].dataType.simpleString()
     anchors = land(rows.mapInArrow(_anchor_rows(match, gram), f"doc_id {kind}, tag long, gram long, at long"))
     counts = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = anchors.join(counts, "gram").select("doc_id", "tag", F.struct("at", "gram", (F.col("n") > group_rows).alias("hot")).alias("anchor"))
+    # Joined on another form of the key, both sides are shuffled, and Spark splits the tasks of common grams.
+    counts = counts.select(F.bitwise_not("gram").alias("other"), "n")
+    met = anchors.join(counts, F.bitwise_not("gram") == F.col("other")).select("doc_id", "tag", F.struct("at", "gram", (F.col("n") > group_rows).alias("hot")).alias("anchor"))
     per_text = met.groupBy(F.col("doc_id").alias("other_id"), F.col("tag").alias("other_tag")).agg(F.collect_set("anchor").alias("anchors"))
     mine = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("tag") == F.col("other_tag"))
     path = scratch(spark, "candidates")
