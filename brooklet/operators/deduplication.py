@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from brooklet.operators.fields import require_present
 from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
-from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp
+from brooklet.operators.names import field, fields, quoted, total_order
+from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp, with_times
 
 
 def dedup(
@@ -33,8 +34,9 @@ def dedup(
 ) -> DataFrame:
     """Rows of ``df`` that survive a time-to-live of ``ttl`` seconds per ``key``.
 
-    ``tiebreak`` orders rows with equal key and time; with it the result is
-    deterministic.  Batch input is first checked for keys above ``group_rows``
+    ``tiebreak`` orders rows with equal key and time; those it leaves equal are
+    ordered by a hash of the whole row, so the result is always the same.  A row
+    without time fails the query.  Batch input is first checked for keys above ``group_rows``
     rows (one small job; ``None`` skips it).  Streaming input keeps one anchor
     per key as state; ``lateness`` is the watermark delay after which anchors
     may expire, and ``ordered`` waits that long to undo disorder (see
@@ -43,11 +45,12 @@ def dedup(
     require_present(df, key, ts, *tiebreak)
     require_seconds(ttl)
     require_timestamp(df, ts)
+    df = with_times(df, ts)
     if df.isStreaming:
         from brooklet.streaming.dedup import dedup_stream
 
         return dedup_stream(df, key, ttl, ts, tiebreak, lateness, ordered)
-    hot = find_hot_keys(df.select(key), group_rows)
+    hot = find_hot_keys(df.select(field(key)), group_rows)
     if hot is None:
         return _scan_keys(df, key, ttl, ts, tiebreak)
     ordinary = _scan_keys(hot.without(df, key), key, ttl, ts, tiebreak)
@@ -58,7 +61,7 @@ def dedup(
 
 
 def _scan_keys(df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str]) -> DataFrame:
-    ordered = df.repartition(F.col(key)).sortWithinPartitions(key, ts, *tiebreak)
+    ordered = df.repartition(field(key)).sortWithinPartitions(field(key), field(ts), *total_order(df, tiebreak))
     key_at, ts_at, micros = df.columns.index(key), df.columns.index(ts), round(ttl * 1_000_000)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +71,13 @@ def _scan_keys(df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[
                 keep, state = keep_rows(batch.column(key_at), batch.column(ts_at), micros, state)
                 yield batch.filter(pa.array(keep))
 
-    return ordered.mapInArrow(scan, df.schema)
+    # The hand-over to Python takes plain names only.
+    plain = ordered.toDF(*[f"c{place}" for place in range(len(df.columns))])
+    return plain.mapInArrow(scan, plain.schema).toDF(*df.columns)
 
 
 def keep_rows(keys: pa.Array, times: pa.Array, ttl: int, state: tuple | None) -> tuple[np.ndarray, tuple]:
     """Which rows of a batch sorted by (key, time) are kept; ``state`` links it to the batch before."""
-    if times.null_count:
-        raise ValueError("deduplication needs a time on every row")
     t = times.cast(pa.int64()).to_numpy(zero_copy_only=False)
     size = len(t)
     # A stretch starts with a new key or after a silence longer than the ttl; its first row is always kept.
@@ -113,12 +116,11 @@ def keep_rows(keys: pa.Array, times: pa.Array, ttl: int, state: tuple | None) ->
 def _follow_chains(
     hot: HotKeys, df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str]
 ) -> DataFrame:
-    kept = _anchors(hot, df.select(F.col(key).alias("k"), F.col(ts).alias("t")).distinct(), ttl)
-    rows = df.join(kept, df[key].eqNullSafe(kept["k"]) & (df[ts] == kept["t"]), "left_semi")
-    # One row per kept (key, time): the first by tiebreak, combined map-side before the shuffle.
-    whole = F.struct(*[F.col(name) for name in df.columns])
-    first = F.min_by(whole, F.struct(*[F.col(name) for name in tiebreak])) if tiebreak else F.first(whole)
-    return rows.groupBy(F.col(key).alias("k"), F.col(ts).alias("t")).agg(first.alias("row")).select("row.*")
+    kept = _anchors(hot, df.select(field(key).alias("k"), field(ts).alias("t")).distinct(), ttl)
+    rows = df.join(kept, df[quoted(key)].eqNullSafe(kept["k"]) & (df[quoted(ts)] == kept["t"]), "left_semi")
+    # One row per kept (key, time): the first in the total order, combined map-side before the shuffle.
+    first = F.min_by(F.struct(*fields(df)), F.struct(*total_order(df, tiebreak)))
+    return rows.groupBy(field(key).alias("k"), field(ts).alias("t")).agg(first.alias("row")).select("row.*")
 
 
 def _anchors(hot: HotKeys, times: DataFrame, ttl: float) -> DataFrame:

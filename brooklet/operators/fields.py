@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from brooklet.functions import Expression, cast_as, condition
+from brooklet.operators.names import present_name
 
 
 def filter_rows(df: DataFrame, expression: Expression) -> DataFrame:
@@ -44,5 +45,6 @@ def require_present(df: DataFrame, *names: str) -> None:
 
 
 def require_absent(df: DataFrame, name: str) -> None:
-    if name in df.columns:
-        raise ValueError(f"field {name!r} is already in the schema")
+    known = present_name(df, name)
+    if known is not None:
+        raise ValueError(f"field {name!r} is already in the schema" + (f" as {known!r}" if known != name else ""))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brooklet.operators.names import field, quoted
 from brooklet.session import shared_dir
 
 # Rows of one key that a single task may sort; a few hundred MB of narrow rows.
@@ -42,7 +43,7 @@ class HotKeys:
 
     def _match(self, df: DataFrame, key: str, how: str) -> DataFrame:
         # At most rows / group_rows entries, see find_hot_keys.
-        return df.join(F.broadcast(self.table), df[key].eqNullSafe(self.table[_HOT]), how)
+        return df.join(F.broadcast(self.table), df[quoted(key)].eqNullSafe(self.table[_HOT]), how)
 
     def ranges(self, rows_per_hot_row: int = 1) -> int:
         """Number of range partitions that keeps each near ``group_rows`` rows."""
@@ -60,7 +61,7 @@ def find_hot_keys(keys: DataFrame, group_rows: int | None) -> HotKeys | None:
     if group_rows is None:
         return None
     name = keys.columns[0]
-    counts = keys.groupBy(F.col(name).alias(_HOT)).agg(F.count(F.lit(1)).alias("n"))
+    counts = keys.groupBy(field(name).alias(_HOT)).agg(F.count(F.lit(1)).alias("n"))
     found = counts.filter(F.col("n") > group_rows).collect()
     if not found:
         return None

@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from brooklet.operators.fields import require_present
 from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
-from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp
+from brooklet.operators.names import field, fields, present_name, total_order
+from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp, with_times
 
 FIRST, SECOND = 0, 1
 
@@ -40,13 +41,15 @@ def pair_join(
 ) -> DataFrame:
     """Pairs of ``first`` (the main side) and ``second`` rows with equal keys.
 
-    The result has the fields of both sides; on equal names the main side wins.
-    ``ts`` and the ``tiebreak`` columns exist on both sides; rows are taken in
-    order of time, then main side first, then ``tiebreak``, which must tell the
-    rows of one side with equal key and time apart.
+    The result has the fields of both sides; on equal names the main side wins,
+    also where they differ in case and the session does not.  ``ts`` and the
+    ``tiebreak`` columns exist on both sides; rows are taken in order of time,
+    then main side first, then ``tiebreak``, then by a hash of the whole row.  A
+    row without time fails the query.
     """
     pairs = pair_rows(first, second, first_key, second_key, ttl, ts, tiebreak, group_rows, lateness, ordered)
-    return pairs.select("first.*", *[f"second.{name}" for name in second.columns if name not in first.columns])
+    theirs = [F.col("second").getField(name).alias(name) for name in second.columns if present_name(first, name) is None]
+    return pairs.select("first.*", *theirs)
 
 
 def pair_rows(
@@ -69,11 +72,12 @@ def pair_rows(
     require_present(second, second_key, ts, *tiebreak)
     require_seconds(ttl)
     _require_same_types(first, second, first_key, second_key, ts, tiebreak)
+    first, second = with_times(first, ts), with_times(second, ts)
     if first.isStreaming or second.isStreaming:
         from brooklet.streaming.pairing import pair_rows_stream
 
         return pair_rows_stream(first, second, first_key, second_key, ttl, ts, tiebreak, lateness, ordered)
-    keys = first.select(F.col(first_key).alias("k")).unionAll(second.select(F.col(second_key).alias("k")))
+    keys = first.select(field(first_key).alias("k")).unionAll(second.select(field(second_key).alias("k")))
     hot = find_hot_keys(keys, group_rows)
     if hot is None:
         return _pair_by_key(first, second, first_key, second_key, ttl, ts, tiebreak)
@@ -99,13 +103,13 @@ def _require_same_types(
 
 
 def _row(df: DataFrame) -> Column:
-    return F.struct(*[F.col(name) for name in df.columns])
+    return F.struct(*fields(df))
 
 
-def _order(key: str, ts: str, tiebreak: Sequence[str], side: int) -> list[Column]:
-    """The four ordering columns: key, time, side and tiebreak."""
-    tie = F.struct(*[F.col(name) for name in tiebreak]) if tiebreak else F.lit(0)
-    return [F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(side).alias("side"), tie.alias("tie")]
+def _order(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], side: int) -> list[Column]:
+    """The four ordering columns: key, time, side and tie; only copies of a row are equal in all."""
+    tie = F.struct(*[column.alias(f"tie{place}") for place, column in enumerate(total_order(df, tiebreak))])
+    return [field(key).alias("k"), field(ts).alias("t"), F.lit(side).alias("side"), tie.alias("tie")]
 
 
 def _linked(t_before: Column, side_before: Column, kind: T.DataType, ttl: float) -> Column:
@@ -123,10 +127,10 @@ def _pair_by_key(
     nothing = F.lit(None)
     first_type, second_type = first.select(_row(first)).schema[0].dataType, second.select(_row(second)).schema[0].dataType
     rows = first.select(
-        *_order(first_key, ts, tiebreak, FIRST), _row(first).alias("first"), nothing.cast(second_type).alias("second")
+        *_order(first, first_key, ts, tiebreak, FIRST), _row(first).alias("first"), nothing.cast(second_type).alias("second")
     ).unionAll(
         second.select(
-            *_order(second_key, ts, tiebreak, SECOND), nothing.cast(first_type).alias("first"), _row(second).alias("second")
+            *_order(second, second_key, ts, tiebreak, SECOND), nothing.cast(first_type).alias("first"), _row(second).alias("second")
         )
     )
     by_key = Window.partitionBy("k").orderBy("t", "side", "tie")
@@ -160,22 +164,25 @@ def _pair_in_ranges(
     tiebreak: Sequence[str],
 ) -> DataFrame:
     # Of the rows of one side at one instant, only the first can close a pair and only the last can
-    # wait; the others replace each other.  This is combined map-side.
-    sides = first.select(*_order(first_key, ts, tiebreak, FIRST)).unionAll(
-        second.select(*_order(second_key, ts, tiebreak, SECOND))
+    # wait; the others replace each other.  This is combined map-side.  Copies of a row are numbered.
+    sides = first.select(*_order(first, first_key, ts, tiebreak, FIRST)).unionAll(
+        second.select(*_order(second, second_key, ts, tiebreak, SECOND))
     )
-    ends = sides.groupBy("k", "t", "side").agg(F.min("tie").alias("low"), F.max("tie").alias("high"))
-    rows = ends.select("k", "t", "side", F.explode(F.array_distinct(F.array("low", "high"))).alias("tie"))
-    blocks = in_ranges(rows, hot.ranges(), "k", "t", "side", "tie")
-
-    in_block = Window.partitionBy("block", "k").orderBy("t", "side", "tie")
+    copies = sides.groupBy("k", "t", "side", "tie").agg(F.count(F.lit(1)).alias("n"))
+    low, high = F.struct("tie", F.lit(0).cast("bigint").alias("copy")), F.struct("tie", (F.col("n") - 1).alias("copy"))
+    ends = copies.groupBy("k", "t", "side").agg(F.min(low).alias("low"), F.max(high).alias("high"))
+    rows = ends.select("k", "t", "side", F.explode(F.array_distinct(F.array("low", "high"))).alias("end"))
+    rows = rows.select("k", "t", "side", "end.tie", "end.copy")
+    blocks = in_ranges(rows, hot.ranges(), "k", "t", "side", "tie", "copy")
+
+    in_block = Window.partitionBy("block", "k").orderBy("t", "side", "tie", "copy")
     blocks = blocks.withColumn("position", F.row_number().over(in_block)).withColumn(
         "before", F.lag(F.struct("t", "side", "tie")).over(in_block)
     )
     # Borders: the row before each (key, block), and the number of rows ahead of it.
     earlier = Window.partitionBy("k").orderBy("block")
     borders = blocks.groupBy("k", "block").agg(
-        F.max(F.struct("t", "side", "tie")).alias("tail"), F.count(F.lit(1)).alias("n")
+        F.max_by(F.struct("t", "side", "tie"), F.struct("t", "side", "tie", "copy")).alias("tail"), F.count(F.lit(1)).alias("n")
     )
     borders = borders.select(
         "k",
@@ -210,10 +217,11 @@ def _pair_in_ranges(
         F.when(is_first, waited).otherwise(arrived).alias("second_at"),
     )
 
-    # Each row is in at most one pair, so these joins are one-to-one and spread evenly.
+    # Each row is in at most one pair, so these joins spread evenly; of copies any one will do.
     def rows_of(df: DataFrame, key: str, side: int, name: str) -> DataFrame:
-        k, t, _, tie = _order(key, ts, tiebreak, side)
-        return df.select(k.alias(f"{name}_k"), F.struct(t, tie).alias(f"{name}_id"), _row(df).alias(name))
+        k, t, _, tie = _order(df, key, ts, tiebreak, side)
+        rows = df.select(k.alias(f"{name}_k"), F.struct(t, tie).alias(f"{name}_id"), _row(df).alias(name))
+        return rows.dropDuplicates([f"{name}_k", f"{name}_id"])
 
     ours, theirs = rows_of(first, first_key, FIRST, "first"), rows_of(second, second_key, SECOND, "second")
     return (

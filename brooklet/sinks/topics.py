@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brooklet.operators.names import field
 from brooklet.sources.records import decode_json, kafka_options
 
 # Times are written in full; the default text form would cut microseconds.
@@ -19,7 +20,7 @@ JSON_OPTIONS = {
 
 def json_value(df: DataFrame) -> DataFrame:
     """One JSON object per row in column ``value``: fields in alphabetical order, nulls written, no key."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns)), JSON_OPTIONS).alias("value"))
+    return df.select(F.to_json(F.struct(*map(field, sorted(df.columns))), JSON_OPTIONS).alias("value"))
 
 
 def topic_writer(df: DataFrame, address: str, topic: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +27,22 @@ def pair_rows_stream(
     span = round(ttl * 1_000_000)
 
     def pair(rows: pd.DataFrame, waiting: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
-        found = []
-        for side, t, payload in zip(rows["side"].tolist(), rows["t"].tolist(), rows["payload"].tolist()):
-            if waiting is not None and waiting[0] != side and t <= waiting[1] + span:
-                found.append((payload, waiting[2], side) if side == 0 else (waiting[2], payload, side))
-                waiting = None
-            else:
-                waiting = (side, t, payload)
-        return pd.DataFrame(found, columns=["first", "second", "arrived"]), waiting
+        """The closed form of the batch operator; the row that waits comes before all others."""
+        side, t, payload = (rows[name].to_numpy() for name in ("side", "t", "payload"))
+        if waiting is not None:
+            side, t, payload = (np.concatenate([[old], new]) for old, new in zip(waiting, (side, t, payload.astype(object))))
+        if not len(side):
+            return pd.DataFrame(columns=["first", "second", "arrived"]), waiting
+        side, t = side.astype(np.int64), t.astype(np.int64)
+        linked = np.zeros(len(side), dtype=bool)
+        linked[1:] = (side[1:] != side[:-1]) & (t[1:] - t[:-1] <= span)
+        place = np.arange(len(side))
+        closing = linked & ((place - np.maximum.accumulate(np.where(linked, 0, place))) % 2 == 1)
+        later = np.flatnonzero(closing)
+        ours = np.where(side[later] == 0, later, later - 1)
+        theirs = np.where(side[later] == 0, later - 1, later)
+        found = pd.DataFrame({"first": payload[ours], "second": payload[theirs], "arrived": side[later]})
+        return found, None if closing[-1] else (int(side[-1]), int(t[-1]), payload[-1])
 
     check_order(first, tiebreak, lateness, ordered)
     packed = pack(first, first_key, ts, tiebreak, 0).unionByName(pack(second, second_key, ts, tiebreak, 1))

@@ -15,21 +15,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brooklet.operators.names import field, fields, total_order
 from brooklet.operators.times import micros
 from brooklet.sinks.topics import JSON_OPTIONS
 
 
 def pack(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], side: int) -> DataFrame:
-    """Columns k, t, side, tie0.., payload and event_time of a record stream."""
+    """Columns k, t, side, ties, payload and event_time of a record stream.
+
+    The total order of the batch operators, in columns without nulls: pandas
+    would turn whole numbers beside a null into floats.  A tie is two columns, 0
+    and a stand-in for null, or 1 and the value.
+    """
+    ties = []
+    for place, column in enumerate(total_order(df, tiebreak)):
+        kind = df.schema[tiebreak[place]].dataType if place < len(tiebreak) else T.LongType()
+        ties += [column.isNotNull().cast("int").alias(f"has{place}"), F.coalesce(column, _stand_in(kind)).alias(f"tie{place}")]
     return df.select(
-        F.col(key).alias("k"),
+        field(key).alias("k"),
         micros(df, ts).alias("t"),
         F.lit(side).alias("side"),
-        *[F.col(name).alias(f"tie{place}") for place, name in enumerate(tiebreak)],
-        F.to_json(F.struct(*df.columns), JSON_OPTIONS).alias("payload"),
+        *ties,
+        F.to_json(F.struct(*fields(df)), JSON_OPTIONS).alias("payload"),
     ).withColumn("event_time", F.timestamp_micros("t"))
 
 
+def _stand_in(kind: T.DataType) -> Column:
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return F.lit(0).cast(kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01").cast(kind)
+    return F.lit("").cast(kind)
+
+
 def unpack(payload: str, schema: T.StructType) -> Column:
     """The record written by ``pack`` as a struct."""
     return F.from_json(F.col(payload), schema, {**JSON_OPTIONS, "mode": "FAILFAST"})

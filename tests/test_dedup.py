@@ -135,9 +135,26 @@ def test_any_rows_any_batch_size(rows, ttl, size):
 
 
 def test_rows_without_time_fail(spark):
-    df = spark.createDataFrame([(1, None, 1, "x")], SCHEMA)
-    with pytest.raises(Exception, match="needs a time"):
-        dedup(df, "k", 10, "ts", ["id"]).collect()
+    df = spark.createDataFrame([(1, None, 1, "x"), (1, EPOCH, 2, "y"), (1, EPOCH, 3, "y")], SCHEMA)
+    for group_rows in (None, 1):
+        with pytest.raises(Exception, match="needs a time"):
+            dedup(df, "k", 10, "ts", ["id"], group_rows=group_rows).collect()
+
+
+def test_all_ways_agree_without_a_unique_tiebreak(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 1, 2]), EPOCH + timedelta(seconds=rng.randrange(60)), rng.randrange(5), rng.choice("xy")) for _ in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    for tiebreak in ([], ["note"]):
+        found = [sorted(map(str, dedup(df, "k", 5, "ts", tiebreak, group_rows=n).collect())) for n in (None, 10, 120)]
+        assert found[0] and found[1] == found[0] == found[2]
+
+
+def test_names_with_dots(spark):
+    df = frame(spark, SAMPLES["many keys"]).withColumnsRenamed({"k": "a.k", "ts": "a.ts", "id": "a.id"})
+    for group_rows in (None, 20):
+        kept = dedup(df, "a.k", 10, "a.ts", ["a.id"], group_rows=group_rows)
+        assert sorted(row["a.id"] for row in kept.collect()) == dedup_model(SAMPLES["many keys"], 10)
 
 
 def test_guards(spark, events):

@@ -81,3 +81,38 @@ def test_guards(spark, events):
         pair_join(events, events, "user_id", "user_id", -1)
     with pytest.raises(ValueError, match="differ in type"):
         pair_join(events, events, "user_id", "event_type", 10)
+
+
+def repeated(spark, seed, size, name):
+    """Rows with few times, few notes and many copies, and nothing that tells them apart."""
+    rng = random.Random(seed)
+    data = [(rng.choice([1, 1, 2]), EPOCH + timedelta(seconds=rng.randrange(40)), rng.choice("xyz")) for _ in range(size)]
+    return spark.createDataFrame(data, f"{name}_key int, ts timestamp_ntz, {name}_note string").repartition(3)
+
+
+@pytest.mark.parametrize("tiebreak", [[], ["note"]])
+def test_all_ways_agree_without_a_unique_tiebreak(spark, tiebreak):
+    first, second = (repeated(spark, seed, size, "a").withColumnRenamed("a_note", "note") for seed, size in ((8, 200), (9, 160)))
+    second = second.withColumnsRenamed({"a_key": "b_key"}).withColumn("b_note", F.col("note"))
+    found = [
+        sorted(map(str, pair_join(first, second, "a_key", "b_key", 3, "ts", tiebreak, group_rows=rows).collect()))
+        for rows in (None, 5, 30, 100)
+    ]
+    assert found[0] and all(other == found[0] for other in found)
+
+
+def test_rows_without_time_fail(spark):
+    first = spark.createDataFrame([(1, None, 1)], "k int, ts timestamp_ntz, id int")
+    for rows in (None, 1):
+        for sides in ((first, first.withColumn("ts", F.lit(EPOCH).cast("timestamp_ntz"))), (first.withColumn("ts", F.lit(EPOCH).cast("timestamp_ntz")), first)):
+            with pytest.raises(Exception, match="needs a time"):
+                pair_join(*sides, "k", "k", 10, group_rows=rows).collect()
+
+
+def test_names_that_differ_in_case_or_hold_dots(spark):
+    ours = spark.createDataFrame([(1, EPOCH, "main")], "`a.b` int, ts timestamp_ntz, who string")
+    theirs = spark.createDataFrame([(1, EPOCH, "second", 5)], "`a.b` int, ts timestamp_ntz, Who string, `c.d` int")
+    for rows in (None, 1):
+        found = pair_join(ours, theirs, "a.b", "a.b", 10, group_rows=rows)
+        assert found.columns == ["a.b", "ts", "who", "c.d"]
+        assert [tuple(row) for row in found.collect()] == [(1, EPOCH, "main", 5)]

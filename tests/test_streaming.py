@@ -131,3 +131,31 @@ def test_waiting_needs_a_bound(spark, events, parts):
         dedup(one_by_one(spark, parts, events), "user_id", DAY, "ts", ["event_id"], ordered=True)
     with pytest.raises(ValueError, match="numbers or text"):
         dedup(one_by_one(spark, parts, events), "user_id", DAY, "ts", ["ts"], lateness="1 day", ordered=True)
+
+
+def one_file(spark, df, label):
+    path = work_path(spark, label)
+    df.coalesce(1).write.parquet(path)
+    return file_records(spark, path, df.schema, "parquet", streaming=True)
+
+
+def test_streams_agree_with_batches_on_repeated_times(spark):
+    """Large whole numbers and nulls in the tiebreak, copies, and rows that nothing tells apart."""
+    df = spark.sql("""
+        select id % 3 as k, timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id % 20) as ts,
+               if(id % 4 = 0, null, 9007199254740992L + id % 3) as big, if(id % 5 = 0, null, 'n' || id % 2) as note
+        from range(240)""")
+    for tiebreak in ([], ["big"], ["note", "big"]):
+        kept, _ = run(spark, dedup(one_file(spark, df, "ties"), "k", 4, "ts", tiebreak), work_path(spark, "ties-out"))
+        assert same_rows(kept, dedup(df, "k", 4, "ts", tiebreak))
+        others = df.withColumnsRenamed({"k": "j", "note": "text"}).withColumn("note", F.col("text"))
+        sides = one_file(spark, df, "ties"), one_file(spark, others, "ties")
+        pairs, _ = run(spark, pair_join(*sides, "k", "j", 3, "ts", tiebreak), work_path(spark, "ties-out"))
+        assert same_rows(pairs, pair_join(df, others, "k", "j", 3, "ts", tiebreak)) and pairs.count() > 0
+
+
+def test_rows_without_time_fail_in_streams(spark):
+    df = spark.sql("select 1 as k, timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id) as ts from range(3)")
+    df = df.unionAll(spark.sql("select 1, cast(null as timestamp_ntz)"))
+    with pytest.raises(Exception, match="needs a time"):
+        run(spark, dedup(one_file(spark, df, "no-time"), "k", 1), work_path(spark, "no-time-out"))
