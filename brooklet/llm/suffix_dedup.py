@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -31,7 +31,7 @@ from brooklet.llm.common import land, pick, scratch, text_tag
 from brooklet.llm.suffix_sort import deep_shallow
 
 MATCH, GRAM = 400, 160
-CHUNK = 2 << 20  # bytes looked at together; longer texts are cut into overlapping pieces
+CHUNK = 1 << 20  # bytes looked at together; longer texts are cut into overlapping pieces
 FACTOR = 0x9E3779B97F4A7C15  # any odd number; its powers weigh the bytes of a gram
 FEW = 12  # anchors that are compared pair by pair after sorting
 
@@ -231,39 +231,49 @@ def _sorted_groups(match: int, shape: pa.Schema):
 
 
 def _digests(match: int):
-    """Digests of what all strings of a half share, and of all the bytes of its strings (null where the text ends before)."""
+    """Digests of what all strings of a half share, and of all the bytes of its strings, if they fit into the text.
+
+    Where they do not, the second digest is that of the place, so that it is never common.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, cores, wholes = [], [], []
-            columns = (batch.column(name).to_pylist() for name in ("gram", "before", "after", "low", "high"))
-            for place, (gram, before, after, low, high) in enumerate(zip(*columns)):
+            kept, cores, wholes, fitting = [], [], [], []
+            columns = (batch.column(name).to_pylist() for name in ("gram", "before", "after", "low", "high", "doc_id", "tag", "at"))
+            for place, (gram, before, after, low, high, *where) in enumerate(zip(*columns)):
                 if len(before) < low or len(after) < match - high:
                     continue  # no string of this half fits into the text
                 kept.append(place)
                 key = b"%d %d %d " % (gram, low, high)
                 cores.append(hashlib.sha256(key + before[:low] + b" " + after[: match - high]).digest()[:16])
-                fits = len(before) >= high and len(after) >= match - low
-                wholes.append(hashlib.sha256(key + before[:high] + b" " + after[: match - low]).digest()[:16] if fits else None)
+                fitting.append(len(before) >= high and len(after) >= match - low)
+                whole = before[:high] + b" " + after[: match - low] if fitting[-1] else repr(where).encode()
+                wholes.append(hashlib.sha256(key + whole).digest()[:16])
             rows = batch.take(pa.array(kept, pa.int64()))
-            yield pa.record_batch([*rows.columns, pa.array(cores, pa.binary()), pa.array(wholes, pa.binary())], [*rows.schema.names, "core", "whole"])
+            marks = [pa.array(cores, pa.binary()), pa.array(wholes, pa.binary()), pa.array(fitting, pa.bool_())]
+            yield pa.record_batch([*rows.columns, *marks], [*rows.schema.names, "core", "whole", "fits"])
 
     return emit
 
 
+def _other(digest: str) -> Column:
+    return F.concat(F.col(digest), F.lit(b"+"))
+
+
 def _halved(anchors: DataFrame, match: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
     """(settled stretches, groups to sort) of hot grams; see the module's text."""
     settled = groups = None
     shape = anchors.schema.simpleString()[len("struct<") : -1]
     active = anchors
     while True:
-        marked = active.mapInArrow(_digests(match), f"{shape},core:binary,whole:binary")
+        marked = active.mapInArrow(_digests(match), f"{shape},core:binary,whole:binary,fits:boolean")
         # Rows of one whole settle each other; a lone row with the same core may still have a partner.
-        wholes = marked.filter("whole is not null").groupBy("whole").agg(
+        wholes = marked.filter("fits").groupBy("whole").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("left_behind", "doc_id", "tag", "at")).alias("one")
         )
-        wholes = wholes.withColumnRenamed("whole", "same")
-        marked = land(marked.join(wholes, F.col("whole") == F.col("same"), "left").drop("same"))
+        # Joined on another form of the key, both sides are shuffled, and Spark splits the tasks of common keys.
+        wholes = wholes.filter("n > 1").select(_other("whole").alias("same"), "n", "one")
+        marked = land(marked.join(wholes, _other("whole") == F.col("same"), "left").drop("same", "fits"))
         done = marked.filter("n > 1 and not left_behind").select(
             "doc_id", "tag", (F.col("at") - F.col("high")).alias("start"), (F.col("at") + match - F.col("low")).alias("end")
         )
@@ -271,8 +281,9 @@ def _halved(anchors: DataFrame, match: int, group_rows: int) -> tuple[DataFrame,
         me = F.struct("left_behind", "doc_id", "tag", "at")
         open_rows = marked.filter((F.coalesce("n", F.lit(1)) == 1) | me.eqNullSafe(F.col("one")))
         open_rows = open_rows.withColumn("left_behind", F.col("left_behind") | (F.coalesce("n", F.lit(1)) > 1)).drop("n", "one", "whole")
-        cores = open_rows.groupBy(F.col("core").alias("group")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("left_behind")).alias("asking"))
-        open_rows = open_rows.join(cores.filter("n > 1 and asking > 0"), F.col("core") == F.col("group"))
+        cores = open_rows.groupBy("core").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("left_behind")).alias("asking"))
+        cores = cores.filter("n > 1 and asking > 0").select(_other("core").alias("group"), "n", "asking")
+        open_rows = open_rows.join(cores, _other("core") == F.col("group"))
         open_rows = land(open_rows.drop("group", "asking"))
         small = open_rows.filter(F.col("n") <= group_rows).withColumn("key", F.col("core")).drop("n", "core")
         groups = small if groups is None else groups.unionByName(small)
