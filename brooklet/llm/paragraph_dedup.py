@@ -97,7 +97,9 @@ def dedup_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", uni
     units = land(units)
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("tag"), F.col("start"))
     firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = units.join(firsts, "digest").filter(place != F.col("first"))
+    # Joined on another form of the key, both sides are shuffled, and Spark splits the tasks of common units.
+    firsts = firsts.select(F.concat("digest", F.lit(b"+")).alias("other"), "first")
+    later = units.join(firsts, F.concat("digest", F.lit(b"+")) == F.col("other")).filter(place != F.col("first"))
     span = F.struct("start", "end", F.col("first.doc_id").alias("first_doc_id"))
     spans = later.groupBy(F.col("doc_id").alias("other_id"), F.col("tag").alias("other_tag")).agg(F.array_sort(F.collect_set(span)).alias("spans"))
     mine = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("tag") == F.col("other_tag"))
