@@ -60,26 +60,36 @@ def _checked_number(text: Column) -> Column:
 def _float_text(value: Column) -> Column:
     """Shortest decimal text: positional from 1e-4 up to 1e16, scientific outside."""
     text, size = value.cast("string"), F.abs(value)
-    digits = _shortest(value, text)
-    # 38 digits hold every positional value exactly; its trailing zeros go, but for one after the point.
-    positional = F.regexp_replace(digits.cast("decimal(38,21)").cast("string"), r"^(.*\.\d+?)0*$", "$1")
-    scientific = F.regexp_replace(digits, r"^(-?\d(?:\.\d*[1-9])?)\.?0*[eE]\+?(-?)0*(\d+)$", "$1e$2$3")
-    scientific = F.regexp_replace(scientific, r"e(\d)", "e+$1")
-    scientific = F.regexp_replace(scientific, r"e([+-])(\d)$", "e$10$2")  # group 1, then a zero
+    ready = ((size >= 1e-3) & (size < 1e7) & (F.length(text) < 18)) | (value == 0)
+    # One entry for what needs work, none for the rest: a transform computes it once, and only there.
+    hard = F.when(ready | F.isnan(value) | (size == float("inf")), F.array().cast("array<string>")).otherwise(F.array(_shortest(value, text)))
+    written = F.transform(hard, lambda digits: F.when((size >= 1e-4) & (size < 1e16), _positional(digits)).otherwise(_scientific(digits)))
     return (
-        F.when(((size >= 1e-3) & (size < 1e7) & (F.length(text) < 18)) | (value == 0), text)
+        F.when(ready, text)
         .when(F.isnan(value), F.lit("nan"))
         .when(size == float("inf"), F.when(value > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size >= 1e-4) & (size < 1e16), positional)
-        .otherwise(scientific)
+        .otherwise(F.get(written, F.lit(0)))
     )
 
 
-def _shortest(value: Column, text: Column) -> Column:
-    """The fewest digits that give ``value`` back; older JVMs print up to two digits too many."""
+def _positional(digits: Column) -> Column:
+    """38 digits hold every positional value exactly; its trailing zeros go, but for one after the point."""
+    trimmed = F.rtrim(digits.cast("decimal(38,21)").cast("string"), F.lit("0"))
+    return F.when(F.endswith(trimmed, F.lit(".")), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+
 
-    def digits(count: int) -> Column:
-        return F.format_string(f"%.{count - 1}e", value)
+def _scientific(digits: Column) -> Column:
+    """``1.50E7`` as ``1.5e+07``: no zeros or point to spare before the e, a sign and two places behind it."""
+    parts = F.split(F.upper(digits), "E")
+    number = F.rtrim(F.rtrim(F.get(parts, F.lit(0)), F.lit("0")), F.lit("."))
+    power = F.get(parts, F.lit(1)).cast("int")
+    places = F.abs(power).cast("string")
+    sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
+    return F.concat(number, F.lit("e"), sign, F.when(F.length(places) < 2, F.lit("0")).otherwise(F.lit("")), places)
 
-    few = F.when(digits(15).cast("double") == value, digits(15)).when(digits(16).cast("double") == value, digits(16))
-    return F.when(F.length(text) >= 18, few.otherwise(digits(17))).otherwise(text)
+
+def _shortest(value: Column, text: Column) -> Column:
+    """The fewest digits that give ``value`` back; older JVMs print up to two digits too many."""
+    tries = F.transform(F.array(F.lit("%.14e"), F.lit("%.15e"), F.lit("%.16e")), lambda form: F.printf(form, value))
+    fitting = F.filter(tries, lambda digits: digits.cast("double") == value)
+    return F.when(F.length(text) >= 18, F.get(fitting, F.lit(0))).otherwise(text)

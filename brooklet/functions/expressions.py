@@ -102,7 +102,9 @@ def floor_div(df: DataFrame, left: Expression, right: Expression) -> Column:
     a, b = to_column(left), to_column(right)
     integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     if isinstance(resolved_type(df, left), integral) and isinstance(resolved_type(df, right), integral):
-        return F.call_function("div", a - modulo(a, b), b)
+        # Divided first: taking the remainder off first could leave the range of the type.
+        rest, whole = a % b, F.call_function("div", a, b)
+        return F.when((rest != 0) & ((rest < 0) != (b < 0)), whole - 1).otherwise(whole)
     # The remainder is taken off first, so that 1.0 // 0.1 is 9.0 and not floor(10.0).
     a, b = a.cast("double"), b.cast("double")
     exact = (a - modulo(a, b)) / b

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -47,9 +48,19 @@ class Counters:
         self._batch[name] = Observation(name)
         return df.observe(self._batch[name], value)
 
-    def batch_values(self) -> dict[str, int]:
-        """Values after the batch results have been computed."""
-        return {name: seen.get["n"] for name, seen in self._batch.items()}
+    def batch_values(self, wait: float | None = None) -> dict[str, int]:
+        """Values after the batch results have been computed.
+
+        ``wait`` bounds the seconds spent on results that nobody computed; their counters are left out.
+        """
+        until = None if wait is None else time.monotonic() + wait
+        done = {}
+        for name, seen in self._batch.items():
+            while until is not None and not seen._jo.future().isCompleted() and time.monotonic() < until:
+                time.sleep(0.02)
+            if until is None or seen._jo.future().isCompleted():
+                done[name] = seen.get["n"]
+        return done
 
 
 def progress_values(progress) -> dict[str, int]:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from brooklet.functions import Expression, as_text
 from brooklet.operators.fields import require_absent
 from brooklet.operators.hotkeys import GROUP_ROWS, find_hot_keys
+from brooklet.operators.names import fields
+from brooklet.sources.lookup import unique_keys
 
 _SEARCH = "__search"
 
@@ -17,8 +19,9 @@ def enrich(
 ) -> DataFrame:
     """Add text field ``name``: the value stored under ``str(search_key)``, or ``''`` where there is none.
 
-    ``lookup`` has text columns ``key`` and ``value`` with unique keys (see
-    ``sources.lookup_table``).  A streaming ``df`` makes this a stateless
+    ``lookup`` has text columns ``key`` and ``value``.  Unless it comes from
+    ``sources.lookup_table`` its keys are checked here: a repeated key fails the
+    query instead of multiplying records.  A streaming ``df`` makes this a stateless
     stream-static join.
 
     A lookup below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast by Spark
@@ -38,7 +41,7 @@ def with_lookup(
 ) -> DataFrame:
     """``enrich`` plus a boolean column that tells hits from misses."""
     require_absent(df, name)
-    table = lookup.select(F.col("key").alias("__key"), F.col("value").alias("__value"), F.lit(True).alias("__hit"))
+    table = unique_keys(lookup).select(F.col("key").alias("__key"), F.col("value").alias("__value"), F.lit(True).alias("__hit"))
     keyed = df.withColumn(_SEARCH, as_text(df, search_key))
     hot = None
     if not df.isStreaming and not _is_small(table):
@@ -50,7 +53,7 @@ def with_lookup(
         few = F.broadcast(hot.only(table, "__key"))
         joined = _left_join(hot.without(keyed, _SEARCH), table).unionAll(_left_join(hot.only(keyed, _SEARCH), few))
     return joined.select(
-        *df.columns,
+        *fields(df),
         F.coalesce(F.col("__value"), F.lit("")).alias(name),
         F.coalesce(F.col("__hit"), F.lit(False)).alias(hit_column(name)),
     )

@@ -11,6 +11,8 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
+from brooklet.functions.sql import check_meaning
+from brooklet.operators.names import HIDDEN
 from brooklet.types import field_type
 
 # The words of the job format, and the parameters each kind takes (required, optional).
@@ -35,7 +37,7 @@ OPERATORS = {
     "stream_joiner": (("first_key", "second_key", "second_source", "time"), ()),
     "stream_joiner_plug": (("main_source",), ()),
 }
-SETTINGS = ((), ("parallelism", "min_pause_between_checkpoints", "checkpoint_interval"))
+SETTINGS = ((), ("parallelism", "min_pause_between_checkpoints", "checkpoint_interval", "rows_per_trigger"))
 CHECKPOINT_INTERVAL_MS = 30_000
 
 Job = dict[str, Any]
@@ -70,8 +72,9 @@ def check_job(job: Job) -> Job:
     _check_parameters("settings", job.get("settings") or {}, SETTINGS)
     for name, source in sources.items():
         _check_kind(f"source {name!r}", source, "source_type", SOURCES)
-        for kind in source.get("schema", {}).values():
+        for field, kind in source.get("schema", {}).items():
             field_type(kind)
+            _check_field(f"source {name!r}", field)
     for name, sink in sinks.items():
         _check_kind(f"sink {name!r}", sink, "sink_type", SINKS)
     for name, chain in chains.items():
@@ -102,9 +105,19 @@ def _check_parameters(label: str, given: Mapping, allowed: tuple) -> None:
         raise ValueError(f"{label}: missing {missing}, unknown {extra}")
 
 
+def _check_field(label: str, field: str) -> None:
+    if field.startswith(HIDDEN):
+        raise ValueError(f"{label}: names that begin with {HIDDEN!r} are taken, {field!r} is one")
+
+
 def _check_references(label: str, source: str, operator: Mapping, sources: Mapping, sinks: Mapping) -> None:
     if "time" in operator and operator["time"] <= 0:
         raise ValueError(f"{label}: the time must be greater than 0")
+    for parameter in ("expression", "value", "search_key"):
+        if isinstance(operator.get(parameter), str):
+            check_meaning(label, operator[parameter])
+    if operator["operator_type"] in ("field_creator", "field_enricher"):
+        _check_field(label, operator["field_name"])
     for parameter in ("field_type", "new_type"):
         if operator.get(parameter) is not None:
             field_type(operator[parameter])

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brooklet.operators.names import field
 from brooklet.sinks.topics import JSON_OPTIONS
 
 BUCKET = "_bucket"
 
 
-
 def bucketed(df: DataFrame, title: str | None) -> DataFrame:
     """``df`` in field order, with the title copied so that it also stays inside the record."""
-    ordered = df.select(*sorted(df.columns))
-    return ordered if title is None else ordered.withColumn(BUCKET, F.col(title))
+    ordered = df.select(*map(field, sorted(df.columns)))
+    return ordered if title is None else ordered.withColumn(BUCKET, field(title))
 
 
 def write_buckets(
@@ -33,9 +33,15 @@ def write_buckets(
     (writer if title is None else writer.partitionBy(BUCKET)).save(path)
 
 
-def bucket_stream(df: DataFrame, path: str, title: str | None = None, rows_per_file: int = 0):
-    """Streaming writer for the same layout; each record is written exactly once."""
-    writer = bucketed(df, title).writeStream.format("json").options(**JSON_OPTIONS)
+def bucket_stream(df: DataFrame, path: str, title: str | None = None, rows_per_file: int = 0, gather: bool = False):
+    """Streaming writer for the same layout; each record is written exactly once.
+
+    ``gather`` deals the records out by title first: a title then gets one file per micro-batch.
+    """
+    rows = bucketed(df, title)
+    if gather and title is not None:
+        rows = rows.repartition(BUCKET)
+    writer = rows.writeStream.format("json").options(**JSON_OPTIONS)
     writer = writer.option("maxRecordsPerFile", rows_per_file).option("path", path)
     return writer if title is None else writer.partitionBy(BUCKET)
 

@@ -86,3 +86,11 @@ def test_demo_counts(spark):
     assert filter_rows(known, "person <> ''").count() == 900
     assert same_rows(known.filter("number = 1000100").select("person"), spark.createDataFrame([("Person №100",)], "person string"))
     assert known.filter(F.col("person") == "").count() == 100
+
+
+def test_repeated_keys_of_any_table_fail(spark):
+    df = spark.createDataFrame([(1,), (2,)], "n int")
+    table = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", None)], "key string, value string")
+    with pytest.raises(Exception, match="more than once"):
+        enrich(df, table, "who", "n").collect()
+    assert [row["who"] for row in enrich(df, table.filter("key = '2'"), "who", "n").orderBy("n").collect()] == ["", ""]

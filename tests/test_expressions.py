@@ -141,3 +141,34 @@ def test_declared_schema():
 def test_python_function(events):
     added = create_field(events, "up", bf.from_python(lambda s: s.str.upper(), "string", "event_type"), "string")
     assert added.filter("up <> upper(event_type)").count() == 0
+
+
+def test_sql_functions_mean_what_python_means(spark):
+    from brooklet.functions.sql import register_functions
+
+    register_functions(spark)
+    cases = {
+        "py_mod(-7, 3)": -7 % 3, "py_mod(7, -3)": 7 % -3, "py_floordiv(-7, 2)": -7 // 2, "py_floordiv(-2147483648, 3)": -2147483648 // 3,
+        "py_fmod(-7.5D, 2D)": -7.5 % 2, "py_ffloordiv(1.0D, 0.1D)": 1.0 // 0.1, "py_round(2.5D)": round(2.5), "py_round(-3.5D)": round(-3.5),
+        "py_int(' 1_000 ')": int(" 1_000 "), "py_float('1_0.5')": float("1_0.5"), "py_split('a.b.c', '.', -1)": "a.b.c".split(".")[-1],
+        "py_split('a||b', '||', 1)": "a||b".split("||")[1], "py_slice('hello', 1, -1)": "hello"[1:-1], "py_slice('hello', null, 2)": "hello"[:2],
+        "py_slice('hello', -3, null)": "hello"[-3:], "py_slice('hi', 5, 1)": "hi"[5:1], "py_strip('\t a ')": "\t a ".strip(),
+        "py_in('el', 'hello')": "el" in "hello", "truthy(0)": bool(0), "truthy(0.5)": bool(0.5), "truthy_text('')": bool(""),
+        "py_or('', 'x')": "" or "x", "py_and('a', 'x')": "a" and "x", "py_number_or(0, 3)": 0 or 3.0, "py_number_and(2, 3)": 2 and 3.0,
+        "py_bool_str(true)": str(True),
+    }
+    found = spark.range(1).selectExpr(*[f"{text} as `c{place}`" for place, text in enumerate(cases)]).collect()[0]
+    assert dict(zip(cases, found)) == cases
+
+
+def test_floor_division_at_the_ends_of_the_type(spark):
+    numbers = spark.createDataFrame([(-2147483648, 3), (2147483647, -2), (-2147483648, -3)], "a int, b int")
+    assert [row["q"] for row in numbers.select(bf.floor_div(numbers, "a", "b").alias("q")).collect()] == [-2147483648 // 3, 2147483647 // -2, -2147483648 // -3]
+
+
+def test_new_fields_differ_by_more_than_case(spark):
+    from brooklet.operators import create_field
+
+    df = spark.createDataFrame([(1,)], "value int")
+    with pytest.raises(ValueError, match="already"):
+        create_field(df, "Value", "1", "int")

@@ -12,7 +12,7 @@ from brooklet.operators import dedup, enrich, filter_rows, pair_join
 from brooklet.plans import Records, build_job
 from brooklet.session import work_path
 from brooklet.sources import file_records, lookup_table
-from brooklet.streaming import Targets, run_batch, start_job
+from brooklet.streaming import Targets, await_job, run_batch, start_job
 
 DAY = 86_400
 SCHEMA = {"event_id": "int", "event_type": "string", "user_id": "int", "value": "double"}
@@ -190,7 +190,8 @@ def test_streaming_join_of_a_clone(spark, events, feed):
     job = copy.deepcopy(workloads.JOIN_JOB)
     job["operators"]["events"].insert(3, {"operator_type": "deduplicator", "key": "user_id", "time": 3 * DAY})
     start_job(
-        spark, job, path.rsplit("/", 1)[1], {"events": records(source)}, targets=Targets({"out": writer}), available_now=True
+        spark, job, path.rsplit("/", 1)[1], {"events": records(source)}, targets=Targets({"out": writer}),
+        keep_state=True, available_now=True,
     )
     expected = build_job(spark, job, {"events": records(events)}, streaming=False).rows("events")
     assert same_rows(spark.read.parquet(path).drop("batch"), expected)
@@ -201,7 +202,7 @@ def test_shared_reads_write_all_outputs(spark, events, feed):
     paths, writers = zip(collector(spark, "all"), collector(spark, "costly"))
     queries = start_job(
         spark, workloads.CLONE_JOB, paths[0].rsplit("/", 1)[1], {"events": records(source)},
-        targets=Targets(dict(zip(("all", "costly"), writers))), available_now=True, shared_reads=True,
+        targets=Targets(dict(zip(("all", "costly"), writers))), available_now=True,
     )
     assert len(queries) == 1
     built = build_job(spark, workloads.CLONE_JOB, {"events": records(events.filter("event_id < 200"))}, streaming=False)
@@ -234,20 +235,140 @@ def test_setup_statement_needs_an_executor(spark, events):
 def test_counters_are_published_per_micro_batch(spark, events, feed):
     add, source = feed
     add(1)
-    seen, listener = [], None
+    seen = []
     path, writer = collector(spark, "published")
+    job = simple_job({"operator_type": "filter", "expression": "value > 20"}, {"operator_type": "output", "sink": "out"})
+    start_job(
+        spark, job, path.rsplit("/", 1)[1], {"events": records(source)}, targets=Targets({"out": writer}), available_now=True,
+        publish=lambda name, values: seen.append((name, values)),
+    )
+    assert [values[counter_name("events", 0, "filter_in")] for _, values in seen] == [200, 200]
+    assert seen[0][0].endswith("events-1-out")
+
+
+def test_counters_of_pure_streams_reach_the_listener(spark, events, feed):
+    seen = []
+    path = work_path(spark, "listened")
     listener = CounterListener(lambda name, values: seen.append((name, values)))
     spark.streams.addListener(listener)
     try:
-        job = simple_job({"operator_type": "filter", "expression": "value > 20"}, {"operator_type": "output", "sink": "out"})
-        start_job(
-            spark, job, path.rsplit("/", 1)[1], {"events": records(source)}, targets=Targets({"out": writer}), available_now=True
-        )
+        sinks = {"obj": {"sink_type": "minio", "address": path.rsplit("/", 1)[1]}}
+        job = simple_job({"operator_type": "filter", "expression": "value > 20"}, {"operator_type": "output", "sink": "obj"}, sinks=sinks)
+        targets = Targets(bucket_path=path.rsplit("/", 1)[0] + "/{address}/")
+        start_job(spark, job, path.rsplit("/", 1)[1], {"events": records(feed[1])}, targets=targets, available_now=True)
         for _ in range(100):
-            if len(seen) >= 2:
+            if seen:
                 break
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(listener)
-    assert [values[counter_name("events", 0, "filter_in")] for _, values in seen][:2] == [200, 200]
-    assert seen[0][0].endswith("events-1-out")
+    assert [values[counter_name("events", 0, "filter_in")] for _, values in seen] == [200]
+
+
+def test_a_writer_that_reads_nothing_does_not_hold_up_its_counters(spark, events, feed, monkeypatch):
+    seen, job = [], simple_job({"operator_type": "filter", "expression": "value > 20"}, {"operator_type": "output", "sink": "out"})
+    start_job(
+        spark, job, work_path(spark, "unread").rsplit("/", 1)[1], {"events": records(feed[1])},
+        targets=Targets({"out": lambda df, _: None}), available_now=True, publish=lambda _, values: seen.append(values),
+    )
+    assert seen == [{}]
+
+
+def test_a_lookup_is_read_again_for_every_micro_batch(spark, events, feed):
+    add, source = feed
+    add(1)
+    asked = []
+
+    def lookup():
+        asked.append(len(asked))
+        return spark.createDataFrame([(str(user), f"answer {len(asked)}") for user in range(15)], "key string, value string")
+
+    path, writer = collector(spark, "answers")
+    job = simple_job(
+        {"operator_type": "field_enricher", "field_name": "who", "search_key": "user_id"}, {"operator_type": "output", "sink": "out"}
+    )
+    start_job(spark, job, path.rsplit("/", 1)[1], {"events": records(source)}, lookup, Targets({"out": writer}), available_now=True)
+    answers = {row["batch"]: row["who"] for row in spark.read.parquet(path).select("batch", "who").distinct().collect()}
+    assert len(answers) == 2 and answers[0] != answers[1]
+
+
+def test_state_needs_a_bound_or_an_explicit_choice(spark, events, feed):
+    with pytest.raises(ValueError, match="keep_state"):
+        start_job(spark, workloads.CHAIN_JOB, "unbounded", {"events": records(feed[1])}, names(spark))
+
+
+def test_parallelism_leaves_the_session_alone(spark, events):
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    job = {**simple_job({"operator_type": "output", "sink": "out"}), "settings": {"parallelism": 3}}
+
+    def writer(df, _):
+        seen.append((df.sparkSession.conf.get("spark.sql.shuffle.partitions"), df.groupBy("user_id").count().count()))
+
+    run_batch(spark, job, {"events": records(events)}, targets=Targets({"out": writer}))
+    assert seen == [("3", 15)] and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_a_batch_input_is_read_once(spark, events):
+    path, total = work_path(spark, "once"), spark.sparkContext.accumulator(0)
+    events.write.parquet(path)
+
+    def seen(value):
+        total.add(len(value))
+        return value
+
+    source = spark.read.parquet(path).withColumn("value", F.pandas_udf(seen, "double")("value"))
+    drop = lambda df, _: df.write.format("noop").mode("overwrite").save()
+    run_batch(spark, workloads.CLONE_JOB, {"events": records(source)}, targets=Targets({"all": drop, "costly": drop}))
+    assert total.value == events.count()
+
+
+def test_a_failed_query_ends_the_job(spark, events, feed):
+    add, source = feed
+
+    def fail(df, _):
+        raise RuntimeError("the sink is gone")
+
+    path, writer = collector(spark, "doomed")
+    queries = start_job(
+        spark, {**workloads.CLONE_JOB, "settings": {"checkpoint_interval": 200}}, path.rsplit("/", 1)[1],
+        {"events": records(source)}, targets=Targets({"all": writer, "costly": fail}), shared_reads=False,
+    )
+    assert len(queries) == 2
+    with pytest.raises(Exception, match="the sink is gone"):
+        await_job(queries, 60)
+    assert not any(query.isActive for query in queries)
+
+
+def test_fields_that_are_deleted_unread_are_not_shuffled(spark, events):
+    job = simple_job(*workloads.CHAIN_JOB["operators"]["events"][:-1])
+    df = build_job(spark, job, {"events": records(events)}, names(spark), streaming=False).rows("events")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "event_type" not in text
+    read = simple_job(
+        {"operator_type": "deduplicator", "key": "user_id", "time": DAY},
+        {"operator_type": "filter", "expression": "to_json(item) like '%click%'"},
+        {"operator_type": "field_deleter", "field_name": "event_type"},
+    )
+    rows = build_job(spark, read, {"events": records(events)}, streaming=False).rows("events")
+    assert "event_type" not in rows.columns and rows.count() > 0
+
+
+def test_hidden_names_are_refused(spark, events):
+    for operator in (
+        {"operator_type": "field_creator", "field_name": "__time", "value": "1", "field_type": "int"},
+        {"operator_type": "field_enricher", "field_name": "__x", "search_key": "user_id"},
+    ):
+        with pytest.raises(ValueError, match="taken"):
+            final(spark, events, operator, lookup=names(spark))
+
+
+@pytest.mark.parametrize("text", ["value % 3", "round(value)", "Float('0.1')", "value%3 > 1"])
+def test_what_differs_from_python_is_refused(spark, events, text):
+    with pytest.raises(ValueError, match="differ"):
+        final(spark, events, {"operator_type": "field_creator", "field_name": "x", "value": text, "field_type": "double"})
+
+
+def test_texts_and_other_names_are_not_taken_for_operations(spark, events):
+    rows = final(spark, events, {"operator_type": "filter", "expression": "event_type <> '50 % round(1)' and py_round(value) >= 0"})
+    assert rows.count() == events.count()
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet import functions as bf
+from brooklet.metrics import query_totals
 from brooklet.operators import change_field, create_field, dedup, delete_field, enrich, filter_rows, pair_join
 from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.plans import Records, build_job
@@ -59,11 +60,32 @@ def finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
 
 
+def batch_folders(spark: SparkSession, label: str):
+    """A path, and a writer that keeps each micro-batch in a folder of its own below it, so that a repeated one replaces itself."""
+    path = work_path(spark, label)
+    return path, lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What such a writer has written; empty when there was no micro-batch."""
+    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}/batch=*") if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def share(df: DataFrame, part: int) -> int:
     """Rows that make a key hot: one ``part``-th of the table, but never more than one task should sort."""
     return min(GROUP_ROWS, max(1, df.count() // part))
 
 
+def hottest(df: DataFrame, key: str) -> int:
+    """Rows that make a key hot: nine tenths of what the largest key has, so that some are hot at every scale."""
+    return min(GROUP_ROWS, max(1, df.groupBy(key).count().agg(F.max("count")).first()[0] * 9 // 10))
+
+
 def customer_names(spark: SparkSession, folder: str, segment: str | None = None) -> DataFrame:
     """Lookup from customer number to name, optionally of one market segment only."""
     customers = table(spark, folder, "customer")
@@ -307,9 +329,9 @@ def dedup_events(spark, folder):
 
 @register(DEDUP_EVENTS)
 def dedup_events_in_ranges(spark, folder):
-    """The way taken by hot keys, here for users with more than half a percent of the events."""
+    """The way taken by hot keys, here for the users with the most events."""
     events = table(spark, folder, "events")
-    return dedup(events, "user_id", DAY, "ts", ["event_id"], group_rows=share(events, 200))
+    return dedup(events, "user_id", DAY, "ts", ["event_id"], group_rows=hottest(events, "user_id"))
 
 
 @register(
@@ -416,9 +438,9 @@ def pair_events(spark, folder):
 
 @register(PAIR_EVENTS)
 def pair_events_in_ranges(spark, folder):
-    """The way taken by hot keys, here for users with more than half a percent of the views and purchases."""
+    """The way taken by hot keys, here for the users with the most views and purchases."""
     views, purchases = sides(table(spark, folder, "events"))
-    rows = share(views, 100)
+    rows = hottest(views.select("user_id").unionAll(purchases.select("buyer")), "user_id")
     return pair_join(views, purchases, "user_id", "buyer", DAY, "ts", ["event_id"], group_rows=rows)
 
 
@@ -551,7 +573,7 @@ CHAIN_JOB = {
             {"operator_type": "deduplicator", "key": "user_id", "time": DAY},
             {"operator_type": "field_enricher", "field_name": "customer", "search_key": "item['user_id']"},
             {"operator_type": "filter", "expression": "item['customer'] != ''"},
-            {"operator_type": "field_creator", "field_name": "cents", "value": "round(value * 100)", "field_type": "int"},
+            {"operator_type": "field_creator", "field_name": "cents", "value": "py_round(value * 100)", "field_type": "int"},
             {"operator_type": "field_changer", "field_name": "value", "value": "value * 2"},
             {"operator_type": "field_deleter", "field_name": "event_type"},
             {"operator_type": "output", "sink": "out"},
@@ -587,17 +609,13 @@ def job_chain(spark, folder):
 @register(CHAIN_SQL)
 def job_chain_stream(spark, folder):
     """The same job as streaming queries, from the source to a table."""
-    path, rows = work_path(spark, "chain"), []
-
-    def append(batch: DataFrame, _: int) -> None:
-        rows.append(batch.schema)
-        batch.write.mode("append").parquet(path)
-
     inputs = {"events": event_records(stream(spark, folder, "events"))}
     lookup = chain_lookup(spark, folder)
+    schema = build_job(spark, CHAIN_JOB, {"events": event_records(table(spark, folder, "events"))}, lookup, streaming=False).outputs[0].rows.schema
+    path, write = batch_folders(spark, "chain")
     name = work_path(spark, "chain").rsplit("/", 1)[1]
-    start_job(spark, CHAIN_JOB, name, inputs, lookup, Targets({"out": append}), available_now=True)
-    return spark.read.schema(rows[0]).parquet(path)
+    start_job(spark, CHAIN_JOB, name, inputs, lookup, Targets({"out": write}), lateness="1 day", available_now=True)
+    return read_batches(spark, path, schema)
 
 
 CLONE_JOB = {
@@ -721,3 +739,148 @@ def job_counters(spark, folder):
     drop = Targets({"out": lambda df, _: df.write.format("noop").mode("overwrite").save()})
     built = run_batch(spark, CHAIN_JOB, inputs, chain_lookup(spark, folder), drop)
     return spark.createDataFrame(sorted(built.counters.batch_values().items()), "counter string, n bigint")
+
+
+EXPRESSION_JOB = {
+    "sources": {"orders": {"source_type": "kafka", "address": "broker:9092", "topic": "orders", "schema": {
+        "o_orderkey": "int", "o_custkey": "int", "o_totalprice": "double", "o_orderpriority": "string", "o_orderstatus": "string"}}},
+    "sinks": {"out": topic_target("out")},
+    "operators": {
+        "orders": [
+            {"operator_type": "field_creator", "field_name": "rest", "value": "py_mod(item['o_custkey'] - 700, -7)", "field_type": "int"},
+            {"operator_type": "field_creator", "field_name": "whole", "value": "py_floordiv(o_custkey - 700, 7)", "field_type": "int"},
+            {"operator_type": "field_creator", "field_name": "half", "value": "py_round(o_custkey / 2)", "field_type": "int"},
+            {"operator_type": "field_creator", "field_name": "level", "value": "py_split(item['o_orderpriority'], '-', 0)", "field_type": "string"},
+            {"operator_type": "field_creator", "field_name": "middle", "value": "py_slice(o_orderpriority, 2, -1)", "field_type": "string"},
+            {"operator_type": "field_creator", "field_name": "state", "value": "py_or(replace(o_orderstatus, 'O', ''), 'none')", "field_type": "string"},
+            {"operator_type": "field_enricher", "field_name": "customer", "search_key": "py_split(concat('c:', o_custkey), ':', -1)"},
+            {"operator_type": "filter", "expression": "py_in('1', item['customer']) or truthy(rest)"},
+            {"operator_type": "output", "sink": "out"},
+        ]
+    },
+}
+
+
+@register(
+    """WITH n AS (SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, o_orderpriority, o_orderstatus, o_totalprice,
+                         coalesce(c_name, '') AS customer, ((o_custkey - 700) % 7 + 7) % 7 AS m
+                  FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment IN ('BUILDING', 'MACHINERY')),
+            r AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE m - 7 END::INTEGER AS rest FROM n)
+       SELECT customer, round_even(o_custkey / 2, 0)::INTEGER AS half, trim(string_split(o_orderpriority, '-')[1], '') AS level,
+              substr(o_orderpriority, 3, greatest(length(o_orderpriority) - 3, 0)) AS middle, o_custkey, o_orderkey, o_orderpriority, o_orderstatus,
+              o_totalprice, rest, CASE WHEN replace(o_orderstatus, 'O', '') = '' THEN 'none' ELSE replace(o_orderstatus, 'O', '') END AS state,
+              ((o_custkey - 700 - m) // 7)::INTEGER AS whole
+       FROM r WHERE contains(customer, '1') OR rest <> 0"""
+)
+def job_expressions(spark, folder):
+    """Python's meaning in a declared job: negative remainders, halves, split search keys, slices."""
+    orders = table(spark, folder, "orders")
+    inputs = {"orders": Records(orders, "o_orderdate", ["o_orderkey"])}
+    return build_job(spark, EXPRESSION_JOB, inputs, chain_lookup(spark, folder), streaming=False).outputs[0].rows
+
+
+# --- counters of joiners and of several outputs
+
+COUNTED_JOB = {
+    **JOIN_JOB,
+    "sinks": {"out": topic_target("pairs"), "views": topic_target("views"), "late": topic_target("late")},
+    "operators": {
+        **JOIN_JOB["operators"],
+        "events": [
+            JOIN_JOB["operators"]["events"][0],
+            JOIN_JOB["operators"]["events"][1],
+            {"operator_type": "output", "sink": "views"},
+            {"operator_type": "filter", "expression": "value > 50"},
+            {"operator_type": "output", "sink": "late"},
+            JOIN_JOB["operators"]["events"][2],
+            {"operator_type": "output", "sink": "out"},
+        ],
+    },
+}
+
+COUNTED_SQL = pair_sql("count(*) AS n", source="v", head="WITH v AS (SELECT * FROM events WHERE event_type <> 'view' OR value > 50),")
+COUNTED_SQL = f"""
+    SELECT '[events:1] filter_in' AS counter, count(*) AS n FROM events
+    UNION ALL SELECT '[events:1] filter_out', count(*) FROM events WHERE event_type = 'view'
+    UNION ALL SELECT '[events:3] filter_in', count(*) FROM events WHERE event_type = 'view'
+    UNION ALL SELECT '[events:3] filter_out', count(*) FROM events WHERE event_type = 'view' AND value > 50
+    UNION ALL SELECT '[purchases:0] filter_in', count(*) FROM events
+    UNION ALL SELECT '[purchases:0] filter_out', count(*) FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT '[events:5] stream_joiner_first_in', count(*) FROM events WHERE event_type = 'view' AND value > 50
+    UNION ALL SELECT '[events:5] stream_joiner_second_in', count(*) FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT '[events:5] stream_joiner_out', n FROM ({COUNTED_SQL})"""
+
+
+def counter_rows(spark: SparkSession, values: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame(sorted(values.items()), "counter string, n bigint")
+
+
+@register(COUNTED_SQL)
+def job_counters_join(spark, folder):
+    """A joiner, and a filter with an output before and behind it: every operator is counted once."""
+    shared_dir(spark)
+    inputs = {"events": event_records(table(spark, folder, "events"))}
+    drop = lambda df, _: df.write.format("noop").mode("overwrite").save()
+    built = run_batch(spark, COUNTED_JOB, inputs, targets=Targets({"out": drop, "views": drop, "late": drop}))
+    return counter_rows(spark, built.counters.batch_values())
+
+
+def streamed_counters(spark: SparkSession, folder: str, shared_reads: bool) -> DataFrame:
+    totals: dict[str, int] = {}
+
+    def add(_: str, values: dict[str, int]) -> None:
+        for name, value in values.items():
+            totals[name] = totals.get(name, 0) + value
+
+    drop = lambda df, _: df.write.format("noop").mode("overwrite").save()
+    inputs = {"events": event_records(stream(spark, folder, "events"))}
+    queries = start_job(
+        spark, COUNTED_JOB, work_path(spark, "counted").rsplit("/", 1)[1], inputs, lateness="1 day", available_now=True,
+        targets=Targets({"out": drop, "views": drop, "late": drop}), shared_reads=shared_reads, publish=add,
+    )
+    for query in queries:
+        add("", query_totals(query))
+    return counter_rows(spark, totals)
+
+
+@register(COUNTED_SQL)
+def job_counters_stream(spark, folder):
+    """The same counters from streaming queries that share their reads."""
+    return streamed_counters(spark, folder, True)
+
+
+@register(COUNTED_SQL)
+def job_counters_stream_apart(spark, folder):
+    """The same counters from a query per output."""
+    return streamed_counters(spark, folder, False)
+
+
+# --- rows that nothing but their content tells apart
+
+
+@register(
+    """WITH RECURSIVE f AS (SELECT DISTINCT l_returnflag, l_shipdate FROM lineitem),
+       o AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS rn FROM f),
+       a AS (SELECT * FROM o WHERE rn = 1
+             UNION ALL
+             SELECT n.* FROM a, LATERAL (SELECT o.* FROM o WHERE o.l_returnflag = a.l_returnflag
+                                         AND o.l_shipdate > a.l_shipdate + INTERVAL 7 DAY ORDER BY rn LIMIT 1) n)
+       SELECT l_returnflag, l_shipdate FROM a"""
+)
+def dedup_without_tiebreak(spark, folder):
+    """Hot keys with many rows at the same instant and no tiebreak: one row for each kept instant."""
+    items = table(spark, folder, "lineitem")
+    return dedup(items, "l_returnflag", 7 * DAY, "l_shipdate", group_rows=share(items, 50)).select("l_returnflag", "l_shipdate")
+
+
+@register(
+    pair_shipments_sql("l_linestatus")
+    + """
+    SELECT k AS l_linestatus, count(*) AS pairs FROM pairs GROUP BY k"""
+)
+def pair_repeated_times(spark, folder):
+    """Many rows at the same instant and no tiebreak, on the way for hot keys: the number of pairs of a key is fixed."""
+    items = table(spark, folder, "lineitem")
+    returned, kept = shipments(items, "l_linestatus")
+    pairs = pair_join(returned, kept, "l_linestatus", "l_linestatus", 2 * DAY, "l_shipdate", group_rows=share(returned, 20))
+    return pairs.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("pairs"))
