@@ -8,18 +8,20 @@ do not move the anchor, so this is neither ``dropDuplicates`` nor a session gap.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brooklet.operators.fields import require_present
 from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ranges
 from brooklet.operators.names import field, fields, quoted, total_order
-from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp, with_times
+from brooklet.operators.times import micros, require_seconds, require_timestamp, with_times
 
 
 def dedup(
@@ -62,13 +64,13 @@ def dedup(
 
 def _scan_keys(df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str]) -> DataFrame:
     ordered = df.repartition(field(key)).sortWithinPartitions(field(key), field(ts), *total_order(df, tiebreak))
-    key_at, ts_at, micros = df.columns.index(key), df.columns.index(ts), round(ttl * 1_000_000)
+    key_at, ts_at, span = df.columns.index(key), df.columns.index(ts), round(ttl * 1_000_000)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None  # (key, time of the last row, anchor) where the previous batch ended
         for batch in batches:
             if batch.num_rows:
-                keep, state = keep_rows(batch.column(key_at), batch.column(ts_at), micros, state)
+                keep, state = keep_rows(batch.column(key_at), batch.column(ts_at), span, state)
                 yield batch.filter(pa.array(keep))
 
     # The hand-over to Python takes plain names only.
@@ -110,79 +112,152 @@ def keep_rows(keys: pa.Array, times: pa.Array, ttl: int, state: tuple | None) ->
     return keep, (keys[size - 1].as_py(), int(t[-1]), int(anchor))
 
 
-# --- hot keys: the order is found on narrow (key, time) ranges, the rows are fetched at the end
+# --- hot keys: the kept times are found on narrow (key, time) ranges, the rows are fetched at the end
 
 
 def _follow_chains(
     hot: HotKeys, df: DataFrame, key: str, ttl: float, ts: str, tiebreak: Sequence[str]
 ) -> DataFrame:
-    kept = _anchors(hot, df.select(field(key).alias("k"), field(ts).alias("t")).distinct(), ttl)
-    rows = df.join(kept, df[quoted(key)].eqNullSafe(kept["k"]) & (df[quoted(ts)] == kept["t"]), "left_semi")
+    times = df.select(field(key).alias("k"), micros(df, ts).alias("t")).distinct()
+    kept = _anchors(hot, times, round(ttl * 1_000_000))
+    rows = df.join(kept, df[quoted(key)].eqNullSafe(kept["k"]) & (micros(df, ts) == kept["t"]), "left_semi")
     # One row per kept (key, time): the first in the total order, combined map-side before the shuffle.
     first = F.min_by(F.struct(*fields(df)), F.struct(*total_order(df, tiebreak)))
     return rows.groupBy(field(key).alias("k"), field(ts).alias("t")).agg(first.alias("row")).select("row.*")
 
 
-def _anchors(hot: HotKeys, times: DataFrame, ttl: float) -> DataFrame:
-    """Anchor times (k, t) of the distinct ``times`` (k, t)."""
-    kind = times.schema["t"].dataType
-    # Each time appears twice: as a row, and as the question "which row comes first after t + ttl?".
-    # A row exactly at t + ttl sorts before the question, since it is still suppressed.
+def _anchors(hot: HotKeys, times: DataFrame, ttl: int) -> DataFrame:
+    """Anchor times (k, t) of the distinct ``times`` (k, t), in a fixed number of passes.
+
+    Each time appears twice: as a row, and as the question "which row comes
+    first after t + ttl?".  Sorted and cut into ranges, a range answers its
+    questions and knows where a chain that enters it leaves it.  One walk over
+    these borders, a few rows per range, tells where each range is entered; a
+    last pass follows the chains inside the ranges.
+    """
     entries = times.select("k", F.col("t").alias("at"), F.lit(0).alias("ask"), "t").unionByName(
-        times.select("k", plus_seconds(F.col("t"), kind, ttl).alias("at"), F.lit(1).alias("ask"), "t")
+        times.select("k", (F.col("t") + ttl).alias("at"), F.lit(1).alias("ask"), "t")
     )
     blocks = in_ranges(entries, hot.ranges(2), "k", "at", "ask")
+    kind = times.schema["k"].dataType.simpleString()
+    found = blocks.filter("ask = 0").groupBy("k", "block").agg(F.min("at").alias("head"), F.max("at").alias("tail"))
+    borders: dict = defaultdict(list)
+    for row in found.toArrow().to_pylist():  # ranges and hot keys bound these rows
+        borders[repr(row["k"])].append((row["block"], row["head"], row["tail"]))
+    for known in borders.values():
+        known.sort()
+    edges = blocks.mapInArrow(_edges(ttl, dict(borders)), f"k {kind}, at bigint, kind int, target bigint, known boolean")
+    walked = edges.repartition("k").sortWithinPartitions("k", "at", "kind").mapInArrow(_walk, f"k {kind}, t bigint")
+    entered: dict = defaultdict(set)
+    for row in walked.toArrow().to_pylist():  # a range is entered once per key at most
+        entered[repr(row["k"])].add(row["t"])
+    return blocks.mapInArrow(_kept_times(ttl, dict(borders), dict(entered)), f"k {kind}, t bigint")
 
-    # Borders: the nearest row before and after each (key, block); one small row per block and key.
-    is_row = F.col("ask") == 0
-    borders = blocks.groupBy("k", "block").agg(
-        F.min(F.when(is_row, F.col("at"))).alias("head"), F.max(F.when(is_row, F.col("at"))).alias("tail")
-    )
-    earlier = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("k").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    borders = borders.select(
-        F.col("k").alias("border_k"),
-        F.col("block").alias("border_block"),
-        F.last("tail", ignorenulls=True).over(earlier).alias("tail_before"),
-        F.last("head", ignorenulls=True).over(later).alias("head_after"),
-    )
-    linked = blocks.join(
-        F.broadcast(borders),  # at most ranges + hot keys rows
-        blocks["k"].eqNullSafe(borders["border_k"]) & (blocks["block"] == borders["border_block"]),
-    )
-    over = "over (partition by block, k order by at, ask)"
-    linked = linked.withColumns(
-        {
-            "before": F.coalesce(F.expr(f"lag(if(ask = 0, at, null)) ignore nulls {over}"), F.col("tail_before")),
-            "after": F.coalesce(F.expr(f"lead(if(ask = 0, at, null)) ignore nulls {over}"), F.col("head_after")),
-            "asked": F.coalesce(F.expr(f"lag(ask) {over}"), F.lit(1)) == 1,
-        }
-    )
-    silence_end = plus_seconds(F.col("before"), kind, ttl)
-    # Rows: one after a silence longer than the ttl is an anchor whatever came before it ("known"), and one
-    # that no question points to is never reached ("asked" is false).  Questions: the answer is where the
-    # time hops to, unless that is such a known anchor ("before" is the row just ahead of it).
-    linked = linked.select(
-        "k",
-        "t",
-        (is_row & (F.col("before").isNull() | (F.col("at") > silence_end))).alias("known"),
-        (is_row & F.col("asked")).alias("reached"),
-        F.when(~is_row & (F.col("after") <= silence_end), F.col("after")).alias("dst"),
-    ).checkpoint()
-    anchors = linked.filter("known").select("k", "t")
-    reached = linked.filter("reached").select("k", "t").alias("r")
-    hops = linked.filter("dst is not null").select("k", F.col("t").alias("src"), "dst").alias("h")
-    hops = hops.join(reached, F.col("h.k").eqNullSafe(F.col("r.k")) & (F.col("h.src") == F.col("r.t")), "left_semi")
-    # Pointer doubling: after round i the anchors reach 2^i steps from the known ones, and each hop
-    # spans 2^i steps.  The rounds grow with the logarithm of the longest chain.
-    hops = hops.checkpoint()
-    while not hops.isEmpty():
-        step = anchors.alias("a").join(
-            hops.alias("h"), F.col("a.k").eqNullSafe(F.col("h.k")) & (F.col("a.t") == F.col("h.src"))
-        )
-        anchors = anchors.unionByName(step.select("a.k", F.col("h.dst").alias("t"))).checkpoint()
-        pair = hops.alias("a").join(
-            hops.alias("b"), F.col("a.k").eqNullSafe(F.col("b.k")) & (F.col("a.dst") == F.col("b.src"))
+
+@dataclass
+class _Segment:
+    """The rows and questions of one key in one range."""
+
+    key: object
+    rows: np.ndarray  # times, ascending
+    after: np.ndarray  # place of the first row after each row's ttl; -1 where that is not in this range
+    known: np.ndarray  # anchors whatever came before: rows after a silence longer than the ttl
+    crossing: list[tuple[int, int | None]]  # (time, first row after its ttl) where the two are in different ranges
+    entries: np.ndarray  # rows where a chain may come in
+
+
+def _segments(batches: Iterable[pa.RecordBatch], ttl: int, borders: dict) -> Iterator[_Segment]:
+    """The segments of a partition, which is one sorted range."""
+    table = pa.Table.from_batches(list(batches)) if batches else None
+    if table is None or not table.num_rows:
+        return
+    keys = table.column("k").combine_chunks()
+    block = table.column("block")[0].as_py()
+    changed = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False)
+    nulls = pc.is_null(keys).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(changed | (nulls[1:] != nulls[:-1])) + 1
+    at, ask, t = (table.column(name).to_numpy() for name in ("at", "ask", "t"))
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+        key, is_row = keys[begin].as_py(), ask[begin:end] == 0
+        rows, asked, source = at[begin:end][is_row], at[begin:end][~is_row], t[begin:end][~is_row]
+        around = borders.get(repr(key), [])
+        before = max((tail for place, _, tail in around if place < block), default=None)
+        following = next((head for place, head, _ in around if place > block), None)
+        answer = np.searchsorted(rows, asked, side="right")
+        here = source >= rows[0] if len(rows) else np.zeros(len(source), dtype=bool)
+        inside = answer < len(rows)
+        after = np.full(len(rows), -1)
+        after[np.searchsorted(rows, source[here & inside])] = answer[here & inside]
+        crossing = [(int(x), int(rows[y])) for x, y in zip(source[~here & inside], answer[~here & inside])]
+        crossing += [(int(x), following) for x in source[~inside]]
+        known = np.diff(rows, prepend=rows[:1]) > ttl
+        entries = known.copy()
+        if len(rows):
+            known[0] = before is None or rows[0] - before > ttl
+            entries[answer[~here & inside]] = True
+            entries[0] = True
+        yield _Segment(key, rows, after, known, crossing, entries)
+
+
+def _edges(ttl: int, borders: dict):
+    """Where chains lead: from a range's entries to their last row in it (kind 0), and on to the next range (kind 1)."""
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        for part in _segments(batches, ttl, borders):
+            last = np.where(part.after < 0, np.arange(len(part.rows)), part.after)
+            while not np.array_equal(further := last[last], last):
+                last = further
+            come = np.flatnonzero(part.entries)
+            leave = [(source, target) for source, target in part.crossing if target is not None]
+            size = len(come) + len(leave)
+            yield pa.record_batch(
+                [
+                    pa.array([part.key] * size, batches[0].schema.field("k").type),
+                    pa.array([*part.rows[come].tolist(), *(source for source, _ in leave)], pa.int64()),
+                    pa.array([0] * len(come) + [1] * len(leave), pa.int32()),
+                    pa.array([*part.rows[last[come]].tolist(), *(target for _, target in leave)], pa.int64()),
+                    pa.array([*part.known[come].tolist(), *[False] * len(leave)], pa.bool_()),
+                ],
+                ["k", "at", "kind", "target", "known"],
+            )
+
+    return emit
+
+
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries that chains really take; the edges come in order of time."""
+    key, entry, leaving = object(), None, None
+    for batch in batches:
+        taken: list[tuple] = []
+        for k, at, kind, target, known in zip(*(column.to_pylist() for column in batch.columns)):
+            if k != key:
+                key, entry, leaving = k, None, None
+            if kind == 0 and (known or at == entry):
+                if not known:
+                    taken.append((k, at))
+                leaving = target
+            elif kind == 1 and at == leaving:
+                entry = target
+        yield pa.record_batch(
+            [pa.array([k for k, _ in taken], batch.schema.field("k").type), pa.array([at for _, at in taken], pa.int64())], ["k", "t"]
         )
-        hops = pair.select("a.k", "a.src", "b.dst").checkpoint()
-    return anchors
+
+
+def _kept_times(ttl: int, borders: dict, entered: dict):
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        for part in _segments(batches, ttl, borders):
+            kept = part.known.copy()
+            taken = np.array(sorted(entered.get(repr(part.key), ())), dtype=np.int64)
+            kept[np.isin(part.rows, taken)] = True
+            front = np.flatnonzero(kept)
+            while len(front):
+                front = part.after[front]
+                front = np.unique(front[front >= 0])
+                front = front[~kept[front]]
+                kept[front] = True
+            times = part.rows[kept]
+            yield pa.record_batch([pa.array([part.key] * len(times), batches[0].schema.field("k").type), pa.array(times, pa.int64())], ["k", "t"])
+
+    return emit

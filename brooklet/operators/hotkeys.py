@@ -71,11 +71,12 @@ def find_hot_keys(keys: DataFrame, group_rows: int | None) -> HotKeys | None:
 
 
 def in_ranges(df: DataFrame, ranges: int, *order: str | Column) -> DataFrame:
-    """``df`` cut into contiguous ranges of ``order``; column ``block`` numbers them in that order.
+    """``df`` cut into contiguous ranges of ``order``, each a sorted partition; column ``block`` numbers them in that order.
 
     The cut points come from a sample, so the result is written to the
     checkpoint folder: every later step, and every retry after a lost executor,
     sees the same ranges.
     """
     shared_dir(df.sparkSession)
-    return df.repartitionByRange(ranges, *order).withColumn("block", F.spark_partition_id()).checkpoint()
+    rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return rows.withColumn("block", F.spark_partition_id()).checkpoint()
