@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brooklet.functions.expressions import Expression, resolved_type, to_column, truthy
+from brooklet.session import require_ansi
 from brooklet.types import field_type
 
 
@@ -21,6 +22,7 @@ def cast_as(df: DataFrame, expression: Expression, target: str | T.DataType) ->
         return truthy(df, expression)
     if isinstance(wanted, T.StringType):
         return as_text(df, expression)
+    require_ansi(df.sparkSession)
     column, kind = to_column(expression), resolved_type(df, expression)
     if isinstance(kind, T.StringType):
         if isinstance(wanted, T.IntegerType):

@@ -21,8 +21,8 @@ from brooklet.session import shared_dir
 # Rows of one key that a single task may sort; a few hundred MB of narrow rows.
 GROUP_ROWS = 5_000_000
 
-# More shuffle partitions than this cost more than they save; beyond it the ranges grow (and spill).
-MAX_RANGES = 20_000
+# The list of hot keys comes to the driver; one longer than this means that group_rows is far too small.
+MAX_HOT_KEYS = 1_000_000
 
 _HOT = "hot_key"
 
@@ -47,7 +47,7 @@ class HotKeys:
 
     def ranges(self, rows_per_hot_row: int = 1) -> int:
         """Number of range partitions that keeps each near ``group_rows`` rows."""
-        return min(MAX_RANGES, max(2, math.ceil(self.rows * rows_per_hot_row / self.group_rows)))
+        return max(2, math.ceil(self.rows * rows_per_hot_row / self.group_rows))
 
 
 def find_hot_keys(keys: DataFrame, group_rows: int | None) -> HotKeys | None:
@@ -62,7 +62,9 @@ def find_hot_keys(keys: DataFrame, group_rows: int | None) -> HotKeys | None:
         return None
     name = keys.columns[0]
     counts = keys.groupBy(field(name).alias(_HOT)).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.filter(F.col("n") > group_rows).collect()
+    found = counts.filter(F.col("n") > group_rows).limit(MAX_HOT_KEYS + 1).collect()
+    if len(found) > MAX_HOT_KEYS:
+        raise ValueError(f"more than {MAX_HOT_KEYS} keys have over {group_rows} rows; raise group_rows")
     if not found:
         return None
     schema = T.StructType([T.StructField(_HOT, keys.schema[name].dataType)])

@@ -18,6 +18,7 @@ REQUIRED_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoint files go when their DataFrame does
 }
 
 
@@ -43,12 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not configured and not context.master.startswith("local"):
+        one_process = context.master == "local" or context.master.startswith("local[")
+        if not configured and not one_process:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="brooklet-"))
     return configured or context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder for results of one run; it is removed when the session's JVM ends."""
+    path = work_path(spark, label)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def require_ansi(spark: SparkSession) -> None:
+    """Refuse to go on where bad values would silently turn into null."""
+    if spark.conf.get("spark.sql.ansi.enabled") != "true":
+        raise ValueError("set spark.sql.ansi.enabled to true: without it bad values become null")
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from brooklet.metrics import Counters
 from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.plans.job import BuiltJob, Output, Records, build_job, take
 from brooklet.plans.spec import CHECKPOINT_INTERVAL_MS, Job
-from brooklet.session import shared_dir, work_path
+from brooklet.session import scratch_path, shared_dir
 from brooklet.sinks.buckets import bucket_stream, write_buckets
 from brooklet.sinks.topics import topic_writer
 from brooklet.sinks.warehouse import Warehouse, append_rows, run_init
@@ -193,7 +193,7 @@ def run_batch(
     """
 
     def land(df: DataFrame, label: str) -> DataFrame:
-        path = work_path(spark, f"landed-{label}")
+        path = scratch_path(spark, f"landed-{label}")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

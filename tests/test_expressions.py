@@ -172,3 +172,13 @@ def test_new_fields_differ_by_more_than_case(spark):
     df = spark.createDataFrame([(1,)], "value int")
     with pytest.raises(ValueError, match="already"):
         create_field(df, "Value", "1", "int")
+
+
+def test_casts_need_the_strict_mode(spark):
+    df = spark.createDataFrame([("x",)], "v string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="ansi"):
+            create_field(df, "n", "v", "int")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")

@@ -16,7 +16,7 @@ from brooklet.metrics import query_totals
 from brooklet.operators import change_field, create_field, dedup, delete_field, enrich, filter_rows, pair_join
 from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.plans import Records, build_job
-from brooklet.session import shared_dir, work_path
+from brooklet.session import scratch_path, shared_dir, work_path
 from brooklet.sinks import bucket_stream, json_value, read_buckets, table_columns, write_buckets
 from brooklet.sources import decode_json, file_records, lookup_table, topic_records
 from brooklet.streaming import Targets, run_batch, start_job
@@ -54,7 +54,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Result table of a streaming query that has processed all present input."""
-    path = work_path(spark, label)
+    path = scratch_path(spark, label)
     writer = df.writeStream.format("parquet").option("path", f"{path}/rows")
     writer.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
@@ -62,7 +62,7 @@ def finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 
 def batch_folders(spark: SparkSession, label: str):
     """A path, and a writer that keeps each micro-batch in a folder of its own below it, so that a repeated one replaces itself."""
-    path = work_path(spark, label)
+    path = scratch_path(spark, label)
     return path, lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
@@ -533,14 +533,14 @@ def warehouse_sink_rows(spark, folder):
 @register("SELECT * FROM events")
 def bucket_sink_round_trip(spark, folder):
     """Written as JSON, one folder per event type, and read back whole."""
-    events, path = table(spark, folder, "events"), work_path(spark, "buckets")
+    events, path = table(spark, folder, "events"), scratch_path(spark, "buckets")
     write_buckets(events, path, "event_type", gather=True)
     return read_buckets(spark, path, events.schema)
 
 
 @register("SELECT * FROM events")
 def bucket_stream_round_trip(spark, folder):
-    events, path = stream(spark, folder, "events"), work_path(spark, "bucket-stream")
+    events, path = stream(spark, folder, "events"), scratch_path(spark, "bucket-stream")
     writer = bucket_stream(events, f"{path}/rows", "event_type").option("checkpointLocation", f"{path}/progress")
     writer.trigger(availableNow=True).start().awaitTermination()
     return read_buckets(spark, f"{path}/rows", events.schema)
@@ -709,7 +709,7 @@ STATEFUL_JOB = {
 )
 def job_two_stateful_steps(spark, folder):
     """Deduplicated, stored, then joined with a clone of itself."""
-    path = work_path(spark, "pairs")
+    path = scratch_path(spark, "pairs")
     inputs = {"events": event_records(table(spark, folder, "events"))}
     writers = {
         "out": lambda df, _: df.write.parquet(path),
