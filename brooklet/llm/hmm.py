@@ -1,10 +1,11 @@
 """Hidden Markov model over numbered symbols: exact likelihoods and Baum-Welch counts for many sequences at once.
 
-Sequences are cut into segments that are worked on side by side.  For each
-segment the product of its steps, diag(emission) x transition, is formed as a
-matrix; chaining the matrices of a sequence gives the state before and the
-likelihood after every segment, exactly as one long recursion would.  Values
-are scaled to sum to 1 as they go, and the logarithms of the scales add up.
+Sequences are cut into segments that are worked on side by side.  A sequence's
+first segment starts from a known state.  For each later one the product of its
+steps, diag(emission) x transition, is formed as a matrix; chaining the
+matrices of a sequence gives the state before and the likelihood after every
+segment, exactly as one long recursion would.  Values are scaled to sum to 1 as
+they go, and the logarithms of the scales add up.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 SEGMENT = 128
-RESCALE = 8  # steps between two scalings of a segment's matrix
+RESCALE = 8  # steps between two scalings of a product
 TOKENS = 1 << 18  # tokens worked on at once
 
 
@@ -56,7 +57,14 @@ class _Segments:
         self.begin, self.size = begin[self.order], size[self.order]
         self.last = (number == per_sequence[owner] - 1)[self.order]
         self.model, self.data = model, data
-        self._multiply()
+        self.log_scale = np.zeros(len(begin))
+        states = len(model.start)
+        # The first segments give a row, the others a matrix; ``slot`` is the place among its kind.
+        heads, rest = np.flatnonzero((number == 0)[self.order]), np.flatnonzero((number > 0)[self.order])
+        self.slot = np.empty(len(begin), dtype=np.int64)
+        self.slot[heads], self.slot[rest] = np.arange(len(heads)), np.arange(len(rest))
+        self.row = self._multiply(heads, np.tile(model.start, (len(heads), 1, 1)))[:, 0, :]
+        self.matrix = self._multiply(rest, np.tile(np.eye(states), (len(rest), 1, 1)))
 
     def active(self, step: int) -> int:
         return int(np.searchsorted(-self.size, -step, side="left"))
@@ -64,22 +72,24 @@ class _Segments:
     def emitted(self, step: int, active: int) -> np.ndarray:
         return self.model.emit[self.data[self.begin[:active] + step]]
 
-    def _multiply(self) -> None:
-        states = len(self.model.start)
-        self.matrix = np.tile(np.eye(states), (len(self.begin), 1, 1))
-        self.log_scale = np.zeros(len(self.begin))
-        for step in range(int(self.size[0])):
-            active = self.active(step)
-            moved = (self.matrix[:active] * self.emitted(step, active)[:, None, :]).reshape(-1, states) @ self.model.move
-            self.matrix[:active] = moved.reshape(-1, states, states)
-            if step % RESCALE == RESCALE - 1:
-                self._rescale(active)
-        self._rescale(len(self.begin))
+    def _multiply(self, chosen: np.ndarray, product: np.ndarray) -> np.ndarray:
+        """``product`` (segment, rows, states) times the steps of the ``chosen`` segments, scaled to sum to 1."""
+        sizes, begins, shape = self.size[chosen], self.begin[chosen], product.shape[1:]
+
+        def rescale(active: int) -> None:
+            total = product[:active].sum(axis=(1, 2))
+            product[:active] /= total[:, None, None]
+            self.log_scale[chosen[:active]] += np.log(total)
 
-    def _rescale(self, active: int) -> None:
-        total = self.matrix[:active].sum(axis=(1, 2))
-        self.matrix[:active] /= total[:, None, None]
-        self.log_scale[:active] += np.log(total)
+        for step in range(int(sizes[0]) if len(sizes) else 0):
+            active = int(np.searchsorted(-sizes, -step, side="left"))
+            emitted = self.model.emit[self.data[begins[:active] + step]]
+            moved = (product[:active] * emitted[:, None, :]).reshape(-1, shape[1]) @ self.model.move
+            product[:active] = moved.reshape(-1, *shape)
+            if step % RESCALE == RESCALE - 1:
+                rescale(active)
+        rescale(len(product))
+        return product
 
     def forward(self) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood per sequence, and the state expected at the beginning of each segment."""
@@ -90,7 +100,7 @@ class _Segments:
             have = np.flatnonzero(self.per_sequence > number)
             at = self.place[self.first[have] + number]
             before[at] = state[have]
-            after = np.matmul(state[have][:, None, :], self.matrix[at])[:, 0, :]
+            after = np.matmul(state[have][:, None, :], self.matrix[self.slot[at]])[:, 0, :] if number else self.row[self.slot[at]]
             total = after.sum(axis=1)
             state[have] = after / total[:, None]
             log[have] += np.log(total) + self.log_scale[at]
@@ -102,7 +112,7 @@ class _Segments:
         for number in range(int(self.per_sequence.max()) - 1, 0, -1):
             have = np.flatnonzero(self.per_sequence > number)
             at = self.place[self.first[have] + number]
-            value = np.matmul(self.matrix[at], after[at][:, :, None])[:, :, 0]
+            value = np.matmul(self.matrix[self.slot[at]], after[at][:, :, None])[:, :, 0]
             after[self.place[self.first[have] + number - 1]] = value / value.sum(axis=1, keepdims=True)
         return after
 
