@@ -52,7 +52,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return file_records(spark, f"{folder}/{name}.parquet*", schema, "parquet", streaming=True)
 
 
-def stream_in_parts(spark: SparkSession, folder: str, name: str, ts: str, parts: int = 4) -> DataFrame:
+def stream_in_parts(spark: SparkSession, folder: str, name: str, ts: str, parts: int = 2) -> DataFrame:
     """The table as a stream of several micro-batches, cut into files in order of time."""
     rows, path = table(spark, folder, name), scratch_path(spark, f"{name}-parts")
     cuts = rows.select(F.percentile_approx(ts, [place / parts for place in range(1, parts)])).first()[0] or []
