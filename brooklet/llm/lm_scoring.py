@@ -11,8 +11,9 @@ their classes.
 Three passes over the texts: one counts the words, one turns the texts into
 symbols, which are written once, and each Baum-Welch round reads the symbols: every
 task sums the expected counts of its texts, Spark adds them up per symbol, and
-the driver gets one row per symbol.  All training texts count in every
-round; only the starting point comes from a sample.
+the driver gets one row per symbol.  All training texts, however long, count in
+every round; the starting point deviates at random from the symbols' counts in
+all of them.
 
 The counts of the ``shared_words`` most frequent words are sent to the tasks, so
 what is broadcast has a fixed bound.  Occurrences of the many rare words are
@@ -48,10 +49,9 @@ class Settings:
     own_words: int = 8192
     endings: int = 512
     shared_words: int = 200_000
-    rounds: int = 3  # over all training texts
-    sample_texts: int = 1_500  # for the starting point, with sample_rounds rounds; longer texts than sample_tokens are not taken
-    sample_rounds: int = 12
-    sample_tokens: int = 10_000
+    rounds: int = 15  # each over all training texts
+    sample_texts: int = 0  # this and the next are accepted, but not read: no round works on a sample
+    sample_rounds: int = 0
     weight: float = 20.0  # tokens by which the usual shares of the symbols count in every state
     seed: int = 0
 
@@ -222,7 +222,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     counted = rows.filter("not held_out").select("text").mapInArrow(_count(settings), "word binary, ending int, n long")
     counts = land(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")))
     n_words, n_tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    words, log_class = _words(counts, settings)
+    words, log_class, symbol_counts = _words(counts, settings)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, tag long, held_out boolean, n_tokens long, symbols binary, n_shared long, shared_base double, shared_within double, rare array<binary>"
@@ -231,7 +231,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     encoded.write.parquet(path)
     stored = spark.read.schema(encoded.schema).parquet(path)
 
-    model = _train(spark, stored.filter("not held_out"), settings)
+    model = _train(spark, stored.filter("not held_out"), symbol_counts, settings)
     names = "row long, doc_id {}, tag long, held_out boolean, n_tokens long, n_shared long, shared_base double, shared_within double, fit double, class_sizes double"
     scored = stored.drop("rare").mapInArrow(_score(spark.sparkContext.broadcast((model, log_class))), names.format(kind))
     rare = stored.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")
@@ -250,43 +250,35 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     )
 
 
-def _words(counts: DataFrame, settings: Settings) -> tuple[Words, np.ndarray]:
-    """The shared words, and log10(tokens + words + 1) of the class of each symbol (0 for symbols that are one word)."""
+def _words(counts: DataFrame, settings: Settings) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The shared words, log10(tokens + words + 1) of the class of each symbol (0 for symbols that are one word), and the tokens of each symbol."""
     frequent = _frequent(counts.filter("ending >= 0"), settings.shared_words).toArrow().to_pydict()
     order = sorted(range(len(frequent["word"])), key=lambda at: (-frequent["n"][at], frequent["word"][at]))
     own = order[: settings.own_words]
     symbols = [place if place < len(own) else settings.own_words + frequent["ending"][at] for place, at in enumerate(order)]
     ends = counts.filter("ending < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     events = np.zeros(settings.endings)  # tokens + words of each class
-    for row in counts.filter("ending >= 0").groupBy("ending").agg((F.sum("n") + F.count(F.lit(1))).alias("events")).collect():
-        events[row["ending"]] = row["events"]
-    for at in own:
+    tokens = np.zeros(settings.symbols)
+    classes = counts.filter("ending >= 0").groupBy("ending").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words"))
+    for row in classes.collect():
+        events[row["ending"]] = row["tokens"] + row["words"]
+        tokens[settings.own_words + row["ending"]] = row["tokens"]
+    for place, at in enumerate(own):
         events[frequent["ending"][at]] -= frequent["n"][at] + 1
+        tokens[settings.own_words + frequent["ending"][at]] -= frequent["n"][at]
+        tokens[place] = frequent["n"][at]
+    tokens[settings.end] = ends
     log_class = np.zeros(settings.symbols)
     log_class[settings.own_words : settings.end] = np.log10(events + 1)
     logs = np.log10(np.array([frequent["n"][at] for at in order], dtype=np.float64) + 1)
     table = Words([frequent["word"][at] for at in order], logs, np.array(symbols, dtype=SYMBOL), math.log10(ends + 1), ends > 0)
-    return table, log_class
-
-
-def _train(spark: SparkSession, texts: DataFrame, settings: Settings) -> hmm.Hmm:
-    n = texts.count()
-    flat = np.full(settings.symbols, 1 / settings.symbols)
-    if not n:
-        return hmm.beginning(flat, settings.states, settings.seed)
-    chance = F.pmod(F.xxhash64("doc_id", "tag", F.lit("start")), F.lit(1 << 40)) / float(1 << 40)
-    small = texts.filter(F.col("n_tokens") <= settings.sample_tokens).filter(chance < settings.sample_texts / n)
-    sample = small.orderBy("doc_id", "tag", "row").select("symbols").toArrow().column("symbols").combine_chunks()
-    data, begins = _sequences(sample)
-    usual = np.bincount(data, minlength=settings.symbols) + 0.5
+    return table, log_class, tokens
+
+
+def _train(spark: SparkSession, texts: DataFrame, symbol_counts: np.ndarray, settings: Settings) -> hmm.Hmm:
+    usual = symbol_counts + 0.5
     usual /= usual.sum()
     model = hmm.beginning(usual, settings.states, settings.seed)
-    for _ in range(settings.sample_rounds if len(data) else 0):
-        counts = hmm.Counts.none(*model.emit.shape)
-        hmm.expect(model, data, begins, counts)
-        model = hmm.maximise(counts, usual, settings.weight)
-    for _ in range(settings.rounds):
-        counts = baum_welch(spark, texts, model)
-        usual = counts.emit.sum(axis=1) + 0.5
-        model = hmm.maximise(counts, usual / usual.sum(), settings.weight)
+    for _ in range(settings.rounds if symbol_counts.any() else 0):
+        model = hmm.maximise(baum_welch(spark, texts, model), usual, settings.weight)
     return model

@@ -1,6 +1,7 @@
 """Language identification and language-model scoring."""
 
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from corpora import edge_rows, lower, table, words
 
 from brooklet.llm import hmm
 from brooklet.llm.langid import FOLD, ORDER, OTHER, _trees, identify_language, train
-from brooklet.llm.lm_scoring import Settings, score_texts
+from brooklet.llm.lm_scoring import Settings, baum_welch, score_texts
 
 LATIN = {"en": "the of and to in that it was for on with as his they be at one have this from ", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als ", "es": "de la que el en y a los del se las por un para con no una su al es lo como más "}
 
@@ -232,6 +233,31 @@ def test_probabilities_of_one_word_texts_sum_to_one(spark):
     assert 0 < total <= 1
 
 
+def test_every_round_takes_all_texts(spark, monkeypatch):
+    """Long texts and more than a few thousand texts: each round's counts are those of all training tokens."""
+    rows = [(n, f"w{n % 7} w{n % 11}") for n in range(3_000)] + [(5_000, "long " * 12_000), (5_001, "other " * 12_000)]
+    training = [text for doc_id, text in rows if zlib.crc32(str(doc_id).encode()) % 7 != 2]
+    assert any(len(text) > 50_000 for text in training)
+    seen = []
+
+    def spy(*args):
+        seen.append(baum_welch(*args))
+        return seen[-1]
+
+    def elsewhere(*args, home=os.getpid(), expect=hmm.expect):
+        assert os.getpid() != home, "counts on the driver"
+        return expect(*args)
+
+    monkeypatch.setattr("brooklet.llm.lm_scoring.baum_welch", spy)
+    monkeypatch.setattr("brooklet.llm.lm_scoring.hmm.expect", elsewhere)
+    settings = Settings(states=2, own_words=40, endings=4, rounds=3)
+    assert score_texts(table(spark, rows), settings=settings).count() == len(rows)
+    assert len(seen) == settings.rounds
+    for counts in seen:
+        assert np.isclose(counts.emit.sum(), sum(len(text.split()) + 1 for text in training))
+        assert np.isclose(counts.start.sum(), len(training))
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     found = score_texts(spark.read.parquet(f"{DATA}/documents.parquet")).filter("held_out").collect()
     assert sum(row["score"] for row in found) > sum(row["base_score"] for row in found)
