@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import crc_part, pick, text_tag
+from brooklet.llm.common import crc_part, land, pick, text_tag
 
 ORDER = 3
 OTHER = 0x20
@@ -32,7 +32,7 @@ FOLD = np.array([b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() els
 SLAB = 1 << 20  # bytes scored at once
 UNKNOWN = "und"
 
-# Bounds of the training sample: documents of a language, bytes of one of them.
+# Bounds of the training sample: documents of a language, and their bytes on average.
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 20_000
 
@@ -55,10 +55,13 @@ def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             if text:
                 data = FOLD[np.frombuffer(text, dtype=np.uint8)]
-                code = data.astype(np.int64)
-                for distance in range(1, ORDER + 1):
-                    code |= _before(data, np.zeros(1, dtype=np.int64), distance, OTHER).astype(np.int64) << (8 * distance)
-                found.setdefault(lang, []).append(np.unique(code, return_counts=True))
+                for at in range(0, len(data), SLAB):
+                    far = max(0, at - ORDER)
+                    part = data[far : at + SLAB]
+                    code = part.astype(np.int64)
+                    for distance in range(1, ORDER + 1):
+                        code |= _before(part, np.zeros(1, dtype=np.int64), distance, OTHER).astype(np.int64) << (8 * distance)
+                    found.setdefault(lang, []).append(np.unique(code[at - far :], return_counts=True))
     for lang, parts in found.items():
         codes, place = np.unique(np.concatenate([codes for codes, _ in parts]), return_inverse=True)
         n = np.bincount(place, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
@@ -138,31 +141,50 @@ def _trees(grams: list) -> ContextTrees:
     return ContextTrees(langs, symbol, state, bits.reshape(-1, len(langs)))
 
 
-def training_sample(rows: DataFrame, docs_each: int, bytes_each: int) -> DataFrame:
-    """At most about ``docs_each`` rows (lang, text) of each language, chosen by a hash of the document, whole texts."""
-    fit = rows.filter("lang is not null and text is not null").filter(F.octet_length("text") <= bytes_each)
+def training_sample(rows: DataFrame, docs_each: int, bytes_each: int, long_texts: bool = False) -> DataFrame:
+    """At most about ``docs_each`` rows (lang, text) of each language, chosen by a hash of the document, whole texts.
+
+    Without ``long_texts`` texts above ``bytes_each`` bytes are left out.  With it texts of any length are taken, in the
+    order of the hash, until a language has ``docs_each * bytes_each`` bytes; the first one always counts, and rows equal in id and text count once.
+    """
+    fit = rows.filter("lang is not null and text is not null")
+    if long_texts:
+        fit = fit.filter(F.octet_length("text") > 0)
+    else:
+        fit = fit.filter(F.octet_length("text") <= bytes_each)
     counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total, langs = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     if not langs:
         return fit.select("lang", "text")
-    shares = F.broadcast(counts)  # a row per language, refused below if they are too many
-    if langs > 10_000:
+    if langs > 10_000:  # a row per language is sent to all tasks
         raise ValueError(f"{langs} languages")
-    chance = F.pmod(F.xxhash64("doc_id", "tag", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    return fit.join(shares, "lang").filter(chance < docs_each / F.col("n")).select("lang", "text")
-
-
-def train(rows: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> ContextTrees | None:
+    draw = F.pmod(F.xxhash64("doc_id", "tag", F.lit("sample")), F.lit(1 << 40))
+    fit = fit.withColumn("draw", draw)
+    chance = F.col("draw") / float(1 << 40)
+    if not long_texts:
+        return fit.join(F.broadcast(counts), "lang").filter(chance < docs_each / F.col("n")).select("lang", "text")
+    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"))
+    near = fit.join(F.broadcast(counts), "lang").filter((chance < docs_each / F.col("n")) | (F.col("draw") == F.col("first")))
+    near = land(near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"]))  # about docs_each documents a language
+    order = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = near.select("lang", "draw", F.octet_length("text").cast("long").alias("size"), F.min("draw").over(order).alias("first"))
+    taken = sizes.withColumn("upto", F.sum("size").over(order)).filter((F.col("upto") <= docs_each * bytes_each) | (F.col("draw") == F.col("first")))
+    last = taken.groupBy("lang").agg(F.max("draw").alias("last"))
+    return near.join(F.broadcast(last), "lang").filter("draw <= last").select("lang", "text")
+
+
+def train(rows: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES, long_texts: bool = False) -> ContextTrees | None:
     """Context trees of the languages in ``rows`` (doc_id, tag, lang, text); None without any."""
-    sample = training_sample(rows, docs_each, bytes_each).withColumn("text", F.col("text").cast("binary"))
+    sample = training_sample(rows, docs_each, bytes_each, long_texts).withColumn("text", F.col("text").cast("binary"))
     grams = sample.mapInArrow(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    found = grams.collect()  # bounded by the sample: at most docs x bytes rows per language, far fewer in fact
+    found = grams.collect()  # bounded by the sample: at most its bytes in rows per language, far fewer in fact
     return _trees(found) if found else None
 
 
 def _predict(shared):
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
+        kept = ["doc_id", "tag", "held_out", "letter"]
         for batch in batches:
             texts = batch.column("text").to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -176,8 +198,8 @@ def _predict(shared):
                 for row, place, share in zip(rows, best.tolist(), shares.tolist()):
                     langs[row], scores[row] = trees.langs[place], share
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("tag"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "tag", "held_out", "lang_pred", "score"],
+                [batch.column(name) for name in kept] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                [*kept, "lang_pred", "score"],
             )
 
     return emit
@@ -195,20 +217,33 @@ def identify_language(
     """One row per row of ``docs``: doc_id, tag, held_out, lang_pred, score.
 
     Learns from documents whose crc32(id as text) mod ``folds`` is not 0, from a
-    sample of about ``sample_docs`` texts a language, none above ``sample_bytes``
-    bytes.  ``score`` is the share of the best language when code lengths are
+    sample of about ``sample_docs`` texts a language, of any length, with
+    ``sample_docs * sample_bytes`` bytes together (one text may have more).  ``score`` is the share of the best language when code lengths are
     taken as likelihoods.  A null text, or one without a letter, is ``und`` with
     score 0, and so is every text when there is nothing to learn from.  A null
     id counts as empty text in the fold; ties go to the first language by code
     point.  Repeated rows are judged one by one.  Other columns are not looked
     at.  An empty table gives an empty result.
     """
+    return identify_letters(docs, doc_id, text, lang, folds, sample_docs, sample_bytes).drop("letter")
+
+
+def identify_letters(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    folds: int = 5,
+    sample_docs: int = SAMPLE_DOCS,
+    sample_bytes: int = SAMPLE_BYTES,
+) -> DataFrame:
+    """As ``identify_language``, and whether the text has a letter (``letter``)."""
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang)
     rows = rows.withColumn("held_out", crc_part(F.col("doc_id"), folds) == 0).withColumn("tag", text_tag(F.col("text")))
-    trees = train(rows.filter("not held_out"), sample_docs, sample_bytes)
+    trees = train(rows.filter("not held_out"), sample_docs, sample_bytes, long_texts=True)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # its size follows from the sample and the languages
     texts = rows.select(
         "doc_id", "tag", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col("text").cast("binary").alias("text")
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_predict(shared), f"doc_id {kind}, tag long, held_out boolean, lang_pred string, score double")
+    return texts.mapInArrow(_predict(shared), f"doc_id {kind}, tag long, held_out boolean, letter boolean, lang_pred string, score double")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brooklet.llm.common import scratch, text_tag
 from brooklet.llm.decontamination import decontaminate
 from brooklet.llm.exact_dedup import exact_dedup
-from brooklet.llm.langid import UNKNOWN, identify_language
+from brooklet.llm.langid import UNKNOWN, identify_letters
 from brooklet.llm.mixing import mix
 from brooklet.llm.simhash import simhash_dedup
 
@@ -34,8 +34,8 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without a letter go."""
-    return _keep(docs, identify_language(docs).filter(F.col("lang_pred") != UNKNOWN))
+    """Documents with a language: texts without a letter go.  Those with one stay also when no language could be learned."""
+    return _keep(docs, identify_letters(docs).filter((F.col("lang_pred") != UNKNOWN) | F.col("letter")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from corpora import edge_rows, lower, table, words
 
 from brooklet.llm import hmm
-from brooklet.llm.langid import FOLD, ORDER, OTHER, _trees, identify_language, train
+from brooklet.llm.langid import FOLD, ORDER, OTHER, _grams, _trees, identify_language, train, training_sample
 from brooklet.llm.lm_scoring import Settings, baum_welch, score_texts
 
 LATIN = {"en": "the of and to in that it was for on with as his they be at one have this from ", "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als ", "es": "de la que el en y a los del se las por un para con no una su al es lo como más "}
@@ -129,6 +130,36 @@ def test_sample_is_bounded(spark):
     assert train(docs, 10, 20_000).langs == sorted(LATIN)
 
 
+def test_languages_with_long_texts_only(spark):
+    rows = [(number, text * (400 if lang == "de" else 1), lang) for number, text, lang in labelled()]
+    assert min(len(text) for _, text, lang in rows if lang == "de") > 20_000
+    found = {row["doc_id"]: row["lang_pred"] for row in identify_language(table(spark, rows)).collect()}
+    assert all(found[number] == lang for number, _, lang in rows)
+    # The bound on bytes leaves one text of each language.
+    few = identify_language(table(spark, rows), sample_docs=400, sample_bytes=1).collect()
+    assert {row["lang_pred"] for row in few} == set(LATIN)
+
+
+def test_long_texts_are_counted_in_slabs(monkeypatch):
+    text = "the then über that".encode()
+    want = {row["code"]: row["n"] for row in plain_grams("en", [text])}
+    for slab in (1 << 20, 7, 3):
+        monkeypatch.setattr("brooklet.llm.langid.SLAB", slab)
+        (found,) = _grams([pa.record_batch([pa.array(["en"]), pa.array([text])], ["lang", "text"])])
+        assert dict(zip(found.column("code").to_pylist(), found.column("n").to_pylist())) == want
+
+
+def test_long_sample_is_bounded(spark):
+    rows = [(number, lang, text * 10, number) for number, text, lang in labelled(3_000)]
+    rows += [(-1, "en", "again " * 500, -1)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, tag long")
+    sizes = defaultdict(list)
+    for row in training_sample(docs, 20, 5_000, long_texts=True).collect():
+        sizes[row["lang"]].append(len(row["text"].encode()))
+    assert sizes.keys() == LATIN.keys()
+    assert all(sum(own) <= 20 * 5_000 and len(own) < 60 for own in sizes.values())
+
+
 # --- hidden Markov model
 
 

@@ -87,6 +87,12 @@ def test_edges(spark):
     assert [df.count() for df in stages(spark, spark.createDataFrame([], COLUMNS))] == [0] * 6
 
 
+def test_nothing_to_learn_from(spark):
+    """Texts with a letter stay in the first stage when no text is labelled."""
+    docs = spark.createDataFrame([(1, "a clean text", None, "a", 12), (2, "12 34", None, "a", 5), (3, None, None, "a", 0)], COLUMNS)
+    assert [row["doc_id"] for row in corpus_pipeline.known_language(spark, docs, DATA).collect()] == [1]
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, DATA)
     assert found.count() > 0 and "copies" in found.columns
