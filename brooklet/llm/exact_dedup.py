@@ -1,12 +1,13 @@
-"""Exact deduplication: a tree merge of sorted digest runs.
+"""Exact deduplication: grouped minima of digest runs in rounds.
 
-Every input partition becomes a run: its distinct digests in sorted order, each
-with its smallest identifier and its number of rows.  In each round the runs
-are exchanged in groups of ``fan_in`` neighbours and merged, until one run is
-left.  An entry is merged with at most ``fan_in`` - 1 others, however many
-copies a text has.  The answers go down the same tree: the last run answers the
-entries of the first runs, and each first run its own rows, so that no join has
-a key with more than one partition's rows.
+The input partitions are dealt to ``runs`` runs: a run's distinct digests, each
+with its smallest identifier and its number of rows.  In each round ``fan_in``
+neighbouring runs become one, until one is left.  Nothing is sorted or merged
+explicitly: a round is a grouping by run and key, dealt anew by hash, which
+stands in for the merge.  An entry meets at most ``fan_in`` - 1 others in a
+round, however many copies a text has.  The answers do not go down round by
+round: one join gives the last run's answers to the entries of the first runs
+(at most ``runs`` a key), and another gives each first run's to its own rows.
 
 An entry's key is the SHA-256 of the normalised text together with its length
 and a second hash, so every merge verifies that equal digests mean equal texts.
