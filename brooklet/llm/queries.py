@@ -11,8 +11,9 @@ from brooklet.llm.decontamination import decontaminate
 from brooklet.llm.exact_dedup import exact_dedup
 from brooklet.llm.langid import identify_language
 from brooklet.llm.line_dedup import dedup_lines
-from brooklet.llm.common import scratch
+from brooklet.llm.common import crc_part, lower_ascii, scratch
 from brooklet.llm.lm_scoring import score_texts
+from brooklet.llm.merkle import fold, merkle_proofs, path_digest, record_digest
 from brooklet.llm.mixing import mix
 from brooklet.llm.paragraph_dedup import dedup_units
 from brooklet.llm.simhash import simhash_dedup
@@ -184,3 +185,59 @@ def op10_decontaminate(spark, folder):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+# CRC-32 of the decimal digits of an id, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), list_transform(range(8), lambda i: i::BIGINT)),
+        lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def tree_sql(leaves: str, tree: str, levels: int) -> str:
+    """Levels 0 to ``levels`` of the trees over ``leaves`` (grp, pos, n, h); a tree that has ended stays as it is."""
+    sql = f"{tree}0 AS (SELECT grp, pos, n, h FROM {leaves}),"
+    for level in range(levels):
+        sql += f"""
+    {tree}{level + 1} AS (SELECT grp, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+        FROM {tree}{level} GROUP BY grp, pos // 16, n),"""
+    return sql
+
+
+def path_sql(start: str, at: str, tree: str, levels: int) -> str:
+    """``proof`` and ``node`` of ``start`` (grp, pos) handed up the tree, as {tree}path{levels}."""
+    sql = f"{tree}path0 AS (SELECT *, {at} FROM {start}),"
+    for level in range(levels):
+        sql += f"""
+    {tree}sides{level} AS (SELECT grp, pos, n, array_to_string(list(h) OVER (PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+        array_to_string(list(h) OVER (PARTITION BY grp, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {tree}{level}),
+    {tree}path{level + 1} AS (SELECT p.* REPLACE (p.pos // 16 AS pos, CASE WHEN s.n = 1 THEN proof ELSE proof || coalesce(l, '') || coalesce(r, '') END AS proof,
+        CASE WHEN s.n = 1 THEN node ELSE sha256(coalesce(l, '') || node || coalesce(r, '')) END AS node)
+        FROM {tree}path{level} p JOIN {tree}sides{level} s USING (grp, pos)),"""
+    return sql
+
+
+@register(
+    f"""
+    WITH f AS (SELECT doc_id, coalesce('1' || source, '0') AS grp, {FIELD.format("doc_id")} || {FIELD.format("source")} || {FIELD.format("lang")} || {FIELD.format("n_chars")} AS head,
+                      text, CASE WHEN {CRC32} % 5 = 0 THEN {LOWER.format("text")} ELSE text END AS claimed FROM documents),
+    l AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY grp ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n,
+                 sha256(head || {FIELD.format("text")}) AS h, sha256(head || {FIELD.format("claimed")}) AS claim FROM f),
+    {tree_sql("l", "t", 6)}
+    tops AS (SELECT '' AS grp, grp AS member, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM t6),
+    {tree_sql("tops", "u", 4)}
+    {path_sql("l", "claim AS node, '' AS proof", "t", 6)}
+    m AS (SELECT doc_id, p.h AS leaf, tops.h AS subroot, '' AS grp, tops.pos, node, proof FROM tpath6 p JOIN tops ON p.grp = member),
+    {path_sql("(SELECT doc_id, leaf, subroot, grp, pos, node AS start_node, proof AS start_proof FROM m)", "start_node AS node, start_proof AS proof", "u", 4)}
+    e AS (SELECT p.*, u4.h AS root FROM upath4 p, u4)
+    SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM e"""
+)
+def op12_merkle_manifest(spark, folder):
+    """Proofs of all documents; of a fifth of them the text is changed before the root is computed again."""
+    record = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars")]
+    docs = table(spark, folder, "documents").withColumn("leaf", record_digest(*record, F.col("text")))
+    claim = F.when(crc_part(F.col("doc_id"), 5) == 0, record_digest(*record, lower_ascii(F.col("text")))).otherwise(F.col("leaf"))
+    leaves = docs.select("doc_id", "source", "leaf", claim.alias("claim"))
+    found = merkle_proofs(leaves, "source", "doc_id", "leaf", carry=["doc_id", "claim"])
+    folded = found.withColumn("folded_root", fold(F.col("claim"), F.col("path"))).withColumn("proof_sha256", path_digest(F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
