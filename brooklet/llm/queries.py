@@ -17,6 +17,7 @@ from brooklet.llm.merkle import fold, merkle_proofs, path_digest, record_digest
 from brooklet.llm.mixing import mix
 from brooklet.llm.paragraph_dedup import dedup_units
 from brooklet.llm.simhash import simhash_dedup
+from brooklet.llm.subvectors import centroid_digest, cluster_vectors
 from brooklet.llm.suffix_dedup import repeated_spans
 from brooklet.llm.warc import page_of, read_warc, write_warc
 
@@ -187,6 +188,34 @@ def op10_decontaminate(spark, folder):
     )
 
 
+def round_sql(number: int) -> str:
+    """All vectors given to the centroids of a round, and the centroids after it."""
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    return f"""
+    a{number} AS (SELECT vec_id, copy, v, min({far}::HUGEINT * 16 + cluster) AS best FROM e, c{number} GROUP BY vec_id, copy, v),
+    m{number} AS (SELECT (best % 16)::INTEGER AS cluster, unnest(range(64)) AS place, unnest(v) AS x FROM a{number}),
+    f{number} AS (SELECT cluster, place, sum(x) AS s, count(*) AS n FROM m{number} GROUP BY cluster, place),
+    c{number + 1} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS c FROM f{number} GROUP BY cluster
+                      UNION ALL SELECT cluster, c FROM c{number} WHERE cluster NOT IN (SELECT cluster FROM f{number})),"""
+
+
+@register(
+    f"""
+    WITH e AS (SELECT vec_id, row_number() OVER () AS copy, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    s AS (SELECT v, sha256('1:' || vec_id) AS draw FROM e ORDER BY draw, v LIMIT 16),
+    c0 AS (SELECT (row_number() OVER (ORDER BY draw, v) - 1)::INTEGER AS cluster, v AS c FROM s),
+    {"".join(map(round_sql, range(4)))}
+    g AS (SELECT vec_id, (best % 16)::INTEGER AS cluster, (best // 16)::BIGINT AS distance FROM a3)
+    SELECT vec_id, g.cluster, distance, sum(distance) OVER (PARTITION BY g.cluster)::BIGINT AS cluster_inertia,
+           sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM g JOIN c3 ON g.cluster = c3.cluster"""
+)
+def op11_cluster_vectors(spark, folder):
+    found = cluster_vectors(table(spark, folder, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_digest(F.col("centroid")).alias("centroid_sha256"))
+
+
 FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
 # CRC-32 of the decimal digits of an id, bit by bit.
 CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
