@@ -16,6 +16,7 @@ from brooklet.llm.lm_scoring import score_texts
 from brooklet.llm.merkle import fold, merkle_proofs, path_digest, record_digest
 from brooklet.llm.mixing import mix
 from brooklet.llm.paragraph_dedup import dedup_units
+from brooklet.llm.quality import judge_quality
 from brooklet.llm.simhash import simhash_dedup
 from brooklet.llm.subvectors import centroid_digest, cluster_vectors
 from brooklet.llm.suffix_dedup import repeated_spans
@@ -270,3 +271,48 @@ def op12_merkle_manifest(spark, folder):
     found = merkle_proofs(leaves, "source", "doc_id", "leaf", carry=["doc_id", "claim"])
     folded = found.withColumn("folded_root", fold(F.col("claim"), F.col("path"))).withColumn("proof_sha256", path_digest(F.col("path")))
     return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+# Characters that are taken away to count a class, in the order of the classes.
+CLASS_SETS = [
+    "[^a-z]", "[^A-Z]", "[^0-9]", r"[^\x20\x09-\x0D]", r"[^.,;:!?'\"()-]",
+    r"[\x00-\x20\x7F-\x{10FFFF}a-zA-Z0-9.,;:!?'\"()-]", r"[^\x00-\x08\x0E-\x1F\x7F]", r"[^\x{C0}-\x{24F}]", r"[\x00-\x7F\x{C0}-\x{24F}]",
+]
+CLASS_COUNTS = ", ".join("length(regexp_replace(text, '" + kept.replace("'", "''") + "', '', 'g'))" for kept in CLASS_SETS)
+# A share's part of the Jensen-Shannon divergence, in bits.
+SHARE = "CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END"
+
+
+@register(
+    rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, lang, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    t AS (SELECT doc_id, lang, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+    lo AS (SELECT doc_id, lang, {LOWER.format("word")} AS word, count(*) AS n FROM t GROUP BY ALL),
+    lw AS (SELECT lang, word, sum(n)::BIGINT AS n FROM lo WHERE lang IS NOT NULL GROUP BY lang, word),
+    total AS (SELECT lang, sum(n) AS total FROM lw GROUP BY lang HAVING sum(n) >= 1000),
+    top AS (SELECT lang, word, n / total AS q FROM lw JOIN total USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 64),
+    rest AS (SELECT lang, greatest(1 - sum(q), 0) AS q FROM top GROUP BY lang),
+    cc AS (SELECT doc_id, lang, length(text) AS chars, unnest([{CLASS_COUNTS}]) AS n, unnest(range(9)) AS class FROM d),
+    cr AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM cc WHERE lang IN (SELECT lang FROM total) GROUP BY lang, class),
+    cp AS (SELECT doc_id, cr.lang, chars, n / greatest(chars, 1) AS p, q FROM cc JOIN cr USING (class)),
+    cd AS (SELECT doc_id, lang, sqrt(greatest(0.5 * sum({SHARE.format(p="p", q="q")}), 0)) AS far FROM cp WHERE chars >= 200 GROUP BY doc_id, lang),
+    size AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) >= 50),
+    wp AS (SELECT doc_id, top.lang, word, coalesce(lo.n, 0) / size.n AS p, q FROM size CROSS JOIN top LEFT JOIN (SELECT doc_id, word, n FROM lo) lo USING (doc_id, word)),
+    ws AS (SELECT doc_id, lang, sum({SHARE.format(p="p", q="wp.q")}) AS common, greatest(1 - sum(p), 0) AS p FROM wp GROUP BY doc_id, lang),
+    wd AS (SELECT doc_id, lang, sqrt(greatest(0.5 * (common + {SHARE.format(p="p", q="rest.q")}), 0)) AS far FROM ws JOIN rest USING (lang)),
+    fit AS (SELECT doc_id, min(greatest(coalesce(cd.far, 0) / 0.3, coalesce(wd.far, 0) / 0.5)) AS excess
+            FROM (SELECT d.doc_id, total.lang FROM d, total) pairs LEFT JOIN cd USING (doc_id, lang) LEFT JOIN wd USING (doc_id, lang) GROUP BY doc_id),
+    g AS (SELECT doc_id, pos, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM t),
+    gr AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM g WHERE len(gram) = 5),
+    rp AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + 5)) AS place FROM gr WHERE times > 1) GROUP BY doc_id),
+    ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+    dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    b AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                 length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rp.n, 0) AS n_repeat_words
+          FROM d LEFT JOIN rp USING (doc_id) LEFT JOIN dl USING (doc_id)),
+    v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+    SELECT v.*, NOT base_failed AND coalesce(excess <= 1, true) AS kept FROM v LEFT JOIN fit USING (doc_id)"""
+)
+def op13_judge_quality(spark, folder):
+    """Counts and the verdict; the distances are compared in the tests."""
+    return judge_quality(table(spark, folder, "documents")).drop("nearest", "excess")
