@@ -25,16 +25,18 @@ def cast_as(df: DataFrame, expression: Expression, target: str | T.DataType) ->
     require_ansi(df.sparkSession)
     column, kind = to_column(expression), resolved_type(df, expression)
     if isinstance(kind, T.StringType):
-        if isinstance(wanted, T.IntegerType):
-            return _digits(column).cast(wanted)
-        if isinstance(wanted, T.DoubleType):
-            return _checked_number(_digits(column)).cast(wanted)
+        if isinstance(wanted, (T.IntegerType, T.DoubleType)):
+            return number_of(column, wanted)
     return column.cast(wanted)
 
 
 def as_text(df: DataFrame, expression: Expression) -> Column:
     """``str(value)``."""
-    column, kind = to_column(expression), resolved_type(df, expression)
+    return text_of(to_column(expression), resolved_type(df, expression))
+
+
+def text_of(column: Column, kind: T.DataType) -> Column:
+    """``str(value)`` of a column of a known type."""
     if isinstance(kind, T.StringType):
         text = column
     elif isinstance(kind, T.BooleanType):
@@ -46,6 +48,12 @@ def as_text(df: DataFrame, expression: Expression) -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
+def number_of(text: Column, wanted: T.DataType) -> Column:
+    """``int(text)`` or ``float(text)``, by the wanted type; what Python refuses fails the query."""
+    digits = _digits(text)
+    return (_checked_number(digits) if isinstance(wanted, T.DoubleType) else digits).cast(wanted)
+
+
 def _digits(text: Column) -> Column:
     """Drop the single underscores Python allows between digits."""
     return F.when(F.contains(text, F.lit("_")), F.regexp_replace(text, "(?<=[0-9])_(?=[0-9])", "")).otherwise(text)

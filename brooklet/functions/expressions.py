@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brooklet.functions.rounding import round_float
 from brooklet.types import field_type, is_numeric
 
 Expression = str | Column
@@ -102,15 +103,23 @@ def floor_div(df: DataFrame, left: Expression, right: Expression) -> Column:
     a, b = to_column(left), to_column(right)
     integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     if isinstance(resolved_type(df, left), integral) and isinstance(resolved_type(df, right), integral):
-        # Divided first: taking the remainder off first could leave the range of the type.
-        rest, whole = a % b, F.call_function("div", a, b)
-        return F.when((rest != 0) & ((rest < 0) != (b < 0)), whole - 1).otherwise(whole)
+        return floor_div_whole(a, b)
+    return floor_div_float(a.cast("double"), b.cast("double"))
+
+
+def floor_div_whole(a: Column, b: Column) -> Column:
+    # Divided first: taking the remainder off first could leave the range of the type.
+    rest, whole = a % b, F.call_function("div", a, b)
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), whole - 1).otherwise(whole)
+
+
+def floor_div_float(a: Column, b: Column) -> Column:
     # The remainder is taken off first, so that 1.0 // 0.1 is 9.0 and not floor(10.0).
-    a, b = a.cast("double"), b.cast("double")
     exact = (a - modulo(a, b)) / b
     whole = F.floor(exact).cast("double")
     nearest = F.when(exact - whole > 0.5, whole + 1.0).otherwise(whole)
-    return F.when(F.abs(exact) >= F.lit(2.0**53), exact).otherwise(nearest)
+    signed = F.when(nearest == 0, a / b * F.lit(0.0)).otherwise(nearest)  # a zero has the quotient's sign
+    return F.when(F.abs(exact) >= F.lit(2.0**53), exact).otherwise(signed)
 
 
 def split_get(text: Expression, separator: str, index: int) -> Column:
@@ -150,8 +159,9 @@ def replace(text: Expression, old: str, new: str) -> Column:
 
 
 def round_half_even(number: Expression, digits: int = 0) -> Column:
-    """``round(number, digits)``: halves go to the even neighbour."""
-    return F.bround(to_column(number), digits)
+    """``round(number, digits)`` of a float: halves of its binary value go to the even neighbour.  Whole results have no signed zero."""
+    rounded = round_float(to_column(number).cast("double"), digits)
+    return rounded if digits else rounded + F.lit(0.0)
 
 
 def from_python(function: Callable, returns: str, *fields: str) -> Column:

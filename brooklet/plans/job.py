@@ -15,7 +15,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from brooklet.functions import Expression
+from brooklet.functions.python_text import RECORD, is_python_text, python_condition, python_value
 from brooklet.functions.sql import register_functions
 from brooklet.metrics import Counters
 from brooklet.operators.deduplication import dedup
@@ -34,7 +37,6 @@ Step = Callable[[DataFrame, Counters | None], DataFrame]
 
 TIME = f"{HIDDEN}time"
 ORDER = f"{HIDDEN}order"
-RECORD = "item"
 
 
 @dataclass(frozen=True)
@@ -150,8 +152,9 @@ def build_job(
     result of a stateful operator and reads it back: always in a streaming job,
     where one query holds one such operator, and in a batch job where the result
     is read more than once.  ``lateness`` and ``ordered`` are the watermark delay
-    of such operators and whether they undo disorder.  Expressions may use the
-    functions of ``functions.sql``.
+    of such operators and whether they undo disorder.  Expressions that read as
+    Python about ``item`` have Python's meaning (``functions.python_text``); all
+    others are SQL and may use the functions of ``functions.sql``.
     """
     register_functions(spark)
     check_job(job)
@@ -206,18 +209,18 @@ class _Builder:
 
     def filter(self, name, index, operator, stream):
         def step(df, counters):
-            kept = _with_record(_count(counters, df, name, index, "filter_in"), lambda rows: filter_rows(rows, operator["expression"]))
+            kept = _with_expression(_count(counters, df, name, index, "filter_in"), operator["expression"], filter_rows, python_condition)
             return _count(counters, kept, name, index, "filter_out")
 
         return stream.then(step)
 
     def field_creator(self, name, index, operator, stream):
         new, value, kind = operator["field_name"], operator["value"], operator["field_type"]
-        return stream.then(lambda df, _: _with_record(df, lambda rows: create_field(rows, new, value, kind)))
+        return stream.then(lambda df, _: _with_expression(df, value, lambda rows, read: create_field(rows, new, read, kind)))
 
     def field_changer(self, name, index, operator, stream):
         old, value, kind = operator["field_name"], operator["value"], operator.get("new_type")
-        return stream.then(lambda df, _: _with_record(df, lambda rows: change_field(rows, old, value, kind)))
+        return stream.then(lambda df, _: _with_expression(df, value, lambda rows, read: change_field(rows, old, read, kind)))
 
     def field_deleter(self, name, index, operator, stream):
         if (name, operator["field_name"]) in self.gone:
@@ -232,7 +235,7 @@ class _Builder:
         def step(df, counters):
             table = self.lookup() if callable(self.lookup) else self.lookup
             rows = _count(counters, df, name, index, "enricher_in")
-            found = _with_record(rows, lambda rows: with_lookup(rows, table, new, key, self.group_rows))
+            found = _with_expression(rows, key, lambda rows, read: with_lookup(rows, table, new, read, self.group_rows))
             hit = hit_column(new)
             return _count(counters, found, name, index, "enrichment_count", field(hit)).drop(hit)
 
@@ -331,8 +334,17 @@ class _Builder:
         return stream
 
 
+def _with_expression(
+    df: DataFrame, text: Expression, apply: Callable[[DataFrame, Expression], DataFrame], python: Callable[..., Column] = python_value
+) -> DataFrame:
+    """``apply`` with a job's expression: Python about ``item`` becomes columns, everything else is SQL."""
+    if isinstance(text, str) and is_python_text(text):
+        return apply(df, python(text, T.StructType([column for column in df.schema if not column.name.startswith(HIDDEN)])))
+    return _with_record(df, lambda rows: apply(rows, text))
+
+
 def _with_record(df: DataFrame, apply: Step) -> DataFrame:
-    """Let expressions also name the whole record: ``item['number'] == 100`` is plain Spark SQL.
+    """Let SQL expressions also name the whole record: ``upper(item['name'])``.
 
     The struct exists in the logical plan only; the optimizer takes it away.
     """

@@ -11,6 +11,7 @@ import json
 from collections.abc import Mapping
 from typing import Any
 
+from brooklet.functions.python_text import is_python_text
 from brooklet.functions.sql import check_meaning
 from brooklet.operators.names import HIDDEN
 from brooklet.types import field_type
@@ -114,7 +115,7 @@ def _check_references(label: str, source: str, operator: Mapping, sources: Mappi
     if "time" in operator and operator["time"] <= 0:
         raise ValueError(f"{label}: the time must be greater than 0")
     for parameter in ("expression", "value", "search_key"):
-        if isinstance(operator.get(parameter), str):
+        if isinstance(operator.get(parameter), str) and not is_python_text(operator[parameter]):
             check_meaning(label, operator[parameter])
     if operator["operator_type"] in ("field_creator", "field_enricher"):
         _check_field(label, operator["field_name"])

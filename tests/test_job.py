@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import workloads
+from brooklet.functions import PythonTextError
 from brooklet.metrics import CounterListener, counter_name, query_totals
 from brooklet.operators import dedup, enrich, filter_rows, pair_join
 from brooklet.plans import Records, build_job
@@ -372,3 +373,28 @@ def test_texts_and_other_names_are_not_taken_for_operations(spark, events):
     rows = final(spark, events, {"operator_type": "filter", "expression": "event_type <> '50 % round(1)' and py_round(value) >= 0"})
     assert rows.count() == events.count()
     assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_python_texts_run_unchanged(spark):
+    """The texts of the format's examples, and a field whose name is known but for case."""
+    rows = spark.createDataFrame([(1, 100, "a:b"), (2, 5, ":c"), (3, 100, None)], "id int, number int, string string")
+    job = one_chain_job(
+        {"id": "int", "number": "int", "string": "string"},
+        {"operator_type": "filter", "expression": "item['number'] == 100"},
+        {"operator_type": "field_creator", "field_name": "next", "value": "item['number'] + 1", "field_type": "int"},
+        {"operator_type": "field_changer", "field_name": "number", "value": "item['number'] + 1"},
+        {"operator_type": "field_enricher", "field_name": "name", "search_key": "item['string'].split(':')[0]"},
+    )
+    lookup = spark.createDataFrame([("a", "Anna"), ("None", "nobody")], "key string, value string")
+    found = build_job(spark, job, {"in": Records(rows, "id", [])}, lookup, streaming=False).rows("in")
+    assert sorted(map(tuple, found.select("id", "number", "next", "name", "string").collect())) == [(1, 101, 101, "Anna", "a:b"), (3, 101, 101, "nobody", None)]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for text, message in (("item['Number'] + 1", "no field 'Number'"), ("item['number'].bit_length()", "no method"), ("item['string'] + item['number']", "Add of str and int")):
+        bad = one_chain_job({"number": "int", "string": "string"}, {"operator_type": "field_creator", "field_name": "x", "value": text, "field_type": "int"})
+        with pytest.raises(PythonTextError, match=message):
+            build_job(spark, bad, {"in": Records(rows, "id", [])}, streaming=False)
+
+
+def one_chain_job(schema, *chain):
+    source = {"source_type": "kafka", "address": "a:1", "topic": "t", "schema": schema}
+    return {"sources": {"in": source}, "sinks": {}, "operators": {"in": list(chain)}}

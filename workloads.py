@@ -790,6 +790,46 @@ def job_expressions(spark, folder):
     return build_job(spark, EXPRESSION_JOB, inputs, chain_lookup(spark, folder), streaming=False).outputs[0].rows
 
 
+PYTHON_JOB = {
+    "sources": {"orders": {"source_type": "kafka", "address": "broker:9092", "topic": "orders", "schema": {
+        "o_orderkey": "int", "o_custkey": "int", "o_totalprice": "double", "o_orderpriority": "string", "o_orderstatus": "string"}}},
+    "sinks": {"out": topic_target("out")},
+    "operators": {
+        "orders": [
+            {"operator_type": "filter", "expression": "item['o_custkey'] % 3 and item['o_orderstatus'] in ('O', 'F') and not item['o_totalprice'] < 1000"},
+            {"operator_type": "field_creator", "field_name": "level", "value": "int(item['o_orderpriority'].split('-')[0]) + 1", "field_type": "int"},
+            {"operator_type": "field_creator", "field_name": "word", "value": "item['o_orderpriority'].split('-')[-1].lower()[:-2]", "field_type": "string"},
+            {"operator_type": "field_creator", "field_name": "share", "value": "round(item['o_totalprice'] / 7, 2)", "field_type": "double"},
+            {"operator_type": "field_creator", "field_name": "band", "value": "'top' if 300000 < item['o_totalprice'] <= 400000 else item['word'].replace('s', '') or 'none'", "field_type": "string"},
+            {"operator_type": "field_creator", "field_name": "even", "value": "item['o_orderkey'] % 2 == 0", "field_type": "bool"},
+            {"operator_type": "field_changer", "field_name": "o_custkey", "value": "(700 - item['o_custkey']) // 7"},
+            {"operator_type": "field_enricher", "field_name": "customer", "search_key": "'c:' + str(abs(item['o_custkey'])) if item['even'] else str(item['o_orderkey'] % 100)"},
+            {"operator_type": "filter", "expression": "item['customer'] != '' or len(item['band']) > 3"},
+            {"operator_type": "output", "sink": "out"},
+        ]
+    },
+}
+
+
+@register(
+    """WITH f AS (SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey AS c, o_totalprice, o_orderpriority, o_orderstatus, string_split(o_orderpriority, '-') AS p
+                  FROM orders WHERE o_custkey % 3 <> 0 AND o_orderstatus IN ('O', 'F') AND o_totalprice >= 1000),
+            n AS (SELECT *, p[1]::INTEGER + 1 AS level, lower(p[-1])[1 : greatest(len(p[-1]) - 2, 0)] AS word, o_orderkey % 2 = 0 AS even,
+                         ((700 - c - (((700 - c) % 7 + 7) % 7)) // 7)::INTEGER AS o_custkey FROM f),
+            b AS (SELECT *, CASE WHEN 300000 < o_totalprice AND o_totalprice <= 400000 THEN 'top'
+                                 WHEN replace(word, 's', '') <> '' THEN replace(word, 's', '') ELSE 'none' END AS band FROM n)
+       SELECT band, coalesce(c_name, '') AS customer, even, level, b.o_custkey, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice,
+              round(o_totalprice / 7, 2) AS share, word
+       FROM b LEFT JOIN customer ON c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT even AND c_custkey = o_orderkey % 100
+       WHERE coalesce(c_name, '') <> '' OR length(band) > 3"""
+)
+def job_python_expressions(spark, folder):
+    """A job whose expressions are Python texts about the record, split search keys and chained comparisons included."""
+    orders = table(spark, folder, "orders")
+    inputs = {"orders": Records(orders, "o_orderdate", ["o_orderkey"])}
+    return build_job(spark, PYTHON_JOB, inputs, chain_lookup(spark, folder), streaming=False).outputs[0].rows
+
+
 # --- counters of joiners and of several outputs
 
 COUNTED_JOB = {
