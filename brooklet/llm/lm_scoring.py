@@ -1,8 +1,8 @@
 """Scoring texts with a hidden Markov language model.
 
-A text is its words, lower-cased in A-Z, and an end token.  The ``own_words``
-most frequent words are symbols of their own; every other word is the symbol of
-its ending (one of ``endings`` classes), and within a class a word has
+A text is its words, lower-cased in A-Z, and an end token.  The most frequent
+words are symbols of their own, and the more distinct words the corpus has, the
+more of them (``words_each``); every other word is the symbol of its ending (one of ``endings`` classes), and within a class a word has
 probability (count + 1) / (tokens + words + 1) of the class, the last 1 being all
 unknown words.  A text's probability is that of its symbols under a hidden
 Markov model, by the scaled forward recursion, times that of the words within
@@ -26,7 +26,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -46,15 +46,21 @@ SYMBOL = np.uint16
 @dataclass(frozen=True)
 class Settings:
     states: int = 8
-    own_words: int = 8192
+    own_words: int = 8192  # at least, if there are so many
+    words_each: int = 128  # distinct words for one more symbol
     endings: int = 512
     shared_words: int = 200_000
-    rounds: int = 15  # each over all training texts
-    sample_texts: int = 0  # this and the next are accepted, but not read: no round works on a sample
-    sample_rounds: int = 0
+    rounds: int = 8  # each over all training texts
     weight: float = 20.0  # tokens by which the usual shares of the symbols count in every state
     seed: int = 0
 
+    def for_words(self, distinct: int) -> Settings:
+        """With the symbols for a corpus of so many distinct words; symbols are numbered in 16 bits, and so is the model's size bounded."""
+        room = np.iinfo(SYMBOL).max - self.endings
+        if self.own_words > room:
+            raise ValueError(f"own_words and endings must stay below {np.iinfo(SYMBOL).max} together")
+        return replace(self, own_words=min(max(self.own_words, distinct // self.words_each), room))
+
     @property
     def symbols(self) -> int:
         return self.own_words + self.endings + 1
@@ -222,6 +228,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     counted = rows.filter("not held_out").select("text").mapInArrow(_count(settings), "word binary, ending int, n long")
     counts = land(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")))
     n_words, n_tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    settings = settings.for_words(n_words)
     words, log_class, symbol_counts = _words(counts, settings)
 
     kind = rows.schema["doc_id"].dataType.simpleString()

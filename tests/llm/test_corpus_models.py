@@ -199,8 +199,9 @@ def test_hmm(states, monkeypatch):
         want.move += moves
         for symbol, share in zip(data[begin:end], shares):
             want.emit[symbol] += share
-    for tokens in (1 << 18, 200):
+    for tokens, head in ((1 << 18, 1024), (200, 128), (1 << 18, 1), (1 << 18, 130)):
         monkeypatch.setattr(hmm, "TOKENS", tokens)
+        monkeypatch.setattr(hmm, "HEAD", head)
         counts = hmm.Counts.none(symbols, states)
         hmm.expect(model, data, begins, counts)
         assert np.allclose(hmm.log_likelihoods(model, data, begins), logs)
@@ -223,7 +224,7 @@ def test_baum_welch_climbs():
     assert fits[-1] > fits[0] and all(b > a - 1 for a, b in zip(fits, fits[1:]))
 
 
-SMALL = Settings(states=2, own_words=5, endings=4, shared_words=8, rounds=2, sample_texts=50, sample_rounds=2)
+SMALL = Settings(states=2, own_words=5, endings=4, shared_words=8, rounds=2)
 
 
 def plain_base(rows):
@@ -248,10 +249,56 @@ def test_base_scores(spark, rows, settings):
     assert all(math.isfinite(row["score"]) and row["score"] < 0 for row in found)
 
 
+def plain_scores(rows, settings):
+    """Words to symbols, Baum-Welch rounds and scores, one sequence after the other."""
+    tokens = [words(lower(row[1])) for row in rows]
+    held = [zlib.crc32(str(row[0]).encode()) % 7 == 2 for row in rows]
+    counts = Counter(word.encode() for own, out in zip(tokens, held) if not out for word in own)
+    order = sorted(counts, key=lambda word: (-counts[word], word))
+    ending = lambda word: settings.own_words + zlib.crc32(word[-3:]) % settings.endings
+    symbol = {word: place for place, word in enumerate(order[: settings.own_words])}
+    sequences = [np.array([symbol.get(word.encode(), ending(word.encode())) for word in own] + [settings.end]) for own in tokens]
+    training = [sequence for sequence, out in zip(sequences, held) if not out]
+    usual = np.bincount(np.concatenate(training), minlength=settings.symbols) + 0.5
+    usual /= usual.sum()
+    model = hmm.beginning(usual, settings.states, settings.seed)
+    for _ in range(settings.rounds):
+        found = hmm.Counts.none(settings.symbols, settings.states)
+        for sequence in training:
+            _, shares, moves = plain_hmm(model, sequence)
+            found.start += shares[0]
+            found.move += moves
+            np.add.at(found.emit, sequence, np.array(shares))
+        model = hmm.maximise(found, usual, settings.weight)
+    within = Counter()
+    for word in order[settings.own_words :]:
+        within[ending(word)] += counts[word] + 1
+    for own, sequence in zip(tokens, sequences):
+        inside = sum(math.log10((counts[word.encode()] + 1) / (within[s] + 1)) for word, s in zip(own, sequence) if s >= settings.own_words)
+        yield plain_hmm(model, sequence)[0] / math.log(10) + inside
+
+
+@pytest.mark.parametrize("shared", [10_000, 30])
+def test_trained_scores(spark, shared):
+    """From the texts to the scores of a trained model, held-out texts included; rare words joined or not."""
+    rows = [(number, text) for number, text, _ in labelled(120)] + [(900, "unknown words zzz"), (901, "")]
+    settings = Settings(states=3, own_words=20, endings=6, shared_words=shared, rounds=3, weight=2.0)
+    found = {row["doc_id"]: row["score"] for row in score_texts(table(spark, rows), settings=settings).collect()}
+    wanted = dict(zip([row[0] for row in rows], plain_scores(rows, settings)))
+    assert found.keys() == wanted.keys()
+    assert np.allclose([found[key] for key in wanted], list(wanted.values()), rtol=1e-9)
+
+
+def test_symbols_grow_with_the_words(spark):
+    assert [Settings().for_words(n).own_words for n in (0, 10_000, 8192 * 256, 10**9)] == [8192, 8192, 16384, 65535 - 512]
+    with pytest.raises(ValueError, match="own_words"):
+        Settings(own_words=70_000).for_words(1)
+
+
 def test_rare_words_count_by_joining(spark):
     """Sharing few words or all of them gives the same scores."""
     docs = table(spark, [(n, " ".join(f"w{k}" for k in range(40) if n % (k + 1) == 0)) for n in range(60)])
-    few, all_words = ({row["doc_id"]: row["score"] for row in score_texts(docs, settings=Settings(2, 5, 4, n, 1, 50, 1)).collect()} for n in (12, 10_000))
+    few, all_words = ({row["doc_id"]: row["score"] for row in score_texts(docs, settings=Settings(states=2, own_words=5, endings=4, shared_words=n, rounds=1)).collect()} for n in (12, 10_000))
     assert few.keys() == all_words.keys() and np.allclose([few[key] for key in few], [all_words[key] for key in few])
 
 
