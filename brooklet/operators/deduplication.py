@@ -127,13 +127,13 @@ def _follow_chains(
 
 
 def _anchors(hot: HotKeys, times: DataFrame, ttl: int) -> DataFrame:
-    """Anchor times (k, t) of the distinct ``times`` (k, t), in a fixed number of passes.
+    """Anchor times (k, t) of the distinct ``times`` (k, t), in a number of passes that follows the digits of the number of ranges.
 
     Each time appears twice: as a row, and as the question "which row comes
     first after t + ttl?".  Sorted and cut into ranges, a range answers its
-    questions and knows where a chain that enters it leaves it.  One walk over
-    these borders, a few rows per range, tells where each range is entered; a
-    last pass follows the chains inside the ranges.
+    questions and knows where a chain that enters it leaves it.  These links
+    between ranges are followed by doubling, which tells where each range is
+    entered; a last pass follows the chains inside the ranges.
     """
     entries = times.select("k", F.col("t").alias("at"), F.lit(0).alias("ask"), "t").unionByName(
         times.select("k", (F.col("t") + ttl).alias("at"), F.lit(1).alias("ask"), "t")
@@ -146,11 +146,10 @@ def _anchors(hot: HotKeys, times: DataFrame, ttl: int) -> DataFrame:
         borders[repr(row["k"])].append((row["block"], row["head"], row["tail"]))
     for known in borders.values():
         known.sort()
-    edges = blocks.mapInArrow(_edges(ttl, dict(borders)), f"k {kind}, at bigint, kind int, target bigint, known boolean")
-    walked = edges.repartition("k").sortWithinPartitions("k", "at", "kind").mapInArrow(_walk, f"k {kind}, t bigint")
+    edges = blocks.mapInArrow(_edges(ttl, dict(borders)), f"k {kind}, at bigint, kind int, target bigint, known boolean").checkpoint()
     entered: dict = defaultdict(set)
-    for row in walked.toArrow().to_pylist():  # a range is entered once per key at most
-        entered[repr(row["k"])].add(row["t"])
+    for row in _entered(edges).toArrow().to_pylist():  # a range is entered once per key at most
+        entered[repr(row["k"])].add(row["at"])
     return blocks.mapInArrow(_kept_times(ttl, dict(borders), dict(entered)), f"k {kind}, t bigint")
 
 
@@ -225,23 +224,27 @@ def _edges(ttl: int, borders: dict):
     return emit
 
 
-def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries that chains really take; the edges come in order of time."""
-    key, entry, leaving = object(), None, None
-    for batch in batches:
-        taken: list[tuple] = []
-        for k, at, kind, target, known in zip(*(column.to_pylist() for column in batch.columns)):
-            if k != key:
-                key, entry, leaving = k, None, None
-            if kind == 0 and (known or at == entry):
-                if not known:
-                    taken.append((k, at))
-                leaving = target
-            elif kind == 1 and at == leaving:
-                entry = target
-        yield pa.record_batch(
-            [pa.array([k for k, _ in taken], batch.schema.field("k").type), pa.array([at for _, at in taken], pa.int64())], ["k", "t"]
-        )
+def _entered(edges: DataFrame) -> DataFrame:
+    """The entries (k, at) that chains really take, other than those known before.
+
+    From an entry a chain leads on to one entry of a later range.  These links
+    are doubled: after n rounds they span 2^n ranges, and so do the entries that
+    are reached.  All joins are on (key, time), so the links of one key spread
+    over all tasks, and there are as many rounds as the number of ranges has
+    binary digits.
+    """
+    arrive, leave = edges.filter("kind = 0"), edges.filter("kind = 1")
+    same = F.col("a.k").eqNullSafe(F.col("b.k"))
+    starts = arrive.filter("known").select("k", "at")
+    onward = arrive.alias("a").join(leave.alias("b"), same & (F.col("a.target") == F.col("b.at"))).select("a.k", "a.at", F.col("b.target").alias("to"))
+    # A chain need not be followed into a known entry: another one starts there.
+    links = onward.alias("a").join(starts.alias("b"), same & (F.col("a.to") == F.col("b.at")), "left_anti").checkpoint()
+    reached = starts.alias("a").join(links.alias("b"), same & (F.col("a.at") == F.col("b.at"))).select("b.k", F.col("b.to").alias("at")).checkpoint()
+    while not links.isEmpty():
+        further = reached.alias("a").join(links.alias("b"), same & (F.col("a.at") == F.col("b.at"))).select("b.k", F.col("b.to").alias("at"))
+        reached = reached.unionByName(further).distinct().checkpoint()
+        links = links.alias("a").join(links.alias("b"), same & (F.col("a.to") == F.col("b.at"))).select("a.k", "a.at", "b.to").checkpoint()
+    return reached
 
 
 def _kept_times(ttl: int, borders: dict, entered: dict):

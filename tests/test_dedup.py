@@ -10,7 +10,7 @@ from models import dedup_model
 from pyspark.sql import functions as F
 
 from brooklet.operators import dedup, pair_join
-from brooklet.operators.deduplication import keep_rows
+from brooklet.operators.deduplication import _entered, keep_rows
 from brooklet.session import work_path
 
 EPOCH = datetime(2024, 1, 1)
@@ -173,3 +173,19 @@ def test_not_a_session_gap_and_known_count(events):
 def test_two_ways_agree_on_real_rows(events):
     plain = dedup(events, "user_id", 3600, "ts", ["event_id"])
     assert same_rows(plain, dedup(events, "user_id", 3600, "ts", ["event_id"], group_rows=50))
+
+
+@pytest.mark.parametrize("ttl", [1, 50, 3_000])
+def test_links_of_a_hot_key_spread_over_the_tasks(spark, ttl):
+    """With a ttl over many ranges nearly every time is a border; no task gets more of them than of other rows."""
+    n = 4_000
+    rows = [(1, 3 * i + i % 2, i) for i in range(n)]
+    assert ids(dedup(frame(spark, rows), "k", ttl, "ts", ["id"], group_rows=200)) == dedup_model(rows, ttl)
+    edges = spark.createDataFrame([(1, 3 * i, 0, 3 * i, i == 0) for i in range(n)] + [(1, 3 * i, 1, 3 * i + 30, False) for i in range(n - 10)],
+                                  "k int, at bigint, kind int, target bigint, known boolean").repartition(4)
+    reached = _entered(edges)
+    assert sorted(row["at"] for row in reached.collect()) == list(range(30, 3 * n, 30))
+    assert all(row["k"] == 1 for row in reached.collect())
+    onward = edges.filter("kind = 0").alias("a").join(edges.filter("kind = 1").alias("b"), F.expr("a.k <=> b.k and a.target = b.at"))
+    sizes = [row["count"] for row in onward.hint("merge").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sum(sizes) / 4

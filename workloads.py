@@ -53,14 +53,18 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_in_parts(spark: SparkSession, folder: str, name: str, ts: str, parts: int = 2) -> DataFrame:
-    """The table as a stream of several micro-batches, cut into files in order of time."""
+    """The table as a stream of several micro-batches in order of time, each of as many files as there are shuffle partitions.
+
+    Rows without time belong to the last part, so that the operators see (and refuse) them.
+    """
     rows, path = table(spark, folder, name), scratch_path(spark, f"{name}-parts")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx(ts, [place / parts for place in range(1, parts)])).first()[0] or []
     for begin, end in zip([None, *cuts], [*cuts, None]):
-        part = rows if begin is None else rows.filter(F.col(ts) >= F.lit(begin))
+        part = rows if begin is None else rows.filter((F.col(ts) >= F.lit(begin)) | F.col(ts).isNull())
         part = part if end is None else part.filter(F.col(ts) < F.lit(end))
-        part.coalesce(1).write.mode("append").parquet(path)  # one file a part: they are read in the order they are written
-    return file_records(spark, path, rows.schema, "parquet", streaming=True, files_per_trigger=1)
+        part.repartition(files).write.mode("append").parquet(path)  # files are read in the order in which they are written
+    return file_records(spark, path, rows.schema, "parquet", streaming=True, files_per_trigger=files)
 
 
 def finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
