@@ -323,7 +323,7 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM, group_rows: int = 20_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", match: int = MATCH, gram: int = GRAM, group_rows: int = 2_000
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, tag, n_bytes, spans, kept_sha256.
 
