@@ -1,13 +1,15 @@
-"""Exact deduplication: grouped minima of digest runs in rounds.
+"""Exact deduplication by a tree-merge of sorted digest runs.
 
-The input partitions are dealt to ``runs`` runs: a run's distinct digests, each
-with its smallest identifier and its number of rows.  In each round ``fan_in``
-neighbouring runs become one, until one is left.  Nothing is sorted or merged
-explicitly: a round is a grouping by run and key, dealt anew by hash, which
-stands in for the merge.  An entry meets at most ``fan_in`` - 1 others in a
-round, however many copies a text has.  The answers do not go down round by
-round: one join gives the last run's answers to the entries of the first runs
-(at most ``runs`` a key), and another gives each first run's to its own rows.
+The input partitions are dealt to ``runs`` runs: a run's distinct digests in
+order, each with its smallest identifier and its number of rows.  In each round
+every ``fan_in`` neighbouring runs are partners: their pieces of one stretch of
+the digests (``bucket``, cut by the first bytes, so that pieces stay in order)
+are exchanged to one task, merged in the order of the digests, and one pass over
+the merged run keeps each digest's smallest identifier and adds the rows up.
+After a few rounds one run is left, spread over all stretches.  An entry meets
+at most ``fan_in`` - 1 others in a round, however many copies a text has.  One
+join gives the last run's answers to the entries of the first runs (at most
+``runs`` a key), and another gives each first run's to its own rows.
 
 An entry's key is the SHA-256 of the normalised text together with its length
 and a second hash, so every merge verifies that equal digests mean equal texts.
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.llm.common import SPACE, land, pick, text_tag
+from brooklet.llm.common import SPACE, land, partitions, pick, text_tag
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -30,7 +32,15 @@ def normalised(text: str) -> F.Column:
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"{SPACE}+", " ")
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def _merged(runs: DataFrame, fan_in: int) -> DataFrame:
+    """Every ``fan_in`` runs become one: pieces exchanged, merged in order, and their equal neighbours combined on the way."""
+    place = ["run", "bucket"]
+    partners = runs.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+    merged = partners.repartition(*place).sortWithinPartitions(*place, *KEY)
+    return merged.groupBy(*place, *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", runs: int = 64, fan_in: int = 4) -> DataFrame:
     """One row per row of ``docs``: doc_id, tag, keep_id, group_size, kept, text_sha256.
 
     Of the rows with equal normalised text the one with the smallest id stays;
@@ -51,12 +61,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run
         )
     )
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    first_runs = land(rows.groupBy("run", *KEY).agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")))
+    part = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    bucket = F.shiftright(part * partitions(docs.sparkSession), 32).alias("bucket")
+    first_runs = land(rows.groupBy("run", bucket, *KEY).agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n")))
     merged, left = first_runs, runs
     while left > 1:
         left = math.ceil(left / fan_in)
-        merged = merged.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-        merged = merged.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        merged = _merged(merged, fan_in)
     answers = first_runs.select("run", *KEY).join(merged.select(*KEY, "best", "n"), KEY)
     return rows.join(answers, ["run", *KEY]).select(
         "doc_id",

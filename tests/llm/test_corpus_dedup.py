@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brooklet.llm.components import connected
-from brooklet.llm.exact_dedup import exact_dedup
+from brooklet.llm.exact_dedup import _merged, exact_dedup
 from brooklet.llm.line_dedup import LineRuns, dedup_lines
 from brooklet.llm.paragraph_dedup import dedup_units
 from brooklet.llm.simhash import covering, fingerprint, near_links, simhash_dedup
@@ -53,7 +53,7 @@ def plain_exact(rows):
     return sorted(found, key=str)
 
 
-@pytest.mark.parametrize("runs, fan_in", [(64, 8), (5, 2), (1, 2)])
+@pytest.mark.parametrize("runs, fan_in", [(64, 4), (64, 8), (5, 2), (1, 2)])
 @pytest.mark.parametrize("rows", [edge_rows(), random_rows(1), [], [(None, None)]])
 def test_exact(spark, rows, runs, fan_in):
     found = exact_dedup(table(spark, rows).repartition(7), runs=runs, fan_in=fan_in)
@@ -68,6 +68,14 @@ def test_exact_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_exact_merges_sorted_runs(spark):
+    """Each round: one exchange by stretch and run, one sort, one pass in the order of the digests."""
+    runs = spark.createDataFrame([], "run int, bucket long, digest binary, n_bytes int, check long, best struct<a:boolean,b:long,c:long>, n long")
+    plan = _merged(runs, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(run") == plan.count("Exchange") == 1
+    assert plan.count(" Sort [run") == 1 and plan.count("SortAggregate") == 2
+
+
 # --- lines
 
 
@@ -345,3 +353,27 @@ def test_operators_ignore_other_columns(spark):
         assert found.count() == len(edge_rows())
     with pytest.raises(ValueError, match="missing columns"):
         exact_dedup(docs, text="nothing")
+
+
+def test_passages_of_over_fifty_words(spark):
+    """Shared passages of 400 bytes and more go from every document, wherever they stand; shorter ones, and all other text, stay."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("etaoinshrdlu", k=draw.randint(3, 10)))
+    passages = [" ".join(word() for _ in range(draw.randint(51, 90))) for _ in range(25)]
+    rows, held = [], {}
+    for number in range(200):
+        chosen = draw.choice(passages) if number < 140 else None
+        around = [" ".join(word() for _ in range(draw.randint(0, 120))) for _ in range(2)]
+        rows.append((number, f"{around[0]} {chosen} {around[1]}" if chosen else around[0] + " clean"))
+        held[number] = chosen
+    times = {passage: sum(own is passage for own in held.values()) for passage in passages}
+    found = {row["doc_id"]: row for row in repeated_spans(table(spark, rows)).collect()}
+    assert any(len(passage) < 400 for passage in passages) and sum(len(passage) >= 400 for passage in passages) > 10
+    for number, text in rows:
+        spans, passage = found[number]["spans"], held[number]
+        if passage is None or len(passage) < 398 or times[passage] < 2:  # the blanks on both sides are shared as well
+            assert spans == []
+        elif len(passage) >= 400:
+            begin = text.encode().index(passage.encode())
+            assert len(spans) == 2 and spans[0] <= begin and spans[1] >= begin + len(passage)
+            assert found[number]["n_bytes"] == len(text.encode())
