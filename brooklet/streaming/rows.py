@@ -7,7 +7,6 @@ which pandas columns would turn into floats.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from brooklet.operators.names import field, fields, total_order
 from brooklet.operators.times import micros
 from brooklet.sinks.topics import JSON_OPTIONS
+from brooklet.streaming.held import held_state
 
 
 def pack(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], side: int) -> DataFrame:
@@ -54,7 +54,7 @@ def unpack(payload: str, schema: T.StructType) -> Column:
 
 
 def check_order(df: DataFrame, tiebreak: Sequence[str], lateness: str | None, ordered: bool) -> None:
-    """Held rows are stored as JSON, so their ordering columns must be plain."""
+    """Held rows are stored with their ordering columns, which must be plain."""
     plain = (T.StringType, T.BooleanType, T.IntegralType, T.DoubleType)
     if ordered and lateness is None:
         raise ValueError("rows can only be held back with a lateness bound")
@@ -74,42 +74,35 @@ def keyed_state(
 ) -> DataFrame:
     """Run ``step`` per key over packed ``rows`` in order; it gets and returns what is remembered of the key.
 
-    ``memory`` is the DDL of that memory, whose first column is never null;
-    ``expires`` tells the microsecond up to which it matters.  Without
+    ``memory`` is the DDL of that memory; ``expires`` tells the microsecond up to which it matters.  Without
     ``lateness`` the memory is kept for good.  With it, memory behind the
     watermark is let go, and with ``ordered`` rows are held back until the
     watermark has passed them, so that disorder between micro-batches does no
-    harm.  ``screen`` may drop rows that cannot matter before they are gathered.
+    harm (``held.HeldRows``).  ``screen`` may drop rows that cannot matter before they are gathered.
     """
     timed = lateness is not None
     order = [name for name in rows.columns if name not in ("k", "payload", "event_time")]
-    columns, blank = [*order, "payload"], (None,) * len(memory.split(","))
+    if ordered:
+        return held_state(rows, step, order, memory, output, expires, lateness)
+    columns = [*order, "payload"]
 
     def run(_key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stored = state.get if state.exists else (*blank, None)
-        known, held = stored[:-1] if stored[0] is not None else None, stored[-1]
+        known = state.get if state.exists else None
         watermark = state.getCurrentWatermarkMs() * 1000 if timed else None
         chunks = [frame[columns] if known is None or screen is None else screen(frame[columns], known) for frame in frames]
-        if held:
-            chunks.append(pd.DataFrame(json.loads(held), columns=columns))
         found = pd.concat(chunks) if chunks else pd.DataFrame(columns=columns)
-        later = found.iloc[:0]
-        if ordered:
-            later, found = found[found["t"] >= watermark], found[found["t"] < watermark]
         result, known = step(found.sort_values(order, kind="stable"), known)
-        if later.empty and (known is None or (timed and expires(known) < watermark)):
+        if known is None or (timed and expires(known) < watermark):
             if state.exists:
                 state.remove()
         else:
-            rest = None if later.empty else json.dumps(later.values.tolist())
-            state.update((*(blank if known is None else known), rest))
+            state.update(known)
             if timed:
-                until = expires(known) if later.empty else int(later["t"].min())
-                state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+                state.setTimeoutTimestamp(max(expires(known) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if result is not None and not result.empty:
             yield result
 
     if timed:
         rows = rows.withWatermark("event_time", lateness)
     timeout = "EventTimeTimeout" if timed else "NoTimeout"
-    return rows.groupBy("k").applyInPandasWithState(run, output, f"{memory}, held string", "append", timeout)
+    return rows.groupBy("k").applyInPandasWithState(run, output, memory, "append", timeout)

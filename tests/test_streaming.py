@@ -1,5 +1,9 @@
 """The streaming operators give the batch result when rows arrive in time order."""
 
+import os
+import random
+
+import pandas as pd
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from brooklet.operators import dedup, enrich, pair_join
 from brooklet.session import work_path
 from brooklet.sources import file_records, lookup_table
+from brooklet.streaming.held import HeldRows
 from workloads import sides
 
 DAY = 86_400
@@ -126,6 +131,96 @@ def test_disorder_is_undone_by_waiting(spark, events):
     assert same_rows(rows.filter("user_id >= 0"), pair_join(*sides(events), "user_id", "buyer", DAY, "ts", ["event_id"]))
 
 
+def test_waiting_rows_survive_a_restart(spark, events):
+    """Stopped after four of nine files: what waited then comes out later, once."""
+    files, path, out = shuffled(spark, events, 2), work_path(spark, "halves"), work_path(spark, "ordered")
+    names = sorted(spark.read.parquet(files).select(F.input_file_name().alias("f")).distinct().toPandas()["f"], key=lambda f: os.path.getmtime(f.removeprefix("file://")))
+    for part in (names[:4], names[4:]):
+        for name in part:
+            spark.read.parquet(name).coalesce(1).write.mode("append").parquet(path)
+        kept = dedup(one_by_one(spark, path, events), "user_id", DAY, "ts", ["event_id"], lateness="12 days", ordered=True)
+        rows, _ = run(spark, kept, out)
+    assert same_rows(rows.filter("user_id >= 0"), dedup(events, "user_id", DAY, "ts", ["event_id"]))
+
+
+class FakeState:
+    """State of one key that counts what is written."""
+
+    def __init__(self):
+        self.value, self.written = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value if self.value is not None else iter(())
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, rows):  # noqa: N802
+        self.written += len(rows)
+        self.value = [*(self.value or []), *rows]
+
+    def put(self, rows):
+        self.written += len(rows)
+        self.value = list(rows)
+
+    def clear(self):
+        self.value = None
+
+
+class FakeHandle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.states.setdefault(name, FakeState())
+
+    getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+@pytest.mark.parametrize("width", [1_000, 7_000, 1_000_000])
+def test_a_waiting_row_is_written_once(width):
+    draw, handle, seen = random.Random(3), FakeHandle(), []
+
+    def step(rows, known):
+        seen.extend(rows["payload"].tolist())
+        return None, (int(rows["t"].max()),) if len(rows) else known
+
+    held = HeldRows(step, ["t", "side"], "last bigint", "t bigint, side int, payload string", lambda known: known[0], width)
+    held.init(handle)
+    times = [1_000 * place + draw.randrange(0, 40_000) for place in range(300)]
+    for place in range(0, 300, 10):
+        chunk = pd.DataFrame({"t": times[place : place + 10], "side": 0, "payload": [str(t) for t in times[place : place + 10]]})
+        list(held.handleInputRows(("k",), iter([chunk]), Clock(place)))  # rows come up to 40 ms ahead of the watermark
+        for at in [at for at in handle.timers if at <= place]:
+            handle.timers.discard(at)
+            list(held.handleExpiredTimer(("k",), Clock(place), None))
+        assert len(handle.timers) == 1
+    while handle.timers:
+        at = handle.timers.pop()
+        list(held.handleExpiredTimer(("k",), Clock(max(at, 310)), None))
+    assert [int(payload) for payload in seen] == sorted(times)
+    written = sum(state.written for name, state in handle.states.items() if name.startswith("held"))
+    assert written == 300 or width == 1_000  # forty stretches at a time share eight lists
+    assert not any(state.exists() for state in handle.states.values())
+
+
 def test_waiting_needs_a_bound(spark, events, parts):
     with pytest.raises(ValueError, match="lateness"):
         dedup(one_by_one(spark, parts, events), "user_id", DAY, "ts", ["event_id"], ordered=True)
