@@ -141,29 +141,22 @@ def _trees(grams: list) -> ContextTrees:
     return ContextTrees(langs, symbol, state, bits.reshape(-1, len(langs)))
 
 
-def training_sample(rows: DataFrame, docs_each: int, bytes_each: int, long_texts: bool = False) -> DataFrame:
+def training_sample(rows: DataFrame, docs_each: int, bytes_each: int) -> DataFrame:
     """At most about ``docs_each`` rows (lang, text) of each language, chosen by a hash of the document, whole texts.
 
-    Without ``long_texts`` texts above ``bytes_each`` bytes are left out.  With it texts of any length are taken, in the
-    order of the hash, until a language has ``docs_each * bytes_each`` bytes; the first one always counts, and rows equal in id and text count once.
+    Texts of any length are taken, in the order of the hash, until a language has ``docs_each * bytes_each`` bytes;
+    the first one always counts, and rows equal in id and text count once.
     """
-    fit = rows.filter("lang is not null and text is not null")
-    if long_texts:
-        fit = fit.filter(F.octet_length("text") > 0)
-    else:
-        fit = fit.filter(F.octet_length("text") <= bytes_each)
-    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total, langs = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    fit = rows.filter("lang is not null and text is not null").filter(F.octet_length("text") > 0)
+    draw = F.pmod(F.xxhash64("doc_id", "tag", F.lit("sample")), F.lit(1 << 40))
+    fit = fit.withColumn("draw", draw)
+    chance = F.col("draw") / float(1 << 40)
+    counts = land(fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first")))
+    langs = counts.count()
     if not langs:
         return fit.select("lang", "text")
     if langs > 10_000:  # a row per language is sent to all tasks
         raise ValueError(f"{langs} languages")
-    draw = F.pmod(F.xxhash64("doc_id", "tag", F.lit("sample")), F.lit(1 << 40))
-    fit = fit.withColumn("draw", draw)
-    chance = F.col("draw") / float(1 << 40)
-    if not long_texts:
-        return fit.join(F.broadcast(counts), "lang").filter(chance < docs_each / F.col("n")).select("lang", "text")
-    counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("first"))
     near = fit.join(F.broadcast(counts), "lang").filter((chance < docs_each / F.col("n")) | (F.col("draw") == F.col("first")))
     near = land(near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"]))  # about docs_each documents a language
     order = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -173,9 +166,9 @@ def training_sample(rows: DataFrame, docs_each: int, bytes_each: int, long_texts
     return near.join(F.broadcast(last), "lang").filter("draw <= last").select("lang", "text")
 
 
-def train(rows: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES, long_texts: bool = False) -> ContextTrees | None:
+def train(rows: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> ContextTrees | None:
     """Context trees of the languages in ``rows`` (doc_id, tag, lang, text); None without any."""
-    sample = training_sample(rows, docs_each, bytes_each, long_texts).withColumn("text", F.col("text").cast("binary"))
+    sample = training_sample(rows, docs_each, bytes_each).withColumn("text", F.col("text").cast("binary"))
     grams = sample.mapInArrow(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = grams.collect()  # bounded by the sample: at most its bytes in rows per language, far fewer in fact
     return _trees(found) if found else None
@@ -240,7 +233,7 @@ def identify_letters(
     """As ``identify_language``, and whether the text has a letter (``letter``)."""
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang)
     rows = rows.withColumn("held_out", crc_part(F.col("doc_id"), folds) == 0).withColumn("tag", text_tag(F.col("text")))
-    trees = train(rows.filter("not held_out"), sample_docs, sample_bytes, long_texts=True)
+    trees = train(rows.filter("not held_out"), sample_docs, sample_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # its size follows from the sample and the languages
     texts = rows.select(
         "doc_id", "tag", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col("text").cast("binary").alias("text")
