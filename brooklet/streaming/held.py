@@ -24,7 +24,7 @@ LISTS = 8
 class HeldRows(StatefulProcessor):
     """Gives each key's rows to ``step`` in order, once the watermark has passed them."""
 
-    def __init__(self, step: Step, order: list[str], memory: str, held: str, expires: Callable[[tuple], int], width: int) -> None:
+    def __init__(self, step: Step, order: list[str], memory: str, held: str, expires: Callable[[tuple], int | None], width: int) -> None:
         self.step, self.order, self.columns = step, order, [*order, "payload"]
         self.memory, self.held, self.expires, self.width = memory, held, expires, width
 
@@ -53,13 +53,14 @@ class HeldRows(StatefulProcessor):
         self._hold(found[found["t"] >= watermark], waiting)
         rows = pd.concat([part for part in due if len(part)] or due[:1])
         result, now = self.step(rows.sort_values(self.order, kind="stable"), known)
-        if now is not None and self.expires(now) < watermark and not waiting:
-            now = None
+        until = None if now is None else self.expires(now)
+        if until is not None and until < watermark and not waiting:
+            now = until = None
         if now is None and known is not None:
             self.known.clear()
         elif now is not None and now != known:
             self.known.update(now)
-        moments = [*waiting.values(), *([] if now is None else [max(self.expires(now), watermark)])]
+        moments = [*waiting.values(), *([] if until is None else [max(until, watermark)])]
         following = min(moments) // 1000 + 1 if moments else None
         if timer != following:
             if timer is not None and timer * 1000 > watermark:
@@ -102,7 +103,7 @@ class HeldRows(StatefulProcessor):
             yield open_rows[open_rows["t"] < watermark]
 
 
-def held_state(rows: DataFrame, step: Step, order: list[str], memory: str, output: str, expires: Callable[[tuple], int], lateness: str) -> DataFrame:
+def held_state(rows: DataFrame, step: Step, order: list[str], memory: str, output: str, expires: Callable[[tuple], int | None], lateness: str) -> DataFrame:
     """``step`` per key over packed ``rows`` in the order of time, behind the watermark; see ``rows.keyed_state``."""
     held = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in (*order, "payload"))
     micros = rows.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{lateness}')").first()[0]

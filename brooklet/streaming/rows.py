@@ -67,14 +67,14 @@ def keyed_state(
     step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame | None, tuple | None]],
     memory: str,
     output: str,
-    expires: Callable[[tuple], int],
+    expires: Callable[[tuple], int | None],
     lateness: str | None,
     ordered: bool,
     screen: Callable[[pd.DataFrame, tuple], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Run ``step`` per key over packed ``rows`` in order; it gets and returns what is remembered of the key.
 
-    ``memory`` is the DDL of that memory; ``expires`` tells the microsecond up to which it matters.  Without
+    ``memory`` is the DDL of that memory; ``expires`` (None: never) tells the microsecond up to which it matters.  Without
     ``lateness`` the memory is kept for good.  With it, memory behind the
     watermark is let go, and with ``ordered`` rows are held back until the
     watermark has passed them, so that disorder between micro-batches does no
@@ -92,13 +92,14 @@ def keyed_state(
         chunks = [frame[columns] if known is None or screen is None else screen(frame[columns], known) for frame in frames]
         found = pd.concat(chunks) if chunks else pd.DataFrame(columns=columns)
         result, known = step(found.sort_values(order, kind="stable"), known)
-        if known is None or (timed and expires(known) < watermark):
+        until = None if known is None or not timed else expires(known)
+        if known is None or (until is not None and until < watermark):
             if state.exists:
                 state.remove()
         else:
             state.update(known)
-            if timed:
-                state.setTimeoutTimestamp(max(expires(known) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            if until is not None:
+                state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if result is not None and not result.empty:
             yield result
 

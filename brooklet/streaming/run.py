@@ -16,6 +16,7 @@ from brooklet.plans.job import BuiltJob, Output, Records, build_job, take
 from brooklet.plans.spec import CHECKPOINT_INTERVAL_MS, Job
 from brooklet.session import scratch_path, shared_dir
 from brooklet.sinks.buckets import bucket_stream, write_buckets
+from brooklet.sinks.ledger import JdbcStore, Store, append_once, ledger_setup, query_id
 from brooklet.sinks.topics import topic_writer
 from brooklet.sinks.warehouse import Warehouse, append_rows, run_init
 
@@ -30,6 +31,10 @@ class Targets:
     statement; ``bucket_path`` turns a bucket's address into a path.  ``gather``
     brings the records of a title together before they are written, so that
     every title gets few files; it costs a shuffle.
+
+    With ``ledger``, the name of a table, warehouse rows of streaming jobs are
+    written exactly once: the database then also holds that table and a staging
+    table per query (``sinks.ledger``).  ``store`` replaces the JDBC connection.
     """
 
     writers: Mapping[str, BatchWriter] = field(default_factory=dict)
@@ -40,17 +45,22 @@ class Targets:
     bucket_path: str = "s3a://{address}/"
     rows_per_file: int = 0
     gather: bool = True
+    ledger: str | None = None
+    store: Callable[[Warehouse], Store] = JdbcStore
 
     def prepare(self, job: Job) -> None:
-        """Run the set-up statements of the warehouse sinks."""
+        """Run the set-up statements of the warehouse sinks, and make the ledger."""
         for name, sink in (job.get("sinks") or {}).items():
             if sink.get("init_sql") and name not in self.writers:
                 if self.execute_sql is None:
                     raise ValueError(f"sink {name!r} has a set-up statement, but nothing to run it with")
                 run_init(lambda sink=sink: self.execute_sql(sink), self.transient)
+            if self.ledger is not None and sink["sink_type"] == "greenplum" and name not in self.writers:
+                store = self.store(Warehouse(sink["address"], sink["database"], sink["table"], self.user, self.password))
+                run_init(lambda store=store: store.run(ledger_setup(self.ledger)), self.transient)
 
     def batch_writer(self, output: Output) -> BatchWriter:
-        """Function that appends one batch to the output's sink (at least once)."""
+        """Function that appends one batch to the output's sink: at least once, or exactly once by the ledger."""
         target, kind = output.target, output.target["sink_type"]
         if output.sink in self.writers:
             return self.writers[output.sink]
@@ -58,6 +68,9 @@ class Targets:
             return lambda df, _: topic_writer(df, target["address"], target["topic"]).save()
         if kind == "greenplum":
             warehouse = Warehouse(target["address"], target["database"], target["table"], self.user, self.password)
+            if self.ledger is not None:
+                store = self.store(warehouse)
+                return lambda df, batch: append_once(df, batch, f"{query_id(df)}:{output.label}", warehouse.table, target["schema"], self.ledger, store)
             return lambda df, _: append_rows(df, warehouse, target["schema"])
         path = self.bucket_path.format(address=target["address"])
         return lambda df, _: write_buckets(df, path, target.get("title_field"), self.rows_per_file, gather=self.gather)

@@ -1,0 +1,96 @@
+"""As-of lookups against a plain replay of changes and records."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from conftest import same_rows
+from pyspark.sql import functions as F
+
+from brooklet.operators import enrich_as_of
+from brooklet.session import work_path
+from brooklet.sources import file_records
+
+EPOCH = datetime(2024, 1, 1)
+
+
+def tables(spark, seed, n=300):
+    draw = random.Random(seed)
+    key = lambda: draw.choice(["a", "a", "a", "b", "c", None, "d"])
+    records = [(number, key(), EPOCH + timedelta(seconds=draw.randrange(100))) for number in range(n)]
+    changes, seen = [], set()
+    for number in range(n // 4):
+        entry = key(), EPOCH + timedelta(seconds=draw.randrange(100))
+        if entry not in seen:
+            seen.add(entry)
+            changes.append((entry[0], None if number % 5 == 0 else f"v{number}", entry[1]))
+    return records, changes
+
+
+def frames(spark, records, changes):
+    df = spark.createDataFrame(records, "id int, name string, ts timestamp_ntz").repartition(3)
+    return df, spark.createDataFrame(changes, "key string, value string, ts timestamp_ntz").repartition(2)
+
+
+def replay(records, changes):
+    for number, name, ts in records:
+        before = [(at, value) for key, value, at in changes if key == str(name) and key is not None and at <= ts]
+        yield number, (max(before, key=lambda change: change[0])[1] or "") if before else ""
+
+
+@pytest.mark.parametrize("group_rows", [None, 5_000_000, 40, 1])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches(spark, seed, group_rows):
+    records, changes = tables(spark, seed)
+    found = enrich_as_of(*frames(spark, records, changes), "value", "name", group_rows=group_rows)
+    assert found.columns == ["id", "name", "ts", "value"]
+    assert sorted((row["id"], row["value"]) for row in found.collect()) == sorted(replay(records, changes))
+
+
+@pytest.mark.parametrize(("records", "changes"), [([], []), ([(1, "a", EPOCH)], []), ([], [("a", "x", EPOCH)]), ([(1, None, EPOCH)], [("None", "x", EPOCH), (None, "y", EPOCH)])])
+def test_edges(spark, records, changes):
+    found = enrich_as_of(*frames(spark, records, changes), "value", "name")
+    assert sorted((row["id"], row["value"]) for row in found.collect()) == sorted(replay(records, changes))
+
+
+def test_refusals(spark):
+    df, changes = frames(spark, *tables(spark, 1, 8))
+    with pytest.raises(ValueError, match="already"):
+        enrich_as_of(df, changes, "name", "name")
+    with pytest.raises(ValueError, match="both"):
+        enrich_as_of(df, file_records(spark, write(spark, changes), changes.schema, "parquet", streaming=True), "value", "name")
+    with pytest.raises(Exception, match="needs a time"):
+        enrich_as_of(df.withColumn("ts", F.when(F.col("id") > 3, F.col("ts"))), changes, "value", "name").collect()
+
+
+def streamed(spark, df, parts, label):
+    """One file for each part of the time."""
+    path = work_path(spark, label)
+    for part in range(parts):
+        df.filter(F.floor((F.second("ts") + F.minute("ts") * 60) / (100 / parts)) == part).coalesce(1).write.mode("append").parquet(path)
+    return file_records(spark, path, df.schema, "parquet", streaming=True, files_per_trigger=1)
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_stream_equals_batch(spark, ordered):
+    """Changes and records in order of time, or in any order and waiting for the watermark."""
+    df, changes = frames(spark, *tables(spark, 3))
+    if ordered:  # a last row of each side lets the watermark pass all others
+        end = EPOCH + timedelta(days=1)
+        df = df.unionAll(spark.createDataFrame([(-1, "z", end)], df.schema))
+        changes = changes.unionAll(spark.createDataFrame([("z", "z", end)], changes.schema))
+        found = enrich_as_of(*(file_records(spark, write(spark, side), side.schema, "parquet", streaming=True) for side in (df, changes)), "value", "name", lateness="1 hour", ordered=True)
+    else:
+        found = enrich_as_of(streamed(spark, df, 4, "records"), streamed(spark, changes, 4, "changes"), "value", "name")
+    path = work_path(spark, "as-of")
+    query = found.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress")
+    query.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{path}/rows")
+    assert rows.count() >= 300
+    assert same_rows(rows.filter("id >= 0"), enrich_as_of(df, changes, "value", "name").filter("id >= 0"))
+
+
+def write(spark, df):
+    path = work_path(spark, "side")
+    df.coalesce(1).write.parquet(path)
+    return path

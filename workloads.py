@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from brooklet import functions as bf
 from brooklet.metrics import query_totals
 from brooklet.operators import change_field, create_field, dedup, delete_field, enrich, filter_rows, pair_join
+from brooklet.operators import enrich_as_of as as_of
 from brooklet.operators.hotkeys import GROUP_ROWS
 from brooklet.plans import Records, build_job
 from brooklet.session import scratch_path, shared_dir, work_path
@@ -349,6 +350,42 @@ def dedup_events_in_ranges(spark, folder):
     return dedup(events, "user_id", DAY, "ts", ["event_id"], group_rows=hottest(events, "user_id"))
 
 
+def last_purchases(events: DataFrame) -> DataFrame:
+    """Changelog: the latest purchase of each user; one entry per user and time."""
+    bought = events.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
+    return bought.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), "ts")
+
+
+AS_OF_SQL = """
+    WITH c AS (SELECT user_id, ts, max(event_id)::VARCHAR AS bought FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts),
+    v AS (SELECT * FROM events WHERE event_type <> 'purchase')
+    SELECT v.*, coalesce(c.bought, '') AS bought FROM v ASOF LEFT JOIN c ON v.user_id = c.user_id AND v.ts >= c.ts"""
+
+
+@register(AS_OF_SQL)
+def enrich_as_of(spark, folder):
+    """Every event with the purchase that its user had made last at that time."""
+    events = table(spark, folder, "events")
+    return as_of(events.filter("event_type <> 'purchase'"), last_purchases(events), "bought", "user_id")
+
+
+@register(AS_OF_SQL)
+def enrich_as_of_in_ranges(spark, folder):
+    """The same by the way of hot keys, for the users with the most events."""
+    events = table(spark, folder, "events")
+    return as_of(events.filter("event_type <> 'purchase'"), last_purchases(events), "bought", "user_id", group_rows=hottest(events, "user_id") // 2)
+
+
+@register(AS_OF_SQL)
+def enrich_as_of_stream(spark, folder):
+    events = table(spark, folder, "events")
+    path = scratch_path(spark, "purchases")
+    last_purchases(events).write.parquet(path)
+    changes = file_records(spark, path, last_purchases(events).schema, "parquet", streaming=True)
+    views = stream(spark, folder, "events").filter("event_type <> 'purchase'")
+    return finished(spark, as_of(views, changes, "bought", "user_id"), "as-of")
+
+
 @register(
     """
     WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
