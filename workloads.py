@@ -373,7 +373,7 @@ def enrich_as_of(spark, folder):
 def enrich_as_of_in_ranges(spark, folder):
     """The same by the way of hot keys, for the users with the most events."""
     events = table(spark, folder, "events")
-    return as_of(events.filter("event_type <> 'purchase'"), last_purchases(events), "bought", "user_id", group_rows=hottest(events, "user_id") // 2)
+    return as_of(events.filter("event_type <> 'purchase'"), last_purchases(events), "bought", "user_id", group_rows=hottest(events, "user_id"))
 
 
 @register(AS_OF_SQL)
