@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brooklet.llm.common import WORD, land, pick, ranked, text_tag
+from brooklet.llm.common import WORD, land, partitions, pick, ranked, text_tag
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -55,6 +55,23 @@ def _draw(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _numbered(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with ``nth``, which tells rows equal in everything else apart, whatever the partitions.
+
+    Equal rows are counted, map-side first, and dealt out again.  More than
+    ``block`` of them are cut into blocks, which go to different tasks.
+    """
+    counted = land(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
+
+    def dealt(some: DataFrame, first: Column, last: Column) -> DataFrame:
+        return some.select(*rows.columns, F.explode(F.sequence(first, last)).alias("nth"))
+
+    few = dealt(counted.filter(F.col("n") <= block), F.lit(0).cast("long"), F.col("n") - 1)
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))).alias("begin")
+    many = counted.filter(F.col("n") > block).select("*", begins).repartition(partitions(rows.sparkSession), *rows.columns, "begin")
+    return few.unionByName(dealt(many, F.col("begin"), F.least(F.col("begin") + (block - 1), F.col("n") - 1)))
+
+
 def _settle(items: Column, item: T.StructType, seed: int, level: int) -> Column:
     """Pair the items one after another: ``open`` is the one left over, ``done`` the settled ones with their ``bit``."""
     settled = T.ArrayType(T.StructType([*item.fields, T.StructField("bit", T.IntegerType())]))
@@ -93,24 +110,25 @@ def mix(
     seed: int = 0,
     bucket: int = 64,
     salts: int = 32,
+    block: int = 4096,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, tag, source, size, source_size, target, copies, taken.
 
     ``size`` counts the words of the text (null: 0), ``copies`` says how often
     the mix takes the document, ``taken`` is copies x size.  A document without
     words has 0 copies.  Null is a source of its own, the last one.  Rows equal
-    in id and text are separate documents with the same chances.  Other columns
+    in id and text are separate documents with the same chances, numbered so
+    that they spread over buckets and tasks (``block`` of them stay together).  Other columns
     are not looked at.  An empty table gives an empty result.
     """
     rows = pick(docs, doc_id=doc_id, source=source, text=text)
-    rows = land(
-        rows.select(
-            "doc_id",
-            "source",
-            text_tag(F.col("text")).alias("tag"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        )
+    rows = rows.select(
+        "doc_id",
+        "source",
+        text_tag(F.col("text")).alias("tag"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    rows = _numbered(rows, block)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes.select("source", "source_size"), weights, cap).withColumnRenamed("source", "name")
     counts = sizes.select("source", F.ceil(F.col("n") / bucket).alias("buckets"))
@@ -120,8 +138,8 @@ def mix(
     targets = targets.select("*", sure.cast("int").alias("sure"), (ratio - sure).alias("chance"))
     # A source with a third of all rows is spread over ``salts`` keys of the join.
     dealt = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "tag"))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64(F.lit(seed), "tag", "doc_id", F.lit("lane")), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "tag", "nth"))
+    rows = rows.withColumn("lane", F.pmod(F.xxhash64(F.lit(seed), "tag", "doc_id", "nth", F.lit("lane")), F.lit(salts)).cast("int"))
     rows = rows.join(dealt, F.col("source").eqNullSafe(F.col("name")) & (F.col("lane") == F.col("salt")))
     facts = ["source_size", "target", "sure"]
     final = ["doc_id", "tag", "source", "size", *facts]
@@ -131,8 +149,9 @@ def mix(
         (-F.col("size")).alias("large_first"), "order", "doc_id", "tag", F.col("size").cast("double").alias("size"),
         (F.col("size") * F.col("chance")).alias("mass"),
     ).alias("item")
-    # The order of the fields is the order of the pairs: large documents first leave a small one open.
-    number = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tag", F.lit("bucket")), F.col("buckets")).alias("bucket")
+    # The order of the fields is the order of the pairs, large documents first.  The one left over may be large all the same,
+    # so a source misses its target by up to its largest document.
+    number = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tag", "nth", F.lit("bucket")), F.col("buckets")).alias("bucket")
     waiting = rows.filter("size > 0").select("place", number, item, "source", *facts)
     kind = waiting.schema["item"].dataType
     widest = targets.agg(F.max("buckets")).first()[0] or 1

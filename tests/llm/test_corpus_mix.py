@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 
 import pytest
 from corpora import edge_rows, table, words
+from pyspark.sql import functions as F
 
-from brooklet.llm.mixing import mix
+from brooklet.llm.common import pick
+from brooklet.llm.mixing import _numbered, mix
 
 
 def plain_targets(sizes, weights=(1, 2, 3), cap=3):
@@ -89,6 +91,26 @@ def test_edges(spark):
     assert [row["taken"] for row in mix(table(spark, [(1, None), (2, "")])).collect()] == [0, 0]
 
 
+def test_many_equal_rows_spread_over_buckets(spark):
+    """A third of the rows equal in id and text, or without an id: settled one by one, alike in every rerun."""
+    rows = sized(spark, {"a": 200}) + [(7, "one text", None, "a")] * 150 + [(None, "no id", None, "b")] * 90
+    found = mix(table(spark, rows), bucket=4, block=16)
+    assert Counter((row["doc_id"], row["size"]) for row in found.collect()) == Counter((row[0], len(words(row[1]))) for row in rows)
+    copies = Counter(row["copies"] for row in found.filter("doc_id = 7 and size = 2").collect())
+    assert len(copies) == 2 and sum(copies.values()) == 150  # neither all of them nor none get the copy left to chance
+    again = mix(table(spark, rows[::-1]).repartition(7), bucket=4, block=16)
+    assert sorted(map(str, found.collect())) == sorted(map(str, again.collect()))
+    whole = mix(table(spark, rows), bucket=4, block=1000)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_equal_rows_share_no_bucket_beyond_its_size(spark):
+    numbered = _numbered(pick(table(spark, [(7, "one text", None, "a")] * 1000), doc_id="doc_id", text="text"), 64)
+    assert sorted(row["nth"] for row in numbered.collect()) == list(range(1000))
+    per_task = numbered.groupBy(F.spark_partition_id()).count()
+    assert per_task.count() > 1
+
+
 def test_plan_has_no_python(spark):
     plan = mix(table(spark, edge_rows()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
