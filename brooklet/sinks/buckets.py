@@ -36,11 +36,14 @@ def write_buckets(
 def bucket_stream(df: DataFrame, path: str, title: str | None = None, rows_per_file: int = 0, gather: bool = False):
     """Streaming writer for the same layout; each record is written exactly once.
 
-    ``gather`` deals the records out by title first: a title then gets one file per micro-batch.
+    ``gather`` deals the records out by title first.  A title gets one file per
+    micro-batch, or several from as many tasks where it is large: adaptive
+    execution splits it by the bytes it has in that micro-batch.  Spark plans
+    queries with state of their own without it; a hot title is then one task.
     """
     rows = bucketed(df, title)
     if gather and title is not None:
-        rows = rows.repartition(BUCKET)
+        rows = rows.hint("rebalance", BUCKET)
     writer = rows.writeStream.format("json").options(**JSON_OPTIONS)
     writer = writer.option("maxRecordsPerFile", rows_per_file).option("path", path)
     return writer if title is None else writer.partitionBy(BUCKET)

@@ -89,6 +89,24 @@ def test_one_record_per_file(spark, events):
     assert len(files) == few.count() > 1
 
 
+def test_a_hot_title_of_a_stream_is_written_by_several_tasks(spark, events):
+    """Half of the rows have one title; Spark splits it by its bytes, and small titles stay in one file each."""
+    path = work_path(spark, "hot-title")
+    hot = events.withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("event_id") % 5)))
+    hot.repartition(4).write.parquet(f"{path}/in")
+    rows = file_records(spark, f"{path}/in", hot.schema, "parquet", streaming=True)
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "8KB")
+    try:
+        writer = bucket_stream(rows, f"{path}/rows", "event_type", gather=True).option("checkpointLocation", f"{path}/progress")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(setting)
+    files = {title: len([name for name in os.listdir(f"{path}/rows/_bucket={title}") if name.endswith(".json")]) for title in ("hot", "t1", "t3")}
+    assert files["hot"] > 1 and files["hot"] >= max(files.values())
+    assert same_rows(read_buckets(spark, f"{path}/rows", hot.schema), hot)
+
+
 def test_bucket_stream_continues_without_repeats(spark, events):
     source, path = work_path(spark, "source"), work_path(spark, "stream")
     schema = events.schema
