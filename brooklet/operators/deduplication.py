@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ra
 from brooklet.operators.names import field, fields, quoted, total_order
 from brooklet.operators.times import micros, require_seconds, require_timestamp, with_times
 
+if TYPE_CHECKING:
+    from brooklet.streaming.resume import KeptState
+
 
 def dedup(
     df: DataFrame,
@@ -33,6 +37,7 @@ def dedup(
     group_rows: int | None = GROUP_ROWS,
     lateness: str | None = None,
     ordered: bool = False,
+    state: KeptState | None = None,
 ) -> DataFrame:
     """Rows of ``df`` that survive a time-to-live of ``ttl`` seconds per ``key``.
 
@@ -42,7 +47,8 @@ def dedup(
     rows (one small job; ``None`` skips it).  Streaming input keeps one anchor
     per key as state; ``lateness`` is the watermark delay after which anchors
     may expire, and ``ordered`` waits that long to undo disorder (see
-    ``dedup_stream``).
+    ``dedup_stream``).  ``state`` is that of a stopped stream to go on from
+    (``streaming.resume``); batch input has none.
     """
     require_present(df, key, ts, *tiebreak)
     require_seconds(ttl)
@@ -51,7 +57,9 @@ def dedup(
     if df.isStreaming:
         from brooklet.streaming.dedup import dedup_stream
 
-        return dedup_stream(df, key, ttl, ts, tiebreak, lateness, ordered)
+        return dedup_stream(df, key, ttl, ts, tiebreak, lateness, ordered, state)
+    if state is not None:
+        raise ValueError("only a stream can go on from the state of another one")
     hot = find_hot_keys(df.select(field(key)), group_rows)
     if hot is None:
         return _scan_keys(df, key, ttl, ts, tiebreak)

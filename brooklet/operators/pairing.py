@@ -14,6 +14,7 @@ the limit.  Within a run of linked rows, every second row closes a pair.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from brooklet.operators.hotkeys import GROUP_ROWS, HotKeys, find_hot_keys, in_ra
 from brooklet.operators.names import field, fields, present_name, total_order
 from brooklet.operators.times import plus_seconds, require_seconds, require_timestamp, with_times
 
+if TYPE_CHECKING:
+    from brooklet.streaming.resume import KeptState
+
 FIRST, SECOND = 0, 1
 
 
@@ -38,6 +42,7 @@ def pair_join(
     group_rows: int | None = GROUP_ROWS,
     lateness: str | None = None,
     ordered: bool = False,
+    state: KeptState | None = None,
 ) -> DataFrame:
     """Pairs of ``first`` (the main side) and ``second`` rows with equal keys.
 
@@ -45,9 +50,10 @@ def pair_join(
     also where they differ in case and the session does not.  ``ts`` and the
     ``tiebreak`` columns exist on both sides; rows are taken in order of time,
     then main side first, then ``tiebreak``, then by a hash of the whole row.  A
-    row without time fails the query.
+    row without time fails the query.  ``state`` is that of a stopped stream to
+    go on from (``streaming.resume``).
     """
-    pairs = pair_rows(first, second, first_key, second_key, ttl, ts, tiebreak, group_rows, lateness, ordered)
+    pairs = pair_rows(first, second, first_key, second_key, ttl, ts, tiebreak, group_rows, lateness, ordered, state)
     theirs = [F.col("second").getField(name).alias(name) for name in second.columns if present_name(first, name) is None]
     return pairs.select("first.*", *theirs)
 
@@ -63,6 +69,7 @@ def pair_rows(
     group_rows: int | None = GROUP_ROWS,
     lateness: str | None = None,
     ordered: bool = False,
+    state: KeptState | None = None,
 ) -> DataFrame:
     """Like ``pair_join``, with the two rows as structs ``first`` and ``second``.
 
@@ -76,7 +83,9 @@ def pair_rows(
     if first.isStreaming or second.isStreaming:
         from brooklet.streaming.pairing import pair_rows_stream
 
-        return pair_rows_stream(first, second, first_key, second_key, ttl, ts, tiebreak, lateness, ordered)
+        return pair_rows_stream(first, second, first_key, second_key, ttl, ts, tiebreak, lateness, ordered, state)
+    if state is not None:
+        raise ValueError("only a stream can go on from the state of another one")
     keys = first.select(field(first_key).alias("k")).unionAll(second.select(field(second_key).alias("k")))
     hot = find_hot_keys(keys, group_rows)
     if hot is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +32,9 @@ def decode_json(
     return df.select(*rest, parsed.alias("__record")).select(*[name for name in df.columns if name != text], "__record.*")
 
 
-def kafka_options(address: str, topic: str) -> dict[str, str]:
-    """Connection options of a topic that is read from its beginning."""
-    return {"kafka.bootstrap.servers": address, "subscribe": topic, "startingOffsets": "earliest"}
+def kafka_options(address: str, topic: str, starting: str = "earliest") -> dict[str, str]:
+    """Connection options of a topic that is read from its beginning, or from ``starting`` (offsets as JSON)."""
+    return {"kafka.bootstrap.servers": address, "subscribe": topic, "startingOffsets": starting}
 
 
 def topic_records(raw: DataFrame, fields: Mapping[str, str], malformed: str = "fail") -> DataFrame:
@@ -54,13 +54,16 @@ def kafka_records(
     streaming: bool = True,
     malformed: str = "fail",
     per_trigger: int | None = None,
+    starting: str = "earliest",
 ) -> DataFrame:
     """JSON records of a Kafka topic from the earliest offset (needs the Kafka connector jar).
 
     ``per_trigger`` bounds the records of one micro-batch, which also bounds
-    what a hot key brings to one task of a stateful operator.
+    what a hot key brings to one task of a stateful operator.  ``starting`` are
+    the offsets to begin with, as JSON: where another query ended
+    (``streaming.resume.finished``).
     """
-    reader = (spark.readStream if streaming else spark.read).format("kafka").options(**kafka_options(address, topic))
+    reader = (spark.readStream if streaming else spark.read).format("kafka").options(**kafka_options(address, topic, starting))
     if streaming:
         if name is not None:
             reader = reader.option("groupIdPrefix", f"source_{name}")
@@ -77,12 +80,27 @@ def file_records(
     streaming: bool = False,
     files_per_trigger: int | None = None,
     malformed: str = "fail",
+    after: DataFrame | None = None,
 ) -> DataFrame:
-    """Records of a folder of files with a declared schema; no inference pass."""
+    """Records of a folder of files with a declared schema; no inference pass.
+
+    ``after`` (column ``path``) leaves out files that another query has read
+    (``streaming.resume.files_read``); Spark still opens them once.
+    """
     declared = schema if isinstance(schema, T.StructType) else record_schema(schema)
     reader = (spark.readStream if streaming else spark.read).schema(declared).format(file_format)
     if file_format == "json":
         reader = reader.option("mode", "FAILFAST" if malformed == "fail" else "PERMISSIVE")
     if streaming and files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    rows = reader.load(path)
+    if after is None:
+        return rows
+    found = rows.select("*", plain_path(F.col("_metadata.file_path")).alias("__path"))
+    done = after.select(F.col("path").alias("__done"))
+    return found.join(done, F.col("__path") == F.col("__done"), "left_anti").drop("__path")
+
+
+def plain_path(path: Column) -> Column:
+    """Spark writes local paths with one or three slashes."""
+    return F.regexp_replace(path, "^file:/+", "file:/")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from brooklet.streaming.resume import KeptState
 from brooklet.streaming.rows import check_order, keyed_state, pack, unpack
 
 
@@ -19,6 +20,7 @@ def dedup_stream(
     tiebreak: Sequence[str],
     lateness: str | None = None,
     ordered: bool = False,
+    state: KeptState | None = None,
 ) -> DataFrame:
     """Streaming form of ``operators.dedup`` (batch); rows are put in order within each micro-batch.
 
@@ -29,6 +31,7 @@ def dedup_stream(
     ``lateness`` must cover the disorder of the source.  ``ordered`` also holds
     rows back until the watermark has passed them: the result is then that of
     the batch form, whatever the order of arrival within ``lateness``.
+    ``state`` is that of a stopped query to go on from (``resume.kept_state``).
     """
     span = round(ttl * 1_000_000)
 
@@ -47,6 +50,6 @@ def dedup_stream(
     check_order(df, tiebreak, lateness, ordered)
     kept = keyed_state(
         pack(df, key, ts, tiebreak, 0), keep, "anchor bigint", "payload string",
-        lambda anchor: anchor[0] + span, lateness, ordered, still_open,
+        lambda anchor: anchor[0] + span, lateness, ordered, still_open, state,
     )
     return kept.select(unpack("payload", df.schema).alias("row")).select("row.*")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brooklet.streaming.resume import KeptState
 from brooklet.streaming.rows import check_order, keyed_state, pack, unpack
 
 
@@ -22,8 +23,9 @@ def pair_rows_stream(
     tiebreak: Sequence[str],
     lateness: str | None = None,
     ordered: bool = False,
+    state: KeptState | None = None,
 ) -> DataFrame:
-    """Streaming form of ``operators.pairing.pair_rows``; see ``dedup_stream`` on ``lateness`` and ``ordered``."""
+    """Streaming form of ``operators.pairing.pair_rows``; see ``dedup_stream`` on ``lateness``, ``ordered`` and ``state``."""
     span = round(ttl * 1_000_000)
 
     def pair(rows: pd.DataFrame, waiting: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
@@ -48,7 +50,7 @@ def pair_rows_stream(
     packed = pack(first, first_key, ts, tiebreak, 0).unionByName(pack(second, second_key, ts, tiebreak, 1))
     pairs = keyed_state(
         packed, pair, "side int, t bigint, payload string", "first string, second string, arrived int",
-        lambda waiting: waiting[1] + span, lateness, ordered,
+        lambda waiting: waiting[1] + span, lateness, ordered, kept=state,
     )
     return pairs.select(
         unpack("first", first.schema).alias("first"), unpack("second", second.schema).alias("second"), F.col("arrived")

@@ -8,6 +8,7 @@ which pandas columns would turn into floats.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,9 @@ from brooklet.operators.times import micros
 from brooklet.sinks.topics import JSON_OPTIONS
 from brooklet.streaming.held import held_state
 
+if TYPE_CHECKING:
+    from brooklet.streaming.resume import KeptState
+
 
 def pack(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], side: int) -> DataFrame:
     """Columns k, t, side, ties, payload and event_time of a record stream.
@@ -71,6 +75,7 @@ def keyed_state(
     lateness: str | None,
     ordered: bool,
     screen: Callable[[pd.DataFrame, tuple], pd.DataFrame] | None = None,
+    kept: KeptState | None = None,
 ) -> DataFrame:
     """Run ``step`` per key over packed ``rows`` in order; it gets and returns what is remembered of the key.
 
@@ -79,9 +84,15 @@ def keyed_state(
     watermark is let go, and with ``ordered`` rows are held back until the
     watermark has passed them, so that disorder between micro-batches does no
     harm (``held.HeldRows``).  ``screen`` may drop rows that cannot matter before they are gathered.
+    ``kept`` is the state of a stopped query to go on from (``resume``); records that query would have dropped as late are dropped.
     """
     timed = lateness is not None
     order = [name for name in rows.columns if name not in ("k", "payload", "event_time")]
+    if kept is not None:
+        if kept.rows.schema["k"].dataType != rows.schema["k"].dataType:
+            raise ValueError(f"the state to go on from has keys of type {kept.rows.schema['k'].dataType.simpleString()}")
+        due = rows if lateness is None else rows.filter(F.col("t") > kept.watermark)
+        return held_state(due, step, order, memory, output, expires, lateness, ordered, screen, kept.rows)
     if ordered:
         return held_state(rows, step, order, memory, output, expires, lateness)
     columns = [*order, "payload"]
