@@ -6,7 +6,8 @@ Every query reads its whole tables.  ``QUERIES`` maps a name to a function of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from brooklet.session import scratch_path, shared_dir, work_path
 from brooklet.sinks import bucket_stream, json_value, read_buckets, table_columns, write_buckets
 from brooklet.sources import decode_json, file_records, lookup_table, topic_records
 from brooklet.streaming import Targets, run_batch, start_job
+from brooklet.streaming.resume import files_read, kept_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,17 +62,21 @@ def stream_in_parts(spark: SparkSession, folder: str, name: str, ts: str, parts:
     """
     rows, path = table(spark, folder, name), scratch_path(spark, f"{name}-parts")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in time_parts(rows, ts, parts):
+        part.repartition(files).write.mode("append").parquet(path)  # files are read in the order in which they are written
+    return file_records(spark, path, rows.schema, "parquet", streaming=True, files_per_trigger=files)
+
+
+def time_parts(rows: DataFrame, ts: str, parts: int) -> Iterator[DataFrame]:
     cuts = rows.select(F.percentile_approx(ts, [place / parts for place in range(1, parts)])).first()[0] or []
     for begin, end in zip([None, *cuts], [*cuts, None]):
         part = rows if begin is None else rows.filter((F.col(ts) >= F.lit(begin)) | F.col(ts).isNull())
-        part = part if end is None else part.filter(F.col(ts) < F.lit(end))
-        part.repartition(files).write.mode("append").parquet(path)  # files are read in the order in which they are written
-    return file_records(spark, path, rows.schema, "parquet", streaming=True, files_per_trigger=files)
+        yield part if end is None else part.filter(F.col(ts) < F.lit(end))
 
 
-def finished(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Result table of a streaming query that has processed all present input."""
-    path = scratch_path(spark, label)
+def finished(spark: SparkSession, df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Result table of a streaming query that has processed all present input; its checkpoint is ``path``/progress."""
+    path = path or scratch_path(spark, label)
     writer = df.writeStream.format("parquet").option("path", f"{path}/rows")
     writer.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
@@ -408,6 +414,24 @@ def dedup_events_stream(spark, folder):
     return finished(spark, kept, "dedup")
 
 
+@register(DEDUP_EVENTS)
+def dedup_events_resumed(spark, folder):
+    """The earlier half by one query; the rest by one that takes over its state and its place, with more state partitions."""
+    events, source, name = table(spark, folder, "events"), scratch_path(spark, "arriving"), "spark.sql.shuffle.partitions"
+    before, state, after, results = spark.conf.get(name), None, None, []
+    try:
+        for turn, part in enumerate(time_parts(events, "ts", 2)):
+            part.write.mode("append").parquet(source)
+            spark.conf.set(name, int(before) + 3 * turn)
+            records, path = file_records(spark, source, events.schema, "parquet", streaming=True, after=after), scratch_path(spark, "turn")
+            kept = dedup(records, "user_id", DAY, "ts", ["event_id"], lateness="1 day", state=state)
+            results.append(finished(spark, kept, "turn", path))
+            state, after = kept_state(spark, f"{path}/progress"), files_read(spark, f"{path}/progress")
+    finally:
+        spark.conf.set(name, before)
+    return reduce(DataFrame.unionAll, results)
+
+
 @register(
     """
     WITH RECURSIVE f AS (SELECT *, row_number() OVER (
