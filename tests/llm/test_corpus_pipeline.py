@@ -23,7 +23,7 @@ def db():
 
 def test_registered():
     names = {name.split("_")[0] for name in queries.QUERIES}
-    assert names == {f"op{number}" for number in range(1, 11)}
+    assert names == {f"op{number}" for number in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
 
 
