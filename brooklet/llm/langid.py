@@ -9,6 +9,10 @@ are equally likely.  The statistics are frozen after training, so the cost in
 bits of a byte after its context is a fixed number.  A text's code length is
 the sum over all its bytes; the language with the shortest code wins.
 
+Languages are scored in blocks whose trees have a bounded size, one pass over
+the texts for each; the best answer of all blocks counts, so the blocks change
+no result.
+
 Bytes are folded first: A-Z to a-z, all other ASCII to one separator; bytes that
 no training text has are one symbol.  Contexts do not reach across a text's
 beginning, where a separator is taken to come before.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,12 @@ from brooklet.llm.common import crc_part, land, pick, text_tag
 ORDER = 3
 OTHER = 0x20
 FOLD = np.array([b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else OTHER for b in range(256)], dtype=np.uint8)
-SLAB = 1 << 20  # bytes scored at once
+SLAB = 1 << 20  # bytes times languages scored at once
 UNKNOWN = "und"
+KEPT = ["doc_id", "tag", "held_out", "letter"]
+FAINT = -1000  # binary exponent below which likelihoods are not told apart
+SENT_LANGS = 10_000  # up to so many, a row per language is sent to all tasks; beyond, joined
+BLOCK_BYTES = 128 << 20  # bound of what is sent to the tasks for a block of languages; every block is a pass over the texts
 
 # Bounds of the training sample: documents of a language, and their bytes on average.
 SAMPLE_DOCS = 400
@@ -68,77 +77,113 @@ def _grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
 
+@dataclass(frozen=True)
+class Level:
+    """What a block of languages knows of the contexts of one length; numbers are in the order of the sorted codes."""
+
+    pairs: np.ndarray  # contexts with a symbol that some language has seen after them
+    bits: np.ndarray  # (pair, language): cost of the symbol
+    contexts: np.ndarray
+    escapes: np.ndarray  # (context, language): cost of any other symbol beyond its cost after the next shorter context
+
+
+def _find(codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``codes``, and which are there."""
+    place = np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)
+    return place, codes[place] == wanted
+
+
 @dataclass(frozen=True)
 class ContextTrees:
-    """Cost in bits of every symbol after every context, one column per language."""
+    """Costs in bits after every context, one column per language; only what was seen in training is stored.
+
+    A symbol that no language of the block has seen after a context costs the escape and what it costs after the next
+    shorter one.  The empty context knows all symbols.
+    """
 
     langs: list[str]
     symbol: np.ndarray  # byte -> symbol
-    state: np.ndarray  # code of the last ORDER symbols -> longest known context
-    bits: np.ndarray  # (context x symbol, language)
+    levels: list[Level]  # by length of context
 
     def lengths(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Code length of each text in each language; text i is ``data[begins[i]:begins[i + 1]]``, none is empty."""
-        size = int(self.symbol.max()) + 1
         total = np.zeros((len(begins) - 1, len(self.langs)))
-        for at in range(0, len(data), SLAB):
+        slab = max(1, SLAB // len(self.langs))
+        for at in range(0, len(data), slab):
             far = max(0, at - ORDER)
-            symbols = self.symbol[data[far : at + SLAB]]
+            symbols = self.symbol[data[far : at + slab]]
             own = begins[:-1] - far
             own = own[(own >= 0) & (own < len(symbols))]
-            context = np.zeros(len(symbols), dtype=np.int32)
-            for distance in range(ORDER, 0, -1):
-                context = context * size + _before(symbols, own, distance, self.symbol[OTHER])
-            rows = (self.state[context] * size + symbols)[at - far :]
+            before = [_before(symbols, own, distance, self.symbol[OTHER])[at - far :] for distance in range(1, ORDER + 1)]
             first = int(np.searchsorted(begins, at, side="right")) - 1
-            last = int(np.searchsorted(begins, min(at + SLAB, len(data)), side="left"))
+            last = int(np.searchsorted(begins, min(at + slab, len(data)), side="left"))
             cuts = np.maximum(begins[first:last], at) - at
-            total[first:last] += np.add.reduceat(self.bits[rows], cuts, axis=0, dtype=np.float64)
+            total[first:last] += np.add.reduceat(self.costs(symbols[at - far :], before), cuts, axis=0, dtype=np.float64)
         return total
 
-
-def _blend(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Probabilities of a context's symbols, from its counts and the next shorter context."""
-    seen = counts > 0
-    n, distinct = counts.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-    rest = np.where(seen, 0.0, parent).sum(axis=1, keepdims=True)
-    scale = np.maximum(np.where(rest > 0, n + distinct, n), 1)  # nothing to escape to: no escape
-    escaped = distinct / scale * parent / np.where(rest > 0, rest, 1)
-    return np.where(n == 0, parent, np.where(seen, counts / scale, escaped))
-
-
-def _trees(grams: list) -> ContextTrees:
+    def costs(self, symbols: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        """Cost of each symbol in each language; ``before``: the symbols 1, 2, ... places ahead of it."""
+        size = int(self.symbol.max()) + 1
+        longest = _contexts(before, size)[ORDER]
+        distinct, place_of = np.unique(longest * size + symbols, return_inverse=True)  # looked up once each
+        symbols, longest = distinct % size, distinct // size
+        costs = np.zeros((len(distinct), len(self.langs)), dtype=np.float32)
+        left = np.arange(len(distinct))
+        for order in range(ORDER, -1, -1):
+            level, context = self.levels[order], longest[left] % size**order
+            place, known = _find(level.pairs, context * size + symbols[left])
+            costs[left[known]] += level.bits[place[known]]
+            left, context = left[~known], context[~known]
+            place, known = _find(level.contexts, context)
+            costs[left[known]] += level.escapes[place[known]]
+        return costs[place_of]
+
+
+def _contexts(before: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Codes of the last 0, 1, ... symbols; the remainder by a power of ``size`` is the code of a shorter context."""
+    codes = [np.zeros(len(before[0]), dtype=np.int64)]
+    for distance, symbols in enumerate(before):
+        codes.append(codes[-1] + symbols * size**distance)
+    return codes
+
+
+def _trees(grams: list, known: Iterable[int] = ()) -> ContextTrees:
+    """Trees of the languages in ``grams``; ``known``: bytes that have a symbol besides those of the grams."""
     langs = sorted({row["lang"] for row in grams})
-    codes = np.array([row["code"] for row in grams], dtype=np.int64)
-    which = np.array([langs.index(row["lang"]) for row in grams])
+    number = {lang: place for place, lang in enumerate(langs)}
+    gram = np.array([row["code"] for row in grams], dtype=np.int64)
+    which = np.array([number[row["lang"]] for row in grams])
     n = np.array([row["n"] for row in grams], dtype=np.float64)
-    known = sorted({OTHER, *FOLD[:0x80].tolist(), *np.unique(codes & 255).tolist()})
-    symbol = np.full(256, len(known), dtype=np.int32)
+    known = sorted({OTHER, *FOLD[:0x80].tolist(), *np.unique(gram & 255).tolist(), *known})
+    symbol = np.full(256, len(known), dtype=np.int64)
     symbol[known] = np.arange(len(known))
     symbol = symbol[FOLD]
     size = len(known) + 1
-    parts = [symbol[(codes >> (8 * distance)) & 255].astype(np.int64) for distance in range(ORDER + 1)]
-    suffix = [np.zeros(len(codes), dtype=np.int64)]  # code of the last k symbols, nearest last
-    for distance in range(1, ORDER + 1):
-        suffix.append(suffix[-1] + parts[distance] * size ** (distance - 1))
-    longest, place = np.unique(suffix[ORDER], return_inverse=True)
-    shorter = size ** (ORDER - 1)
-    bits = np.empty((shorter + len(longest), size, len(langs)), dtype=np.float32)
-    for number in range(len(langs)):
-        mine = which == number
-        chance = np.full((1, size), 1 / size)
-        for order in range(ORDER + 1):
-            contexts = size**order if order < ORDER else len(longest)
-            rows = suffix[order] if order < ORDER else place
-            counts = np.bincount(rows[mine] * size + parts[0][mine], weights=n[mine], minlength=contexts * size).reshape(contexts, size)
-            above = np.arange(contexts) if order < ORDER else longest
-            chance = _blend(counts, chance[above % len(chance)])
-            if order == ORDER - 1:
-                bits[:shorter, :, number] = -np.log2(chance)
-        bits[shorter:, :, number] = -np.log2(chance)
-    state = np.arange(size**ORDER, dtype=np.int32) % shorter
-    state[longest] = shorter + np.arange(len(longest))
-    return ContextTrees(langs, symbol, state, bits.reshape(-1, len(langs)))
+    parts = [symbol[(gram >> (8 * distance)) & 255] for distance in range(ORDER + 1)]
+    levels: list[Level] = []
+    chance = other = np.full((1, len(langs)), 1 / size)  # of the pairs, and of a symbol no text has, after each context
+    for order, code in enumerate(_contexts(parts[1:], size)):
+        seen = code * size + parts[0]
+        pairs = np.unique(seen) if order else np.arange(size)
+        contexts, first, context = np.unique(pairs // size, return_index=True, return_inverse=True)
+        counts = np.bincount(np.searchsorted(pairs, seen) * len(langs) + which, weights=n, minlength=len(pairs) * len(langs))
+        counts = counts.reshape(len(pairs), len(langs))
+        total, distinct = np.add.reduceat(counts, first), np.add.reduceat((counts > 0).astype(np.float64), first)
+        shorter = size ** max(order - 1, 0)
+        if order:
+            above = levels[-1]
+            chance = chance[np.searchsorted(above.pairs, pairs // size % shorter * size + pairs % size)]
+            other = other[np.searchsorted(above.contexts, contexts % shorter)]
+        else:
+            chance = np.repeat(chance, size, axis=0)
+        # What the shorter context leaves to symbols not seen here; never less than for the one no text has.
+        rest = np.maximum(1 - np.add.reduceat(np.where(counts > 0, chance, 0), first), other)
+        scale = np.maximum(total + distinct, 1)
+        escape = np.where(total > 0, distinct / scale / rest, 1)
+        chance = np.where(counts > 0, counts / scale[context], escape[context] * chance)
+        other = escape * other
+        levels.append(Level(pairs, -np.log2(chance).astype(np.float32), contexts, -np.log2(escape).astype(np.float32)))
+    return ContextTrees(langs, symbol, levels)
 
 
 def training_sample(rows: DataFrame, docs_each: int, bytes_each: int) -> DataFrame:
@@ -155,49 +200,81 @@ def training_sample(rows: DataFrame, docs_each: int, bytes_each: int) -> DataFra
     langs = counts.count()
     if not langs:
         return fit.select("lang", "text")
-    if langs > 10_000:  # a row per language is sent to all tasks
-        raise ValueError(f"{langs} languages")
-    near = fit.join(F.broadcast(counts), "lang").filter((chance < docs_each / F.col("n")) | (F.col("draw") == F.col("first")))
+    sent = F.broadcast if langs <= SENT_LANGS else lambda df: df  # a row per language
+    near = fit.join(sent(counts), "lang").filter((chance < docs_each / F.col("n")) | (F.col("draw") == F.col("first")))
     near = land(near.select("lang", "draw", "text").dropDuplicates(["lang", "draw"]))  # about docs_each documents a language
     order = Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sizes = near.select("lang", "draw", F.octet_length("text").cast("long").alias("size"), F.min("draw").over(order).alias("first"))
     taken = sizes.withColumn("upto", F.sum("size").over(order)).filter((F.col("upto") <= docs_each * bytes_each) | (F.col("draw") == F.col("first")))
     last = taken.groupBy("lang").agg(F.max("draw").alias("last"))
-    return near.join(F.broadcast(last), "lang").filter("draw <= last").select("lang", "text")
+    return near.join(sent(last), "lang").filter("draw <= last").select("lang", "text")
+
 
+def train(rows: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> Iterator[ContextTrees]:
+    """Context trees of the languages in ``rows`` (doc_id, tag, lang, text), in blocks of up to ``BLOCK_BYTES``, one language at least.
 
-def train(rows: DataFrame, docs_each: int = SAMPLE_DOCS, bytes_each: int = SAMPLE_BYTES) -> ContextTrees | None:
-    """Context trees of the languages in ``rows`` (doc_id, tag, lang, text); None without any."""
+    A language's counts are at most its bytes in the sample, far fewer in fact; those of one block are on the driver at a time.
+    """
     sample = training_sample(rows, docs_each, bytes_each).withColumn("text", F.col("text").cast("binary"))
     grams = sample.mapInArrow(_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    found = grams.collect()  # bounded by the sample: at most its bytes in rows per language, far fewer in fact
-    return _trees(found) if found else None
+    grams = land(grams)
+    sizes = grams.groupBy("lang").agg(F.count(F.lit(1)).alias("grams"), F.collect_set(F.col("code").bitwiseAND(F.lit(255))).alias("known")).collect()
+    known = {byte for row in sizes for byte in row["known"]}
+    blocks: list[list[str]] = []
+    room = 0
+    for row in sorted(sizes, key=lambda row: row["lang"]):
+        taken = room + row["grams"]
+        # Pairs and contexts of all lengths, each with its code and a number per language.
+        if not blocks or taken * 2 * ORDER * (8 + 4 * (len(blocks[-1]) + 1)) > BLOCK_BYTES:
+            blocks.append([])
+            taken = row["grams"]
+        blocks[-1].append(row["lang"])
+        room = taken
+    for langs in blocks:
+        own = grams if len(blocks) == 1 else grams.filter(F.col("lang").isin(langs))
+        yield _trees(own.collect(), known)
 
 
 def _predict(shared):
+    """The best language of a block (null: none to tell), its code length, and the likelihoods of all, that of the best being 1."""
+
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
-        kept = ["doc_id", "tag", "held_out", "letter"]
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            langs, least, sums = [None] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
             rows = [row for row, (text, letter) in enumerate(zip(texts, batch.column("letter").to_pylist())) if text and letter]
-            if rows and trees is not None:
+            if rows:
                 data = np.frombuffer(b"".join(texts[row] for row in rows), dtype=np.uint8)
                 begins = np.concatenate([[0], np.cumsum([len(texts[row]) for row in rows])])
                 lengths = trees.lengths(data, begins)
-                best = lengths.argmin(axis=1)
-                shares = 1 / np.exp2(np.maximum(lengths.min(axis=1, keepdims=True) - lengths, -1000)).sum(axis=1)
-                for row, place, share in zip(rows, best.tolist(), shares.tolist()):
-                    langs[row], scores[row] = trees.langs[place], share
-            yield pa.record_batch(
-                [batch.column(name) for name in kept] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                [*kept, "lang_pred", "score"],
-            )
+                best = lengths.min(axis=1, keepdims=True)
+                likely = np.exp2(np.maximum(best - lengths, FAINT)).sum(axis=1)
+                for row, place, bits, total in zip(rows, lengths.argmin(axis=1).tolist(), best[:, 0].tolist(), likely.tolist()):
+                    langs[row], least[row], sums[row] = trees.langs[place], bits, total
+            found = [pa.array(langs, pa.string()), pa.array(least, pa.float64()), pa.array(sums, pa.float64())]
+            yield pa.record_batch([batch.column(name) for name in KEPT] + found, [*KEPT, "lang", "bits", "likely"])
 
     return emit
 
 
+def _of_all_blocks(texts: DataFrame, passes: list[DataFrame]) -> DataFrame:
+    """The best of the blocks' answers for every row of ``texts``.
+
+    A row's answers are the same for all rows equal in id and tag, so one of each block is kept and they are joined back.
+    """
+    answer = F.struct("bits", "lang", "likely")
+    numbered = [df.filter("lang is not null").withColumn("block", F.lit(place)) for place, df in enumerate(passes)]
+    answers = reduce(DataFrame.unionAll, numbered).groupBy("doc_id", "tag", "block").agg(F.min(answer).alias("answer"))
+    best = answers.groupBy("doc_id", "tag").agg(F.collect_list("answer").alias("all")).withColumn("best", F.array_min("all"))
+    share = lambda one: one["likely"] * F.pow(F.lit(2.0), F.greatest(F.col("best.bits") - one["bits"], F.lit(float(FAINT))))
+    best = best.select(
+        F.col("doc_id").alias("b_id"), F.col("tag").alias("b_tag"), F.col("best.lang").alias("lang"),
+        F.aggregate("all", F.lit(0.0), lambda total, one: total + share(one)).alias("likely"),
+    )
+    return texts.drop("text").join(best, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("tag") == F.col("b_tag")), "left")
+
+
 def identify_language(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -233,10 +310,18 @@ def identify_letters(
     """As ``identify_language``, and whether the text has a letter (``letter``)."""
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang)
     rows = rows.withColumn("held_out", crc_part(F.col("doc_id"), folds) == 0).withColumn("tag", text_tag(F.col("text")))
-    trees = train(rows.filter("not held_out"), sample_docs, sample_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # its size follows from the sample and the languages
     texts = rows.select(
         "doc_id", "tag", "held_out", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"), F.col("text").cast("binary").alias("text")
     )
+    context = docs.sparkSession.sparkContext
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_predict(shared), f"doc_id {kind}, tag long, held_out boolean, letter boolean, lang_pred string, score double")
+    schema = f"doc_id {kind}, tag long, held_out boolean, letter boolean, lang string, bits double, likely double"
+    passes = [texts.mapInArrow(_predict(context.broadcast(trees)), schema) for trees in train(rows.filter("not held_out"), sample_docs, sample_bytes)]
+    if not passes:
+        found = texts.withColumns({"lang": F.lit(None).cast("string"), "likely": F.lit(1.0)})
+    else:
+        found = passes[0] if len(passes) == 1 else _of_all_blocks(texts, passes)
+    none = F.col("lang").isNull()
+    return found.select(
+        *KEPT, F.when(none, UNKNOWN).otherwise(F.col("lang")).alias("lang_pred"), F.when(none, 0.0).otherwise(1 / F.col("likely")).alias("score")
+    )

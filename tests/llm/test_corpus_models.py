@@ -85,9 +85,27 @@ def test_code_lengths(monkeypatch):
 
 
 def test_costs_are_probabilities():
-    trees = _trees(plain_grams("en", [b"the then that", b"this is it"]))
+    trees = _trees(plain_grams("en", [b"the then that", b"this is it"]) + plain_grams("de", [b"der die das"]), known=[200])
     size = int(trees.symbol.max()) + 1
-    assert np.allclose(np.exp2(-trees.bits.reshape(-1, size, 1)).sum(axis=1), 1, atol=1e-4)
+    for context in (b"the", b"die", b"is ", b"xyz", b"zth", b"  d"):
+        before = [np.full(size, trees.symbol[byte]) for byte in reversed(context)]
+        assert np.allclose(np.exp2(-trees.costs(np.arange(size), before)).sum(axis=0), 1, atol=1e-4)
+
+
+@pytest.mark.parametrize("bound", [1, 60_000])
+def test_blocks_of_languages_change_nothing(spark, monkeypatch, bound):
+    rows = edge_rows() + labelled() + labelled(5) + [(None, "the of and", None)] * 3
+    whole = identify_language(table(spark, rows)).collect()
+    monkeypatch.setattr("brooklet.llm.langid.BLOCK_BYTES", bound)
+    monkeypatch.setattr("brooklet.llm.langid.SENT_LANGS", 0)
+    sizes = []
+    monkeypatch.setattr("brooklet.llm.langid._trees", lambda grams, known: sizes.append(len({g["lang"] for g in grams})) or _trees(grams, known))
+    parts = identify_language(table(spark, rows)).collect()
+    assert len(sizes) > 1 and (bound > 1 or set(sizes) == {1})
+    order = lambda row: (str(row["doc_id"]), row["tag"], row["lang_pred"])
+    assert [order(row) for row in sorted(whole, key=order)] == [order(row) for row in sorted(parts, key=order)]
+    pairs = zip(sorted(whole, key=order), sorted(parts, key=order))
+    assert all(one["held_out"] == two["held_out"] and math.isclose(one["score"], two["score"], rel_tol=1e-6) for one, two in pairs)
 
 
 def test_languages_are_told_apart(spark):
@@ -126,8 +144,8 @@ def test_prediction_does_not_look_at_the_label(spark):
 
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(number, lang, text, 1) for number, text, lang in labelled(300)], "doc_id long, lang string, text string, tag long")
-    assert train(docs, 400, 5).langs == sorted(LATIN)  # at least one text of each
-    assert train(docs, 10, 20_000).langs == sorted(LATIN)
+    for docs_each, bytes_each in ((400, 5), (10, 20_000)):  # at least one text of each
+        assert [lang for trees in train(docs, docs_each, bytes_each) for lang in trees.langs] == sorted(LATIN)
 
 
 def test_languages_with_long_texts_only(spark):
