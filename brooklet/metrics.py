@@ -22,6 +22,9 @@ COUNTERS = (
     "stream_joiner_out",
 )
 
+# Rows that came behind the watermark, which Spark drops before a stateful operator sees them; one value per query.
+LATE = "late_rows"
+
 
 def counter_name(source: str, index: int, counter: str) -> str:
     """Full name of a counter: the operator's chain, its place in the chain, and what is counted."""
@@ -69,17 +72,26 @@ def progress_values(progress) -> dict[str, int]:
     return {name: row["n"] for name, row in (observed or {}).items()}
 
 
-def query_totals(query) -> dict[str, int]:
-    """Counter values summed over the recent micro-batches of a streaming query."""
+def late_rows(progress) -> dict[str, int]:
+    """Rows of one micro-batch that its stateful operators did not see because they were late; nothing for a query without state."""
+    plain = isinstance(progress, Mapping)
+    operators = progress["stateOperators"] if plain else progress.stateOperators
+    if not operators:
+        return {}
+    return {LATE: sum(one["numRowsDroppedByWatermark"] if plain else one.numRowsDroppedByWatermark for one in operators)}
+
+
+def query_totals(query, late: bool = False) -> dict[str, int]:
+    """Counter values summed over the recent micro-batches of a streaming query; with ``late`` also its late rows."""
     totals: dict[str, int] = {}
     for progress in query.recentProgress:
-        for name, value in progress_values(progress).items():
+        for name, value in {**progress_values(progress), **(late_rows(progress) if late else {})}.items():
             totals[name] = totals.get(name, 0) + value
     return totals
 
 
 class CounterListener(StreamingQueryListener):
-    """Hands the counters of every micro-batch to ``publish(query name, values)``.
+    """Hands the counters of every micro-batch, and its late rows, to ``publish(query name, values)``.
 
     Register it with ``spark.streams.addListener``; ``publish`` forwards the
     values to whatever collects metrics.
@@ -92,7 +104,7 @@ class CounterListener(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        values = progress_values(event.progress)
+        values = {**progress_values(event.progress), **late_rows(event.progress)}
         if values:
             self._publish(event.progress.name, values)
 

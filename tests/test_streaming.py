@@ -2,12 +2,14 @@
 
 import os
 import random
+import time
 
 import pandas as pd
 import pytest
 from conftest import same_rows
 from pyspark.sql import functions as F
 
+from brooklet.metrics import LATE, CounterListener, query_totals
 from brooklet.operators import dedup, enrich, pair_join
 from brooklet.session import work_path
 from brooklet.sources import file_records, lookup_table
@@ -49,6 +51,33 @@ def test_dedup(spark, events, parts, lateness):
     assert keys == 15 if lateness is None else keys < 15
 
 
+@pytest.mark.parametrize("ordered", [False, True])
+def test_late_rows_are_counted(spark, events, ordered):
+    path = work_path(spark, "late")
+    for part in (3, 4, 0):
+        events.filter(F.col("event_id").between(part * 200, part * 200 + 199)).coalesce(1).write.mode("append").parquet(path)
+    seen = []
+    listener = CounterListener(lambda name, values: seen.append(values))
+    spark.streams.addListener(listener)
+    try:
+        kept = dedup(one_by_one(spark, path, events), "user_id", DAY, "ts", ["event_id"], lateness="0 seconds", ordered=ordered)
+        rows, query = run(spark, kept, work_path(spark, "dedup"))
+        assert query_totals(query, late=True) == {LATE: 200} and query_totals(query) == {}
+        assert rows.filter("event_id < 200").isEmpty()
+        for _ in range(100):
+            if sum(values[LATE] for values in seen) == 200:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(values[LATE] for values in seen) == 200
+
+
+def test_streams_without_state_have_no_late_rows(spark, events, parts):
+    _, query = run(spark, one_by_one(spark, parts, events), work_path(spark, "plain"))
+    assert query_totals(query, late=True) == {}
+
+
 @pytest.mark.parametrize("lateness", [None, "0 seconds"])
 def test_pair(spark, events, parts, lateness):
     source = one_by_one(spark, parts, events)

@@ -414,6 +414,30 @@ def dedup_events_stream(spark, folder):
     return finished(spark, kept, "dedup")
 
 
+@register(
+    """
+    WITH thirds AS (SELECT *, CAST(floor(3 * event_id / (SELECT max(event_id) + 1 FROM events)) AS INT) AS third FROM events)
+    SELECT 'late_rows' AS counter, count(*) AS n
+    FROM thirds WHERE third = 0 AND ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM thirds WHERE third = 1) - INTERVAL 1 HOUR
+    """
+)
+def dedup_late_rows(spark, folder):
+    """Rows behind the watermark, as counted while a stream runs: the first third of the events arrives after the other two."""
+    events, path = table(spark, folder, "events"), scratch_path(spark, "late")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = events.agg(F.max("event_id") + 1).first()[0]
+    for third in (1, 2, 0):  # the watermark of a micro-batch counts for the rows after the next one
+        part = events.filter(F.floor(3 * F.col("event_id") / F.lit(ids)) == third)
+        part.repartition(files).write.mode("append").parquet(path)
+    arriving = file_records(spark, path, events.schema, "parquet", streaming=True, files_per_trigger=files)
+    kept = dedup(arriving, "user_id", DAY, "ts", ["event_id"], lateness="1 hour")
+    out = scratch_path(spark, "late-out")
+    writer = kept.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/progress")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counter_rows(spark, query_totals(query, late=True))
+
+
 @register(DEDUP_EVENTS)
 def dedup_events_resumed(spark, folder):
     """The earlier half by one query; the rest by one that takes over its state and its place, with more state partitions."""
