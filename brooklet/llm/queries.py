@@ -120,13 +120,15 @@ def op5_dedup_exact(spark, folder):
 )
 def op6_warc_archive(spark, folder):
     """Every page written to archives and read back."""
-    files = write_warc(table(spark, folder, "pages"), scratch(spark, "warc"))
+    pages = table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    files = write_warc(pages, scratch(spark, "warc"))
     found = read_warc(files).withColumn("sound", F.coalesce("verified", F.lit(True)))
     damaged = F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id")))
     return found.select(
-        page_of("record_id").alias("page_id"), "payload_bytes",
+        page_of("record_id", kind).alias("page_id"), "payload_bytes",
         F.when(F.col("sound"), F.col("payload_digest")).otherwise(damaged).alias("payload_digest"),
-        "record_type", page_of("refers_to").alias("refers_to"),
+        "record_type", page_of("refers_to", kind).alias("refers_to"),
     )
 
 

@@ -32,7 +32,8 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_TYPE = "application/http; msgtype=response"
 
-URN = "urn:page:"  # record ids: this and the page's id
+URN = "urn:page:"  # record ids: this and the page's id, with the characters escaped that a header or an address cannot hold
+NO_PAGE = "urn:nopage:"  # a null id
 
 BLOCK = 1 << 18  # bytes read and decompressed at once
 ROWS = 500
@@ -222,24 +223,26 @@ def write_warc(
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the
     smallest page_id is a response, the others are revisits; smaller ones are
     all responses.  A null html is an empty payload, a null url is left out, a
-    null page_id comes after all others.  Rows equal in id and payload are all
+    null page_id comes after all others; ids may be numbers or any texts.  Rows equal in id and payload are all
     responses or all revisits.  Other columns are not looked at.  An empty table
     writes no file.
     """
     rows = pick(pages, page_id=page_id, url=url, html=html).withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumns({"digest": F.unhex(F.sha2("html", 256)), "n_bytes": F.octet_length("html")})
     firsts = rows.filter(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(firsts.filter("n > 1").select("digest", "first"), "digest", "left")
+    # Joined on another form of the key, both sides are shuffled, and Spark splits the tasks of common payloads.
+    firsts = firsts.filter("n > 1").select(F.hex("digest").alias("key"), "first")
+    rows = rows.join(firsts, F.hex("digest") == F.col("key"), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select(_urn(F.col("page_id")).alias("record_id"), "url", F.when(again, _urn(F.col("first"))).alias("refers_to"), "html")
     return land(rows.mapInArrow(_write(folder, file_bytes), "path string, size long, n_records long"))
 
 
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit(URN), F.coalesce(page_id.cast("string"), F.lit("")))
+    return F.coalesce(F.concat(F.lit(URN), F.url_encode(page_id.cast("string"))), F.lit(NO_PAGE))
 
 
 def page_of(record_id: str, kind: str = "bigint") -> Column:
-    """The page_id in a record id; null if it has none."""
-    text = F.substring(F.col(record_id), len(URN) + 1, 1 << 20)
-    return F.when(F.length(text) > 0, text).cast(kind)
+    """The page_id, of type ``kind``, in a record id; null if it has none."""
+    own = F.col(record_id).startswith(URN)
+    return F.when(own, F.url_decode(F.substring(F.col(record_id), len(URN) + 1, 1 << 20))).cast(kind)

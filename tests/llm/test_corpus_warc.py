@@ -60,6 +60,34 @@ def test_round_trip(spark, rows, min_bytes, file_bytes):
     assert sum(row["n_records"] for row in files.collect()) == len(rows)
 
 
+def test_ids_may_be_any_text(spark):
+    names = ["a b", "", "x\r\nWARC-Type: revisit", "<é>", "50%+1", "http://a/?b=c", " ", None]
+    rows = [(name, None, "<p>same</p>" if place % 2 else f"<p>{place}</p>") for place, name in enumerate(names)]
+    files = write_warc(spark.createDataFrame(rows, "page_id string, url string, html string"), scratch(spark, "warc"))
+    found = read_warc(files).withColumns({"page": page_of("record_id", "string"), "first": page_of("refers_to", "string")}).collect()
+    assert {(row["page"], row["first"]) for row in found} == {(name, None if name == "" or place % 2 == 0 else "") for place, name in enumerate(names)}
+
+
+def test_a_common_payload_is_split(spark):
+    html = "".join(chr(97 + (n * n) % 26) for n in range(2_000))
+    pages = spark.range(4_000).selectExpr("id AS page_id", "'u' AS url", f"if(id % 2 = 0, '{html}', concat('{html}', id)) AS html")
+    changed = {
+        "spark.sql.adaptive.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {name: spark.conf.get(name, None) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        files = write_warc(pages.repartition(6), scratch(spark, "warc")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    most = max(row["n_records"] for row in files)
+    assert sum(row["n_records"] for row in files) == 4_000 and most < 2_000  # one task would have the whole half
+
+
 def test_files_are_plain_gzip_with_one_member_per_record(spark):
     files = write_warc(pages(spark, ROWS).coalesce(1), scratch(spark, "warc")).collect()
     assert files
