@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from brooklet.llm.common import land, pick
+from brooklet.llm.common import land, partitions, pick
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -211,7 +211,8 @@ def read_warc(archives: DataFrame) -> DataFrame:
     false where a payload differs from its digest, null for revisits, which
     have no payload.
     """
-    spread = archives.select("path").repartition(F.col("path"))
+    # A stated number: adaptive execution would put the short rows, and with them all files, into one task.
+    spread = archives.select("path").repartition(partitions(archives.sparkSession), "path")
     return spread.mapInArrow(_read, from_arrow_schema(READ_SCHEMA))
 
 
