@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from brooklet.session import use_rocksdb
+
 Step = Callable[[pd.DataFrame, "tuple | None"], "tuple[pd.DataFrame | None, tuple | None]"]
 
 # Kinds of state a query begins with, when it goes on from another one (``resume``).
@@ -161,6 +163,7 @@ def held_state(
 
     ``start`` is the state (k, kind, content) to begin with.
     """
+    use_rocksdb(rows.sparkSession)
     held = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in (*order, "payload"))
     initial = None if start is None else start.groupBy("k")
     if lateness is None:

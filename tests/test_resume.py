@@ -4,7 +4,7 @@ import glob
 import os
 
 import pytest
-from conftest import same_rows
+from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 from test_streaming import run, shuffled
 
@@ -12,7 +12,7 @@ from brooklet.operators import dedup, pair_join
 from brooklet.session import work_path
 from brooklet.sources import file_records, kafka_options
 from brooklet.streaming.resume import files_read, finished, kept_state
-from workloads import sides
+from workloads import dedup_events_resumed, sides
 
 DAY, SETTING = 86_400, "spark.sql.shuffle.partitions"
 
@@ -85,6 +85,13 @@ def test_rows_that_wait_go_on_waiting(spark, events):
     assert same_rows(rows, once) and all(part.count() for part in parts)
 
 
+def test_sessions_with_the_default_state_store(spark, events):
+    """Nothing but Spark's defaults set: the driver's session is not made by ``build_session``."""
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    assert same_rows(dedup_events_resumed(plain, DATA), dedup(plain.read.parquet(f"{DATA}/events.parquet"), "user_id", DAY, "ts", ["event_id"]))
+
+
 def test_what_cannot_be_gone_on_from(spark, events, in_time):
     path = work_path(spark, "refused")
     schema = spark.read.parquet(in_time).schema
