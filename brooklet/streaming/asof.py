@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from brooklet.functions import Expression, as_text
 from brooklet.operators.names import fields
 from brooklet.operators.times import with_times
+from brooklet.streaming.held import Arrays
 from brooklet.streaming.rows import check_order, keyed_state, pack, unpack
 
 _SEARCH = "__search"
@@ -24,13 +26,16 @@ def enrich_as_of_stream(
     watermark.  A key's last change is kept for good.
     """
 
-    def carry(rows: pd.DataFrame, known: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
-        change = rows["payload"].where(rows["side"] == 0).ffill()
-        if known is not None:
-            change = change.fillna(known[0])
-        found = pd.DataFrame({"payload": rows["payload"], "change": change.astype(object).where(change.notna(), None)})[rows["side"] == 1]
-        last = change.iloc[-1] if len(change) and pd.notna(change.iloc[-1]) else None
-        return found, known if last is None else (last,)
+    def carry(rows: Arrays, known: tuple | None) -> tuple[pd.DataFrame | None, tuple | None]:
+        side, payload = rows["side"], rows["payload"]
+        if not len(side):
+            return None, known
+        last = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), -1))
+        change = payload[last]
+        change[last < 0] = None if known is None else known[0]
+        ours = side == 1
+        found = pd.DataFrame({"payload": payload[ours], "change": change[ours]}) if ours.any() else None
+        return found, known if last[-1] < 0 else (payload[last[-1]],)
 
     check_order(df, [], lateness, ordered)
     keyed = with_times(df, ts).withColumn(_SEARCH, as_text(df, search_key))

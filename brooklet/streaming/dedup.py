@@ -5,9 +5,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from brooklet.streaming.held import Arrays
 from brooklet.streaming.resume import KeptState
 from brooklet.streaming.rows import check_order, keyed_state, pack, unpack
 
@@ -35,17 +37,17 @@ def dedup_stream(
     """
     span = round(ttl * 1_000_000)
 
-    def keep(rows: pd.DataFrame, anchor: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    def keep(rows: Arrays, anchor: tuple | None) -> tuple[pd.DataFrame | None, tuple | None]:
         times, kept = rows["t"].tolist(), []
         place = 0 if anchor is None else bisect_right(times, anchor[0] + span)
         while place < len(times):
             kept.append(place)
             anchor = (times[place],)
             place = bisect_right(times, anchor[0] + span, place + 1)
-        return rows.iloc[kept][["payload"]], anchor
+        return pd.DataFrame({"payload": rows["payload"][kept]}) if kept else None, anchor
 
-    def still_open(rows: pd.DataFrame, anchor: tuple) -> pd.DataFrame:
-        return rows[rows["t"] > anchor[0] + span]
+    def still_open(times: np.ndarray, anchor: tuple) -> np.ndarray:
+        return times > anchor[0] + span
 
     check_order(df, tiebreak, lateness, ordered)
     kept = keyed_state(

@@ -11,13 +11,20 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from brooklet.session import use_rocksdb
 
-Step = Callable[[pd.DataFrame, "tuple | None"], "tuple[pd.DataFrame | None, tuple | None]"]
+# Columns t, side and payload of one key's rows, in order.
+Arrays = dict[str, np.ndarray]
+
+Step = Callable[[Arrays, "tuple | None"], "tuple[pd.DataFrame | None, tuple | None]"]
+
+# Of rows with these times, those that can matter.
+Screen = Callable[[np.ndarray, tuple], np.ndarray]
 
 # Kinds of state a query begins with, when it goes on from another one (``resume``).
 MEMORY, HELD = 0, 1
@@ -33,8 +40,8 @@ class HeldRows(StatefulProcessor):
     """
 
     def __init__(
-        self, step: Step, order: list[str], memory: str, held: str, expires: Callable[[tuple], int | None], width: int,
-        hold: bool = True, timed: bool = True, screen: Callable[[pd.DataFrame, tuple], pd.DataFrame] | None = None,
+        self, step: Callable[[pd.DataFrame, tuple | None], tuple[pd.DataFrame | None, tuple | None]], order: list[str], memory: str, held: str, expires: Callable[[tuple], int | None], width: int,
+        hold: bool = True, timed: bool = True, screen: Screen | None = None,
     ) -> None:
         self.step, self.order, self.columns = step, order, [*order, "payload"]
         self.memory, self.held, self.expires, self.width = memory, held, expires, width
@@ -49,7 +56,8 @@ class HeldRows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = tuple(self.known.get()) if self.screen is not None and self.known.exists() else None
-        found = pd.concat([frame[self.columns] if known is None else self.screen(frame[self.columns], known) for frame in rows])
+        frames = (frame if known is None else frame[self.screen(frame["t"].to_numpy(), known)] for frame in rows)
+        found = pd.concat([frame[self.columns] for frame in frames])
         yield from self._advance(found, self._watermark(timerValues))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
@@ -85,7 +93,7 @@ class HeldRows(StatefulProcessor):
         else:
             due = [found]
         rows = pd.concat([part for part in due if len(part)] or due[:1])
-        result, now = self.step(rows.sort_values(self.order, kind="stable"), known)
+        result, now = self.step(self._in_order(rows), known)
         until = None if now is None else self.expires(now)
         if until is not None and until < watermark and not waiting:
             now = until = None
@@ -97,6 +105,11 @@ class HeldRows(StatefulProcessor):
         if result is not None and not result.empty:
             yield result
 
+    def _in_order(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """By time alone where that tells all rows apart: every further column takes longer than the rows of a usual key."""
+        first = self.order[0]
+        return rows.sort_values(first if rows[first].is_unique else self.order, kind="stable")
+
     def _watermark(self, timer_values) -> int:
         return timer_values.getCurrentWatermarkInMs() * 1000 if self.timed else 0
 
@@ -157,19 +170,22 @@ def _floats(ddl: str) -> set[str]:
 
 def held_state(
     rows: DataFrame, step: Step, order: list[str], memory: str, output: str, expires: Callable[[tuple], int | None], lateness: str | None,
-    ordered: bool = True, screen: Callable[[pd.DataFrame, tuple], pd.DataFrame] | None = None, start: DataFrame | None = None,
+    ordered: bool = True, screen: Screen | None = None, start: DataFrame | None = None,
 ) -> DataFrame:
     """``step`` per key over packed ``rows``, with ``ordered`` behind the watermark; see ``rows.keyed_state``.
 
     ``start`` is the state (k, kind, content) to begin with.
     """
+    def by_arrays(found: pd.DataFrame, known: tuple | None) -> tuple[pd.DataFrame | None, tuple | None]:
+        return step({name: found[name].to_numpy() for name in ("t", "side", "payload")}, known)
+
     use_rocksdb(rows.sparkSession)
     held = ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in (*order, "payload"))
     initial = None if start is None else start.groupBy("k")
     if lateness is None:
-        processor = HeldRows(step, order, memory, held, lambda known: None, 1000, False, False, screen)
+        processor = HeldRows(by_arrays, order, memory, held, lambda known: None, 1000, False, False, screen)
         return rows.groupBy("k").transformWithStateInPandas(processor, output, "Append", "None", initial)
     micros = rows.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{lateness}')").first()[0]
-    processor = HeldRows(step, order, memory, held, expires, max(1000, micros // 2), ordered, True, None if ordered else screen)
+    processor = HeldRows(by_arrays, order, memory, held, expires, max(1000, micros // 2), ordered, True, None if ordered else screen)
     timed = rows.withWatermark("event_time", lateness)
     return timed.groupBy("k").transformWithStateInPandas(processor, output, "Append", "EventTime", initial)

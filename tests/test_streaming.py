@@ -283,3 +283,28 @@ def test_rows_without_time_fail_in_streams(spark):
     df = df.unionAll(spark.sql("select 1, cast(null as timestamp_ntz)"))
     with pytest.raises(Exception, match="needs a time"):
         run(spark, dedup(one_file(spark, df, "no-time"), "k", 1), work_path(spark, "no-time-out"))
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(20,3)", "string", "date", "timestamp", "timestamp_ntz", "binary", "boolean"])
+def test_ties_of_every_kind(spark, kind):
+    """Rows of one time: the tie that comes first is kept, as in the batch form."""
+    values = {"double": [None, "NaN", "-Infinity", "-2.5", "10.0", "9.0"], "boolean": [None, "true", "false"]}
+    values |= {"float": values["double"], "decimal(20,3)": ["9.5", "10.25", "-3", None], "string": ["b", "B", "é\n", "", None]}
+    times = ["2024-01-02 10:00:00.5", "2024-01-02 09:00:00", None]
+    texts = [(place % 3, text) for place, text in enumerate(3 * values.get(kind, times if kind not in ("date", "binary") else ["2024-01-02", "2023-12-31", None]))]
+    rows = spark.createDataFrame(texts, "id int, text string")
+    rows = rows.select("id", F.col("text").cast(kind).alias("tie"), F.lit("2024-05-05 12:00:00").cast("timestamp").alias("ts"))
+    path = work_path(spark, "ties")
+    rows.repartition(3).write.parquet(path)
+    fed = file_records(spark, path, rows.schema, "parquet", streaming=True)
+    kept, _ = run(spark, dedup(fed, "id", DAY, "ts", ["tie"], lateness="1 day"), work_path(spark, "ties-kept"))
+    assert same_rows(kept, dedup(rows, "id", DAY, "ts", ["tie"]))
+
+
+def test_only_what_is_needed_crosses_to_python(spark, events, parts):
+    """Spark converts every column of every key by itself: key, row and the watermark's time, and no others."""
+    kept = dedup(one_by_one(spark, parts, events), "user_id", DAY, "ts", ["event_id"], lateness="1 day")
+    plan = kept._jdf.queryExecution().analyzed().toString()
+    crossing = next(line for line in plan.splitlines() if "FlatMapGroupsInPandasWithState" in line)
+    columns = crossing.split("run(", 1)[1].split(")", 1)[0]
+    assert [column.split("#")[0] for column in columns.split(", ")] == ["k", "row", "event_time"]
